@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.simhash_dedup import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"), 3, 3).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equiloom.llm.suffix_dedup import dedup_suffixes
 
