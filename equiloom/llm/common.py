@@ -49,6 +49,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def doc_ids(batch: pa.RecordBatch) -> pa.Array:
+    """The doc_ids that the keys stand for."""
+    k = batch.column("k").to_numpy(zero_copy_only=False)
+    return pa.array(k, pa.int64(), mask=k == NULL_KEY)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Total UTF-8 bytes: sizes the hash buckets, so that their number grows
     with the data and each stays bounded."""
@@ -168,3 +174,59 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+#: Places (document key, position and a number beside it) packed by `slot`.
+PLACES = "slot int, k binary, t binary, n binary, at binary, m binary"
+PER_DOC = "k long, t int, at binary, m binary"
+
+
+def pack_places(k: np.ndarray, t: np.ndarray, at: np.ndarray, m: np.ndarray) -> dict[str, bytes]:
+    """Arrays ordered by document and ascending `at` within each, compressed."""
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    heads = np.flatnonzero(new)
+    at = at.astype(np.uint32)
+    step = steps(at)
+    step[heads] = at[heads]
+    n = np.diff(np.append(heads, len(k))).astype(np.uint32)
+    return {"k": spread(k[heads]), "t": spread(t[heads]), "n": spread(n), "at": spread(step), "m": spread(m.astype(np.uint32))}
+
+
+def unpack_places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = gather(row["n"], np.uint32).astype(np.int64)
+    step = gather(row["at"], np.uint32).astype(np.int64)
+    total = np.cumsum(step)
+    heads = np.cumsum(n) - n
+    at = (total - np.repeat(total[heads] - step[heads], n)).astype(np.uint32)
+    return np.repeat(gather(row["k"], np.int64), n), np.repeat(gather(row["t"], np.int32), n), at, gather(row["m"], np.uint32)
+
+
+def by_slot(k: np.ndarray, t: np.ndarray, at: np.ndarray, m: np.ndarray, slots: int) -> pa.Table:
+    """Rows of PLACES, so that all places of a document share a slot."""
+    slot = (mix(k.view(np.uint64) ^ (t.astype(np.uint64) * _K1)) % np.uint64(slots)).astype(np.int64)
+    order = np.lexsort((at, t, k, slot))
+    slot, k, t, at, m = slot[order], k[order], t[order], at[order], m[order]
+    cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
+    rows = [{"slot": int(slot[a])} | pack_places(k[a:z], t[a:z], at[a:z], m[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.Table.from_pylist(rows, pa.schema([("slot", pa.int32()), *((c, pa.binary()) for c in ("k", "t", "n", "at", "m"))]))
+
+
+def _per_doc(table: pa.Table) -> pa.Table:
+    k, t, at, m = (np.concatenate(x) for x in zip(*map(unpack_places, table.to_pylist()), strict=True))
+    order = np.lexsort((at, t, k))
+    k, t, at, m = k[order], t[order], at[order], m[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    cuts = np.append(np.flatnonzero(new), len(k))
+    pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.table({"k": k[cuts[:-1]], "t": t[cuts[:-1]], "at": pa.array([spread(at[a:z]) for a, z in pairs], pa.binary()), "m": pa.array([spread(m[a:z]) for a, z in pairs], pa.binary())})
+
+
+def per_document(places: DataFrame) -> DataFrame:
+    """One row (k, t, at, m) for each document that has places."""
+    return places.groupBy("slot").applyInArrow(_per_doc, PER_DOC)
+
+
+def places_of(at: bytes | None) -> np.ndarray:
+    return gather(at, np.uint32).astype(np.int64) if at else np.empty(0, np.int64)

@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from equiloom.llm import common as C
 
 FLUSH = 1 << 21
-PACK = "bucket int, kind int, k binary, t binary, n binary, at binary, h binary, l binary"
-SPOT = "k long, t int, at binary"
+PACK = "bucket int, kind int, k binary, t binary, n binary, at binary, m binary, h binary, l binary"
 
 
 class _Pile:
@@ -81,14 +80,9 @@ class _Pile:
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             p = pick[cuts[b] : cuts[b + 1]]
-            row = {"bucket": int(b), "kind": kind, "k": None, "t": None, "n": None, "at": None, "h": None, "l": None}
+            row = {"bucket": int(b), "kind": kind, "k": None, "t": None, "n": None, "at": None, "m": None, "h": None, "l": None}
             if kind >= 2:
-                new = np.ones(len(p), bool)
-                new[1:] = (k[p][1:] != k[p][:-1]) | (t[p][1:] != t[p][:-1]) | (at[p][1:] < at[p][:-1])
-                heads = np.flatnonzero(new)
-                step = C.steps(at[p])
-                step[heads] = at[p][heads]
-                row |= {"k": C.spread(k[p][heads]), "t": C.spread(t[p][heads]), "n": C.spread(np.diff(np.append(heads, len(p))).astype(np.uint32)), "at": C.spread(step)}
+                row |= C.pack_places(k[p], t[p], at[p], np.zeros(len(p), np.uint32))
             if kind != 3:
                 key = (h[p] >> np.uint64(32)).astype(np.uint32)
                 row["h"] = C.spread(h[p]) if self.exact else C.spread(C.steps(key) if kind < 2 else key)
@@ -106,16 +100,7 @@ def _keys(row, exact: bool):
     return np.cumsum(key, dtype=np.uint32) if row["kind"] < 2 else key
 
 
-def _places(row):
-    n = C.gather(row["n"], np.uint32).astype(np.int64)
-    step = C.gather(row["at"], np.uint32).astype(np.int64)
-    total = np.cumsum(step)
-    heads = np.cumsum(n) - n
-    at = (total - np.repeat(total[heads] - step[heads], n)).astype(np.uint32)
-    return C.gather(row["k"], np.int64), C.gather(row["t"], np.int32), n, at
-
-
-def _answer(exact: bool):
+def _answer(exact: bool, slots: int):
     """Per bucket: the places whose key came from anywhere else too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -125,9 +110,9 @@ def _answer(exact: bool):
             if r["kind"] < 2:
                 (seen if r["kind"] else once).append(_keys(r, exact))
             elif r["kind"] == 2:
-                spots.append((_places(r), _keys(r, exact)))
+                spots.append((C.unpack_places(r), _keys(r, exact)))
             else:
-                out.append((_places(r), None))
+                out.append((C.unpack_places(r), None))
         if spots:
             keys = [*(s[1] for s in spots)] if exact else once
             every = np.concatenate([*keys, *seen, *seen])  # those seen twice count twice
@@ -150,20 +135,15 @@ def _answer(exact: bool):
                     j = np.minimum(np.searchsorted(many, key), max(len(many) - 1, 0))
                     spots[i] = (place, many[j] == key if len(many) else np.zeros(len(key), bool))
             out += spots
-        ks, ts, ats = [], [], []
-        for (k, t, n, at), hit in out:
-            for i, (a, z) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n), strict=True)):
-                got = at[a:z] if hit is None else at[a:z][hit[a:z]]
-                if len(got):
-                    ks.append(k[i])
-                    ts.append(t[i])
-                    ats.append(C.spread(C.steps(got)))
-        return pa.table({"k": pa.array(ks, pa.int64()), "t": pa.array(ts, pa.int32()), "at": pa.array(ats, pa.binary())})
+        kept = [[x if hit is None else x[hit] for x in place] for place, hit in out]
+        if not kept:
+            return C.by_slot(*(np.empty(0, d) for d in (np.int64, np.int32, np.uint32, np.uint32)), slots)
+        return C.by_slot(*(np.concatenate(x) for x in zip(*kept, strict=True)), slots)
 
     return run
 
 
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("k", "t", "n", "at", "h", "l"))])
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("k", "t", "n", "at", "m", "h", "l"))])
 
 
 def _send(fill, buckets: int, exact: bool):
@@ -188,12 +168,6 @@ def _columns(part):
     return part.column("k").to_numpy(), part.column("t").to_numpy()
 
 
-def spots(lists) -> np.ndarray:
-    """All places of a document from the binaries that buckets sent back."""
-    got = [np.cumsum(C.gather(b, np.uint32), dtype=np.uint32) for b in lists or ()]
-    return np.concatenate(got).astype(np.int64) if got else np.empty(0, np.int64)
-
-
 def _probe(size: int, block: int):
     def fill(pile, part):
         k, t = _columns(part)
@@ -218,8 +192,8 @@ def _extend(size: int, block: int):
         hashes = C.word_hashes(buf, starts, ends)
         gram = C.ngrams(hashes, size)
         hit = np.zeros(len(starts) + block + 1, bool)
-        for i, lists in enumerate(part.column("hits").to_pylist()):
-            hit[first[i] + spots(lists) * block] = True
+        for i, at in enumerate(part.column("at").to_pylist()):
+            hit[first[i] + C.places_of(at) * block] = True
         row, rank = C.inside_rows(first, len(starts))
         row, rank = row[: len(gram)], rank[: len(gram)]
         at = np.arange(len(gram))
@@ -236,11 +210,11 @@ def _remove(size: int):
             buf, offs = C.utf8(part.column("text"))
             starts, ends, first = C.words(buf, offs)
             out = []
-            lists = part.column("hits").to_pylist()
+            places = part.column("at").to_pylist()
             for i in range(part.num_rows):
                 a, z = int(first[i]), int(first[i + 1])
                 cover = np.zeros(z - a + 1, np.int64)
-                at = spots(lists[i])
+                at = C.places_of(places[i])
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size, -1)
                 gone = np.cumsum(cover)[:-1] > 0
@@ -250,7 +224,7 @@ def _remove(size: int):
                 out.append((z - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [[int(x), int(y)] for x, y in zip(lo, hi, strict=True)]))
             n, gone, sha, text, spans = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
+                [C.doc_ids(part), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
             )
 
@@ -266,19 +240,11 @@ def dedup_substrings(docs: DataFrame, size: int = 35) -> DataFrame:
     keyed = C.keyed(docs)
     total = C.text_bytes(keyed)
     buckets = max(8, total // (6 << 21))
-    hits = (
-        keyed.select("k", "t", "text")
-        .mapInArrow(_send(_probe(size, block), buckets, False), PACK)
-        .groupBy("bucket").applyInArrow(_answer(False), SPOT)
-        .groupBy("k", "t").agg(F.collect_list("at").alias("hits"))
-    )
-    repeats = (
-        keyed.select("k", "t", "text").join(hits, ["k", "t"])
-        .mapInArrow(_send(_extend(size, block), buckets, True), PACK)
-        .groupBy("bucket").applyInArrow(_answer(True), SPOT)
-        .groupBy("k", "t").agg(F.collect_list("at").alias("hits"))
-    )
+    texts = keyed.select("k", "t", "text")  # both joins read one exchange of it
+    hits = C.per_document(texts.mapInArrow(_send(_probe(size, block), buckets, False), PACK).groupBy("bucket").applyInArrow(_answer(False, buckets), C.PLACES))
+    windows = texts.join(hits, ["k", "t"]).select("k", "t", "text", "at").mapInArrow(_send(_extend(size, block), buckets, True), PACK)
+    repeats = C.per_document(windows.groupBy("bucket").applyInArrow(_answer(True, buckets), C.PLACES))
     return (
-        keyed.join(repeats, ["k", "t"], "left").select("doc_id", "text", "hits")
+        texts.join(repeats, ["k", "t"], "left").select("k", "text", "at")
         .mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<int>>")
     )

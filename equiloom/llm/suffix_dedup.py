@@ -104,8 +104,8 @@ def _send(size: int, buckets: int):
             buf, offs = C.utf8(part.column("text"))
             row, first, n, _, h = _regions(buf, offs, size)
             hit = np.zeros(len(buf) + 1, bool)
-            for i, lists in enumerate(part.column("hits").to_pylist()):
-                hit[offs[i] + S.spots(lists)] = True
+            for i, at in enumerate(part.column("at").to_pylist()):
+                hit[offs[i] + C.places_of(at)] = True
             for i in np.flatnonzero(hit[first]):
                 a, r = int(first[i]), int(row[i])
                 pile.append((buf[a : a + int(n[i]) + size - 1].tobytes(), int(h[i]), int(k[r]), int(t[r]), a - int(offs[r])))
@@ -170,18 +170,18 @@ def _split(size: int):
     return run
 
 
-def _shard(size: int):
+def _shard(size: int, slots: int):
     """Places and lengths of the runs of windows that occur elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         times: list[int] = []
         refs = []
-        out: dict[tuple, list] = {}
+        out = []
         for r in table.to_pylist():
             for text, many, k, t, at in _unpack(r):
                 if r["kind"]:
-                    out.setdefault((k, t), []).append((at, many))
+                    out.append((k, t, at, many))
                     continue
                 i = index.setdefault(text, len(times))
                 if i == len(times):
@@ -194,10 +194,9 @@ def _shard(size: int):
         for i, k, t, at in refs:
             got = [(0, len(texts[i]) - size + 1)] if times[i] > 1 else runs[i]
             if got:
-                out.setdefault((k, t), []).extend((at + a, n) for a, n in got)
-        rows = [(k, t, C.spread(np.array(x, np.uint32).ravel())) for (k, t), x in out.items()]
-        ks, ts, ats = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"k": pa.array(ks, pa.int64()), "t": pa.array(ts, pa.int32()), "at": pa.array(ats, pa.binary())})
+                out += [(k, t, at + a, n) for a, n in got]
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        return C.by_slot(*(np.array(x, d) for x, d in zip(columns, (np.int64, np.int32, np.uint32, np.uint32), strict=True)), slots)
 
     return run
 
@@ -231,20 +230,19 @@ def _remove(size: int):
         for part in C.slices(batches):
             buf, offs = C.utf8(part.column("text"))
             out = []
-            for i, lists in enumerate(part.column("hits").to_pylist()):
+            for i, (at, m) in enumerate(zip(part.column("at").to_pylist(), part.column("m").to_pylist(), strict=True)):
                 data = buf[offs[i] : offs[i + 1]]
                 cover = np.zeros(len(data) + 1, np.int64)
-                for b in lists or ():
-                    pair = C.gather(b, np.uint32).astype(np.int64).reshape(-1, 2)
-                    np.add.at(cover, pair[:, 0], 1)
-                    np.add.at(cover, pair[:, 0] + pair[:, 1] + size - 1, -1)
+                first = C.places_of(at)
+                np.add.at(cover, first, 1)
+                np.add.at(cover, first + C.places_of(m) + size - 1, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 lo, hi = C.runs_of(gone)
                 kept = data[~gone].tobytes()
                 out.append((len(data), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [[int(a), int(z)] for a, z in zip(lo, hi, strict=True)]))
             n, gone, spans, sha, kept, at = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.list_(pa.int32())))],
+                [C.doc_ids(part), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.list_(pa.int32())))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
             )
 
@@ -258,23 +256,15 @@ def dedup_suffixes(docs: DataFrame, size: int = 200, shard: int = SHARD) -> Data
     number of text bytes behind one suffix array."""
     keyed = C.keyed(docs)
     total = C.text_bytes(keyed)
-    marks = max(8, total // (1 << 28))
+    marks = max(8, total // (1 << 25))
     buckets = max(8, total // (2 * shard))
     texts = keyed.select("k", "t", "text")
-    hits = (
-        texts.mapInArrow(S._send(_mark(size), marks, True), S.PACK)
-        .groupBy("bucket").applyInArrow(S._answer(True), S.SPOT)
-        .groupBy("k", "t").agg(F.collect_list("at").alias("hits"))
-    )
-    regions = C.checkpoint(texts.join(hits, ["k", "t"]).mapInArrow(_send(size, buckets), REGIONS))
+    hits = C.per_document(texts.mapInArrow(S._send(_mark(size), marks, True), S.PACK).groupBy("bucket").applyInArrow(S._answer(True, marks), C.PLACES))
+    regions = C.checkpoint(texts.join(hits, ["k", "t"]).select("k", "t", "text", "at").mapInArrow(_send(size, buckets), REGIONS))
     load = regions.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("kind") == 0, F.octet_length("text"))) / F.lit(4 * shard)).cast("int").alias("parts"))
-    repeats = (
-        regions.join(load, "bucket").select(*[f for f, _ in _FIELDS], F.coalesce("parts", F.lit(1)).alias("parts"))
-        .mapInArrow(_split(size), REGIONS)
-        .groupBy("bucket", "sub").applyInArrow(_shard(size), S.SPOT)
-        .groupBy("k", "t").agg(F.collect_list("at").alias("hits"))
-    )
+    dealt = regions.join(load, "bucket").select(*[f for f, _ in _FIELDS], F.coalesce("parts", F.lit(1)).alias("parts")).mapInArrow(_split(size), REGIONS)
+    repeats = C.per_document(dealt.groupBy("bucket", "sub").applyInArrow(_shard(size, marks), C.PLACES))
     return (
-        keyed.join(repeats, ["k", "t"], "left").select("doc_id", "text", "hits")
+        texts.join(repeats, ["k", "t"], "left").select("k", "text", "at", "m")
         .mapInArrow(_remove(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<int>>")
     )
