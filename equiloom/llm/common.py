@@ -24,6 +24,8 @@ NULL_KEY = -(2**63)
 CHUNK = 2 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,6 +63,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def lower(buf: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, other bytes unchanged."""
+    return _LOWER[buf]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x *= _C1
@@ -115,12 +122,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the words' offsets by row."""
     n = len(buf)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~_WS[buf]
+    inside = ~space[buf]
     first = np.zeros(n + 1, bool)
     first[offs] = True
     start = inside.copy()

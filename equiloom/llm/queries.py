@@ -23,6 +23,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), 3, 3).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.decontaminate import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equiloom.llm.quality_rules import quality
 
@@ -43,6 +49,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.toxicity import fit, grade
+
+    docs = _table(spark, sf_dir, "documents")
+    return grade(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
