@@ -32,13 +32,13 @@ from equiloom.llm import common as C
 from equiloom.llm import substring_dedup as S
 from equiloom.llm.suffix_sort import common_prefixes, suffix_array
 
-GRAM = 48
+GRAM = 32
 FLUSH = 8 << 20
 SHARD = 1 << 20
 _TABLE = C.mix(np.arange(1, 257, dtype=np.uint64) * C._K1)
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
-REGIONS = "bucket int, sub int, kind int, text binary, n binary, many binary, k binary, t binary, at binary"
-_FIELDS = [("bucket", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("text", "n", "many", "k", "t", "at"))]
+REGIONS = "bucket int, sub int, kind int, text binary, h binary, n binary, many binary, k binary, t binary, at binary"
+_FIELDS = [("bucket", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("text", "h", "n", "many", "k", "t", "at"))]
 _SCHEMA = pa.schema(_FIELDS)
 
 
@@ -133,6 +133,7 @@ def _row(bucket: int, sub: int, kind: int, xs: list) -> pa.RecordBatch:
     row = {
         "bucket": bucket, "sub": sub, "kind": kind,
         "text": C.zstandard.compress(b"".join(x[0] for x in xs), 1),
+        "h": C.spread((np.array([x[1] for x in xs], np.uint64) >> np.uint64(32)).astype(np.uint32)),
         "n": C.spread(np.array([len(x[0]) for x in xs], np.uint32)),
         "many": C.spread(np.array([x[5] for x in xs], np.uint32)),
         "k": C.spread(np.array([x[2] for x in xs], np.int64)),
@@ -146,7 +147,7 @@ def _unpack(row: dict) -> list:
     text = C.zstandard.decompress(row["text"])
     n = C.gather(row["n"], np.uint32).astype(np.int64)
     ends = np.cumsum(n)
-    return list(zip((text[a:z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)), C.gather(row["many"], np.uint32).tolist(), C.gather(row["k"], np.int64).tolist(), C.gather(row["t"], np.int32).tolist(), C.gather(row["at"], np.uint32).tolist(), strict=True))
+    return list(zip((text[a:z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)), C.gather(row["h"], np.uint32).tolist(), C.gather(row["many"], np.uint32).tolist(), C.gather(row["k"], np.int64).tolist(), C.gather(row["t"], np.int32).tolist(), C.gather(row["at"], np.uint32).tolist(), strict=True))
 
 
 def _split(size: int):
@@ -159,11 +160,11 @@ def _split(size: int):
                     yield pa.RecordBatch.from_pylist([{f: r[f] for f, _ in _FIELDS}], _SCHEMA)
                     continue
                 by: dict[int, list] = {}
-                for text, many, k, t, at in _unpack(r):
+                for text, _, many, k, t, at in _unpack(r):
                     buf = np.frombuffer(text, np.uint8)
                     _, first, n, _, h = _regions(buf, np.array([0, len(buf)]), size, True)
                     for a, m, x in zip(first.tolist(), n.tolist(), h.tolist(), strict=True):
-                        by.setdefault(x % r["parts"], []).append((text[a : a + m + size - 1], 0, k, t, at + a, many))
+                        by.setdefault(x % r["parts"], []).append((text[a : a + m + size - 1], x, k, t, at + a, many))
                 for sub, xs in by.items():
                     yield _row(r["bucket"], sub, 0, xs)
 
@@ -176,21 +177,27 @@ def _shard(size: int, slots: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         times: list[int] = []
+        least: list[int] = []
         refs = []
         out = []
         for r in table.to_pylist():
-            for text, many, k, t, at in _unpack(r):
+            for text, h, many, k, t, at in _unpack(r):
                 if r["kind"]:
                     out.append((k, t, at, many))
                     continue
                 i = index.setdefault(text, len(times))
                 if i == len(times):
                     times.append(0)
+                    least.append(h)
                 times[i] += 1 + many
                 if not many:
                     refs.append((i, k, t, at))
         texts = list(index)
-        runs = _repeats(texts, size) if len(texts) > 1 else [()] * len(texts)
+        shared = Counter(least)  # as in step 1: a region alone with its hash repeats no other
+        some = [i for i, h in enumerate(least) if shared[h] > 1]
+        runs: list = [()] * len(texts)
+        for i, found in zip(some, _repeats([texts[i] for i in some], size) if some else (), strict=True):
+            runs[i] = found
         for i, k, t, at in refs:
             got = [(0, len(texts[i]) - size + 1)] if times[i] > 1 else runs[i]
             if got:

@@ -8,63 +8,65 @@ from __future__ import annotations
 
 import numpy as np
 
+_FIRST = np.ones(1, bool)
+
 
 def _by(char: np.ndarray, letters: int) -> np.ndarray:
     """Stable order by letter; 16-bit letters sort by radix."""
     return np.argsort(char.astype(np.uint16) if letters <= 65536 else char, kind="stable")
 
 
-def _scan(text: np.ndarray, sa: np.ndarray, small: np.ndarray, heads: np.ndarray) -> None:
-    """Induce the L-type suffixes from left to right: each entry of `sa` puts
-    its predecessor, if not `small`, at its bucket's head. The S-type scan is
-    the same on mirrored arrays."""
+def _scan(code: np.ndarray, sa: np.ndarray, kind: int, heads: np.ndarray) -> None:
+    """Induce the suffixes of one type from left to right: each entry of `sa`
+    puts its predecessor, if of type `kind`, at its bucket's head. `code` holds
+    twice the letter plus the type. The S-type scan is the same on a mirrored
+    array."""
     n, at, block = len(sa), 0, 4096
     while at < n:
         part = sa[at : at + block]
         source = np.flatnonzero(part > 0)
         before = part[source] - 1
-        ok = ~small[before]
-        source, before = source[ok], before[ok]
+        char = code[before]
+        ok = (char & 1) == kind
+        source, before, char = source[ok], before[ok], char[ok] >> 1
         if not len(source):
             at += len(part)
             continue
-        char = text[before]
         order = _by(char, len(heads))
         source, before, char = source[order], before[order], char[order]
-        new = np.ones(len(char), bool)
-        new[1:] = char[1:] != char[:-1]
-        first = np.flatnonzero(new)
-        rank = np.arange(len(char)) - np.repeat(first, np.diff(np.append(first, len(char))))
-        place = heads[char] + rank
+        first = np.flatnonzero(np.concatenate((_FIRST, char[1:] != char[:-1])))
+        per = np.diff(np.append(first, len(char)))
+        place = np.arange(len(char)) + np.repeat(heads[char[first]] - first, per)
         stop = int(place.min()) - at
         if stop < len(part):
             keep = source < stop
             before, char, place = before[keep], char[keep], place[keep]
             at, block = at + stop, max(64, 2 * stop)
+            np.add.at(heads, char, 1)
         else:
             at, block = at + len(part), min(2 * block, 1 << 16)
+            heads[char[first]] += per
         sa[place] = before
-        np.add.at(heads, char, 1)
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _induce(code: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the given order of LMS positions implies."""
-    n = len(text)
+    n = len(code)
     ends = np.cumsum(count)
-    sa = np.full(n + 1, -1, np.int64)  # sa[0] is the empty suffix
+    sa = np.full(n + 1, -1, code.dtype)  # sa[0] is the empty suffix
     # LMS suffixes at the ends of their buckets, in the order given.
-    char = text[lms]
+    char = code[lms] >> 1
     order = _by(char, len(count))
     cs = char[order]
     per = np.bincount(cs, minlength=len(count))
     first = np.cumsum(per) - per
     sa[1 + ends[cs] - per[cs] + np.arange(len(cs)) - first[cs]] = lms[order]
     sa[0] = n
-    _scan(text, sa, small, 1 + ends - count)
+    _scan(code, sa, 0, 1 + ends - count)
     # Now S-type from right to left; the LMS ones are placed anew.
-    sa[1:][small[np.maximum(sa[1:], 0)] & (sa[1:] >= 0)] = -1
-    mirror = sa[1:][::-1].copy()
-    _scan(text, mirror, ~small, n - ends)
+    mirror = sa[:0:-1].copy()
+    mirror[(code[np.maximum(mirror, 0)] & 1).astype(bool)] = -1
+    _scan(code, mirror, 1, n - ends)
     return mirror[::-1]
 
 
@@ -73,6 +75,7 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
+    text = text.astype(np.int32 if max(n, 2 * letters) < 2**31 - 1 else np.int64)
     count = np.bincount(text, minlength=letters)
     # A suffix is S-type if smaller than the next one: its run of equal letters
     # ends at a larger letter.
@@ -80,10 +83,11 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     small = np.zeros(n, bool)
     lengths = np.diff(np.concatenate(([-1], turn, [n - 1])))
     small[:] = np.repeat(np.append(text[turn] < text[turn + 1], False), lengths)
+    code = 2 * text + small
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) < 2:
-        return _induce(text, small, lms, count)
-    rough = _induce(text, small, lms, count)
+        return _induce(code, lms, count)
+    rough = _induce(code, lms, count)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = rough[is_lms[rough]]
@@ -104,7 +108,7 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     names[order] = name
     if name[-1] + 1 < len(lms):
         order = lms[suffix_array(names[lms], int(name[-1]) + 1)]
-    return _induce(text, small, order, count)
+    return _induce(code, order, count)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
