@@ -37,6 +37,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.chat_format import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,12 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2).drop("ids")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equiloom.llm.suffix_dedup import dedup_suffixes
 
@@ -65,10 +77,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    from equiloom.llm import source_mix
+    from equiloom.llm import license_scan, source_mix
 
-    return {"op9_source_mix": source_mix.oracle()}
+    return {"op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle()}
