@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from equiloom.plans import base, company, flows, market, texts
+
 
 def queries() -> dict:
-    return {}
+    assert company and flows and market and texts
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLE)
