@@ -30,7 +30,8 @@ def panel(q: DataFrame, n: int = 5) -> DataFrame:
     p = p.select("ticker", "period_end", num.js_round(crore_scaled(p, "revenue"), 2).alias("sales"), num.js_round(crore_scaled(p, "net_income"), 2).alias("np"), num.js_round(F.col("eps"), 2).alias("eps"))
     g = p.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("period_end", "sales", "np", "eps"))).alias("r"))
     list_ = lambda f: F.array_join(F.transform("r", f), ",")
-    return g.select("ticker", list_(lambda x: F.date_format(x["period_end"], "MMM yyyy")).alias("labels"), *[list_(lambda x, c=c: x[c].cast("decimal(20,2)").cast("string")).alias(c) for c in ("sales", "np", "eps")])
+    cell = lambda c: list_(lambda x: x[c].cast("decimal(20,2)").cast("string")).alias(c)
+    return g.select("ticker", list_(lambda x: F.date_format(x["period_end"], "MMM yyyy")).alias("labels"), cell("sales"), cell("np"), cell("eps"))
 
 
 def yoy(q: DataFrame, n: int = 5) -> DataFrame:
