@@ -1 +1,228 @@
-"""Queries."""
+"""Queries on documents, conversations, pages and filings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from equiloom.functions import num, text
+from equiloom.operators import themes as TH
+from equiloom.plans.base import query
+from equiloom.sources import domain as D
+from equiloom.sources import parsers as P
+from equiloom.sources.domain import with_sql as W
+
+
+def _docs(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("sector"), F.col("source").alias("sub_sector"))
+
+
+def _has(x: str, term: str) -> str:
+    cs = text.is_acronym(term)
+    body = "[\\s ]+".join(term.split())
+    return f"regexp_matches({x}, '{'' if cs else '(?i)'}(^|[^A-Za-z0-9_-]){body}([^A-Za-z0-9_]|$)')"
+
+
+def _pattern(x: str, p: str) -> str:
+    return "(" + " OR ".join("(" + " AND ".join(_has(x, t) for t in c) + ")" for c in text.parse_pattern(p)) + ")"
+
+
+_DSL = "that the+with|MIT License|und der|token"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_pattern('text', _DSL)}")
+def f07_pattern_match(spark, d):
+    return _docs(spark, d).where(text.matches_pattern(F.col("text"), _DSL)).select("doc_id")
+
+
+_TERMS = sorted({t for c in text.parse_pattern(_DSL) for t in c}, key=lambda t: (-len(t), t))
+
+
+@query("SELECT doc_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {_has('text', t)} THEN '{t}' END" for t in _TERMS) + "] IF x IS NOT NULL], '|') AS terms FROM documents")
+def t05_matched_terms(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(text.matched_terms(F.col("text"), _DSL), "|").alias("terms"))
+
+
+@query()
+def f08_noise_suppressed(spark, d):
+    return _docs(spark, d).where(text.matches_pattern(F.col("text"), "the and|token|MIT License", noise=True)).select("doc_id")
+
+
+@query()
+def m12_loose_and(spark, d):
+    return _docs(spark, d).select("doc_id", text.loose_and_distance(F.col("text"), ["that the", "with", "token"]).alias("distance")).where("distance > 140")
+
+
+_THEMES = {
+    "license": {"pattern": "license|licensed", "allow": ["en", "fr", "de"], "deny": [("en", "src1")]},
+    "tokens": {"pattern": "token|secret", "deny": [("de", "src3")]},
+    "common": {"pattern": "the+and+of", "allow": ["en"]},
+}
+
+
+def _theme_sql() -> str:
+    cells = []
+    for k, t in _THEMES.items():
+        gate = "true" if not t.get("allow") else "lang IN (" + ", ".join(f"'{x}'" for x in t["allow"]) + ")"
+        deny = " OR ".join(f"(lang = '{a}' AND source = '{b}')" for a, b in t.get("deny", [])) or "false"
+        cells.append(f"coalesce(length(trim(text)) > 0 AND {_pattern('text', t['pattern'])} AND NOT ({deny}) AND {gate}, false) AS theme_{k}")
+    return "SELECT doc_id, " + ", ".join(cells) + " FROM documents"
+
+
+@query(_theme_sql())
+def f35_theme_rows(spark, d):
+    return TH.theme_flags(_docs(spark, d), "text", _THEMES).select("doc_id", *[f"theme_{k}" for k in _THEMES])
+
+
+_WORDS = ["license", "licensed", "token", "secret", "that the", "zebra", "of the", "MIT"]
+
+
+@query("SELECT k AS keyword, n AS hits, f AS first_key FROM (" + " UNION ALL ".join(f"SELECT '{w}' AS k, count(*) AS n, min(doc_id) AS f FROM documents WHERE {_has('text', w)}" for w in _WORDS) + ")")
+def a23_keyword_audit(spark, d):
+    return TH.keyword_audit(_docs(spark, d), "text", "doc_id", _WORDS)
+
+
+@query(_theme_sql().replace("SELECT doc_id,", "SELECT sum(theme_license::INT)::BIGINT AS license, sum(theme_tokens::INT)::BIGINT AS tokens, sum(theme_common::INT)::BIGINT AS common, count(*) AS corpus FROM (SELECT doc_id,") + ")")
+def a24_audit_report(spark, d):
+    t = TH.theme_flags(_docs(spark, d), "text", _THEMES)
+    return t.agg(*[F.count_if(f"theme_{k}").alias(k) for k in _THEMES], F.count("*").alias("corpus"))
+
+
+@query("SELECT phrase, count(*) AS hits FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS phrase FROM documents WHERE lang = 'en') WHERE phrase NOT IN ('that', 'with') GROUP BY 1 HAVING count(*) >= 3 ORDER BY hits DESC, phrase LIMIT 8")
+def a34_mining(spark, d):
+    return TH.mine(_docs(spark, d).where("sector = 'en'"), "text", ["that", "with"])
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 80 AND ((lower(text) LIKE '%home%')::INT + (lower(text) LIKE '%contact us%')::INT + (lower(text) LIKE '%about us%')::INT + (lower(text) LIKE '%login%')::INT + (lower(text) LIKE '%products%')::INT + (lower(text) LIKE '%careers%')::INT >= 3) THEN true ELSE false END AS junk FROM documents")
+def p05_nav_junk(spark, d):
+    return _docs(spark, d).select("doc_id", text.looks_like_menu(F.col("text")).alias("junk"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 30")
+def f33_min_text(spark, d):
+    return _docs(spark, d).where(F.length(F.trim("text")) >= 30).select("doc_id")
+
+
+# --- conversations ---
+
+
+def _any(x: str, words) -> str:
+    return " + ".join(f"(contains(lower({x}), '{w}'))::INT" for w in words)
+
+
+@query(f"SELECT conv_id, turn, sign(({_any('text', text.POSITIVE)}) - ({_any('text', text.NEGATIVE)}))::INT AS tone FROM conversations")
+def t16_sentiment(spark, d):
+    return D.table(spark, d, "conversations").select("conv_id", "turn", text.sentiment(F.coalesce("text", F.lit(""))).alias("tone"))
+
+
+@query(f"WITH t AS (SELECT conv_id, sign(({_any('text', text.POSITIVE)}) - ({_any('text', text.NEGATIVE)}))::INT AS tone FROM conversations) SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE tone > 0) AS positive, count(*) FILTER (WHERE tone < 0) AS negative, count(*) FILTER (WHERE tone = 0) AS neutral FROM t GROUP BY 1")
+def a28_tone_counts(spark, d):
+    t = D.table(spark, d, "conversations").select("conv_id", text.sentiment(F.coalesce("text", F.lit(""))).alias("tone"))
+    n = lambda c, a: F.count_if(c).alias(a)
+    return t.groupBy("conv_id").agg(F.count("*").alias("total"), n(F.col("tone") > 0, "positive"), n(F.col("tone") < 0, "negative"), n(F.col("tone") == 0, "neutral"))
+
+
+_KW = ["order", "export", "tion", "wind", "acquire", "capex"]
+
+
+@query("SELECT conv_id, turn, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in _KW) + "] IF x IS NOT NULL], ',') AS hits FROM conversations")
+def t15_keyword_hits(spark, d):
+    return D.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.keyword_hits(F.col("text"), _KW), ",").alias("hits"))
+
+
+@query("SELECT conv_id, string_agg('[' || turn || '] ' || left(text, 40), chr(10) ORDER BY turn) AS note FROM conversations GROUP BY 1")
+def a36_note_text(spark, d):
+    c = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
+    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), F.left(x["text"], F.lit(40)))), "\n").alias("note"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?'), ',') AS numbers FROM documents WHERE regexp_matches(text, '\\d')")
+def t22_number_trace(spark, d):
+    n = _docs(spark, d).select("doc_id", text.numbers_in(F.col("text")).alias("n")).where(F.size("n") > 0)
+    return n.select("doc_id", F.array_join("n", ",").alias("numbers"))
+
+
+@query("WITH f AS (SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1) SELECT conv_id, role, length(text)::INT AS n FROM f")
+def a37_top_headline(spark, d):
+    c = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("f"))
+    return c.select("conv_id", "f.role", F.length("f.text").alias("n"))
+
+
+# --- pages ---
+
+_STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, md5({_STRIP}) AS digest, length({_STRIP})::INT AS n FROM pages")
+def t13_strip_tags(spark, d):
+    p = D.table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t"))
+    return p.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1))::INT AS paragraphs, len(regexp_extract_all(html, '(?is)<a\s[^>]*href=', 0))::INT AS links FROM pages")
+def s32_row_extract(spark, d):
+    part = lambda r, i: F.size(F.regexp_extract_all("html", F.lit(r), F.lit(i)))
+    return D.table(spark, d, "pages").select("page_id", part("(?is)<p[^>]*>(.*?)</p>", 1).alias("paragraphs"), part("(?is)<a\\s[^>]*href=", 0).alias("links"))
+
+
+# --- names ---
+
+
+@query(W("company") + r" SELECT ticker, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '\b(limited|ltd|private|pvt|inc|corp|corporation|company|co)\b\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS norm, upper(ticker) || CASE WHEN market LIKE 'BSE%' THEN '.BO' ELSE '.NS' END AS yahoo FROM company")
+def t08_norm_name(spark, d):
+    return D.company(spark, d).select("ticker", text.norm_name(F.col("name")).alias("norm"), text.yahoo_symbol(F.col("ticker"), F.col("market")).alias("yahoo"))
+
+
+@query(r"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN right(lpad(c_custkey::VARCHAR, 8, '0'), 8) ELSE 'n:' || trim(regexp_replace(regexp_replace(lower(c_name), '\b(mr|mrs|ms|dr|shri|smt)\b\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) END AS person_id FROM customer")
+def t09_person_key(spark, d):
+    c = D.table(spark, d, "customer")
+    return c.select("c_custkey", text.person_id(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")), F.col("c_name")).alias("person_id"))
+
+
+@query("WITH s AS (SELECT DISTINCT o_orderpriority AS p FROM orders) SELECT p, CASE WHEN upper(trim(p)) = 'B' OR starts_with(upper(trim(p)), 'BUY') THEN 'BUY' WHEN upper(trim(p)) = 'S' OR starts_with(upper(trim(p)), 'SEL') THEN 'SELL' ELSE upper(trim(p)) END AS side FROM s")
+def t25_side(spark, d):
+    return D.table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct().select("p", text.normalize_side(F.col("p")).alias("side"))
+
+
+@query("SELECT o_orderkey, CASE WHEN v < 1000 THEN v::VARCHAR WHEN v < 100000 THEN (v // 1000)::VARCHAR || ',' || lpad((v % 1000)::VARCHAR, 3, '0') ELSE (v // 100000)::VARCHAR || ',' || lpad((v // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v % 1000)::VARCHAR, 3, '0') END AS grouped FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders WHERE o_totalprice < 10000000)")
+def t20_grouping(spark, d):
+    o = D.table(spark, d, "orders").where("o_totalprice < 10000000")
+    return o.select("o_orderkey", num.indian_grouping(F.floor("o_totalprice")).alias("grouped"))
+
+
+# --- parsers over inline text ---
+
+
+def _inline(spark, value: str):
+    return spark.range(1).select(F.lit(value).alias("v"))
+
+
+@query("SELECT * FROM (VALUES (DATE '2024-03-05', 'ABC', 'ALDER, FUND', 'BUY', 1200.0::DOUBLE, 10.5::DOUBLE), (DATE '2024-03-06', 'XYZ', 'BIRCH', 'SELL', 50.0::DOUBLE, NULL::DOUBLE)) v(trade_date, symbol, client, side, quantity, price)")
+def s23_deal_csv(spark, d):
+    lines = ['05-Mar-2024,ABC.NS,"ABC, LTD","ALDER, FUND",B,"1,200",10.5', "06/03/2024,NSE:XYZ,XYZ,BIRCH,SELL,50,-"]
+    return P.csv_deals(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in lines])).alias("v")), "v")
+
+
+_XBRL = "<x:xbrl><x:context id='OneD'><x:period><x:endDate>2024-03-31</x:endDate></x:period></x:context><x:context id='FourD'><x:period><x:endDate>2024-03-31</x:endDate></x:period></x:context><f:RevenueFromOperations contextRef='OneD'>483620000</f:RevenueFromOperations><f:ProfitLossForPeriod contextRef='OneD'>41703000</f:ProfitLossForPeriod><f:BasicEarningsLossPerShare contextRef='OneD'>3.17</f:BasicEarningsLossPerShare><f:RevenueFromOperations contextRef='FourD'>1011029000</f:RevenueFromOperations></x:xbrl>"
+
+
+@query("SELECT * FROM (VALUES ('OneD', DATE '2024-03-31', 483620000.0::DOUBLE, 41703000.0::DOUBLE, 3.17::DOUBLE), ('FourD', DATE '2024-03-31', 1011029000.0::DOUBLE, NULL, NULL)) v(context, period_end, revenue, net_income, eps)")
+def s28_xbrl(spark, d):
+    return P.xbrl_quarters(_inline(spark, _XBRL), "v")
+
+
+@query("SELECT * FROM (VALUES ('Alder wins order', 'https://a.example', TIMESTAMP '2024-03-05 10:00:00'), ('Birch falls', 'https://b.example', TIMESTAMP '2024-03-06 11:30:00')) v(title, link, published)")
+def s33_feed(spark, d):
+    feed = "<rss><channel><item><title>Alder wins order</title><link>https://a.example</link><pubDate>05 Mar 2024 10:00:00</pubDate></item><item><title>Birch falls</title><link>https://b.example</link><pubDate>06 Mar 2024 11:30:00</pubDate></item></channel></rss>"
+    return P.feed_items(_inline(spark, feed), "v").withColumn("published", F.col("published").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM (VALUES ('ABC', '00001234', 'A. Alder', 'Independent Director', 'Independent'), ('ABC', 'n:b birch', 'Mr. B. Birch', 'Managing Director', 'Executive')) v(ticker, person_id, director, designation, category)")
+def s31_board_json(spark, d):
+    doc = '{"symbol":"ABC.NS","data":[{"name":"A. Alder","din":"1234","designation":"Independent Director","status":"Active"},{"name":"Mr. B. Birch","designation":"Managing Director"},{"name":"C","din":"9","designation":"Director","status":"Cessation"}]}'
+    return P.board_json(_inline(spark, doc), "v")
+
+
+@query("SELECT * FROM (VALUES (DATE '2024-03-31', 100.0::DOUBLE, 12.5::DOUBLE, 8.0::DOUBLE), (DATE '2024-02-28', 90.0::DOUBLE, 9.0::DOUBLE, 7.0::DOUBLE)) v(period_end, revenue, ebit, net_income)")
+def s29_results_json(spark, d):
+    return P.results_json(_inline(spark, '{"d":"{\\"periods\\":[\\"Mar-24\\",\\"Feb-24\\"],\\"sales\\":[100,90],\\"opm\\":[12.5,10],\\"np\\":[8,7]}"}'), "v")
