@@ -30,6 +30,8 @@ _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_POS[1024] = 1  # a word's first 1024 bytes hash alike whether longer words are near or not
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that the cluster names; a
