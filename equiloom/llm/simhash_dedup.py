@@ -179,15 +179,16 @@ def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def near_components(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """One row per document: doc_id, k, t, fp, fingerprint (hex) and
-    component_id, the smallest doc_id reachable over links of `bits` bits."""
+    """One row per document: doc_id, k, t, fp, fingerprint (hex), component_id,
+    the smallest doc_id reachable over links of `bits` bits, and component, its
+    smallest fingerprint, which tells components apart where doc_ids repeat."""
     prints = C.checkpoint(fingerprints(docs, width))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     label = components(near_links(nodes.select("fp"), bits)).select(F.col("u").alias("fp"), "m")
     named = C.checkpoint(nodes.join(label, "fp", "left").select("fp", "least", F.coalesce("m", "fp").alias("m")))
     ids = named.groupBy("m").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "m").select("fp", "component_id"), "fp").select(
-        "doc_id", "k", "t", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return prints.join(named.join(ids, "m").select("fp", "component_id", F.col("m").alias("component")), "fp").select(
+        "doc_id", "k", "t", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component"
     )
 
 
@@ -195,8 +196,9 @@ def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """The document with the smallest doc_id of each component, as it was;
     repeated rows of it go."""
     groups = near_components(docs, bits, width)
-    stay = groups.where(F.col("k") == F.coalesce("component_id", F.lit(C.NULL_KEY))).groupBy("k").agg(F.min("t").alias("t"))
+    first = F.min(F.struct("k", "t")).alias("s")
+    stay = groups.where(F.col("k") == F.coalesce("component_id", F.lit(C.NULL_KEY))).groupBy("component").agg(first)
     text = F.coalesce("text", F.lit(""))
     tagged = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_KEY)), "__t": F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int")})
-    stay = stay.select(F.col("k").alias("__k"), F.col("t").alias("__t"))
+    stay = stay.select(F.col("s.k").alias("__k"), F.col("s.t").alias("__t"))
     return tagged.join(stay, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).drop("__k", "__t")
