@@ -214,4 +214,40 @@ def j10_aligned(spark, d):
     return a.crossJoin(F.broadcast(top)).select("symbol", "n", "last_date", (F.col("last_date") == F.col("top")).alias("current"))  # one row
 
 
-assert Window
+@query("SELECT * FROM (VALUES ('Alder Fund', 1.5::DOUBLE), ('Birch', 2.25::DOUBLE)) v(holder_name, pct)")
+def s34_json_walk(spark, d):
+    doc = '{"a":[{"x":{"holder_name":"Alder Fund","pct":1.5}},{"y":1}],"b":{"c":{"holder_name":"Birch","pct":2.25},"d":{"name":"no"}}}'
+    return P.json_objects(spark.range(1).select(F.lit(doc).alias("v")), "v", "holder_name", "holder_name string, pct double")
+
+
+@query("SELECT * FROM (VALUES ('ABC', 'Abc Ltd', 12.5::DOUBLE), ('XYZ', 'Xyz', NULL)) v(ticker, name, mcap_cr)")
+def s35_listings(spark, d):
+    doc = '[{"scrip_id":"abc","scrip_name":"Abc Ltd","status":"Active","grp":"M ","mcap":12.5},{"scrip_id":"ABC","scrip_name":"Abc Ltd","status":"Active","grp":"MT","mcap":0},{"scrip_id":"XYZ","scrip_name":"Xyz","status":"Active","grp":"M","mcap":0},{"scrip_id":"OLD","scrip_name":"Old","status":"Delisted","grp":"M","mcap":9}]'
+    return P.listings(spark.range(1).select(F.lit(doc).alias("v")), "v")
+
+
+@query("SELECT * FROM (VALUES (DATE '2024-03-31', 'b.xml', true), (DATE '2023-12-31', 'c.xml', false)) v(period_end, xbrl, consolidated)")
+def s41_filings(spark, d):
+    doc = '[{"toDate":"31-Mar-2024","consolidated":"Non-Consolidated","xbrl":"a.xml"},{"toDate":"31-Mar-2024","consolidated":"Consolidated","xbrl":"b.xml"},{"toDate":"31-Dec-2023","consolidated":"Standalone","xbrl":"c.xml"},{"toDate":"30-Sep-2023","consolidated":"Consolidated","xbrl":"-"}]'
+    return P.filings(spark.range(1).select(F.lit(doc).alias("v")), "v")
+
+
+@query("SELECT doc_id, CASE WHEN lower(lang) = 'en' AND n_chars <= 500 THEN 'small' WHEN n_chars IS NULL THEN 'unknown' ELSE 'rest' END AS cap_gate FROM documents")
+def f13_cap_gate(spark, d):
+    n = F.col("n_chars")
+    return D.table(spark, d, "documents").select("doc_id", F.when((F.lower("lang") == "en") & (n <= 500), "small").when(n.isNull(), "unknown").otherwise("rest").alias("cap_gate"))
+
+
+@query("SELECT o_orderkey, o_custkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DOUBLE AS invested FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def s18_open_positions(spark, d):
+    o = D.table(spark, d, "orders").where("o_orderstatus = 'O'")
+    w = Window.partitionBy("o_custkey")
+    x = o.select("o_orderkey", "o_custkey", "o_orderdate", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w).cast("double").alias("invested"))
+    return x.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).drop("o_orderdate")
+
+
+@query("WITH n AS (SELECT lower(trim(c_mktsegment)) AS name, c_nationkey % 3 AS scope, max(c_custkey) AS id FROM customer GROUP BY 1, 2) SELECT name, scope, id FROM n")
+def i15_saved_search(spark, d):
+    """Saved searches by name in any case and scope, the last written kept."""
+    c = D.table(spark, d, "customer")
+    return c.groupBy(F.lower(F.trim("c_mktsegment")).alias("name"), (F.col("c_nationkey") % 3).alias("scope")).agg(F.max("c_custkey").alias("id"))

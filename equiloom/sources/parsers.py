@@ -58,3 +58,26 @@ def table_rows(html: Column) -> Column:
     """Cells of the rows of an HTML table, tags stripped."""
     rows = F.regexp_extract_all(html, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "\\s+", " "))))
+
+
+def json_objects(df: DataFrame, column: str, key: str, schema: str) -> DataFrame:
+    """The innermost objects of a document, at any depth, that hold a key."""
+    found = F.filter(F.regexp_extract_all(F.col(column), F.lit("(\\{[^{}]*\\})"), F.lit(1)), lambda x: F.get_json_object(x, f"$.{key}").isNotNull())
+    return df.select(F.explode(found).alias("o")).select(F.from_json("o", schema).alias("o")).select("o.*")
+
+
+def listings(df: DataFrame, column: str) -> DataFrame:
+    """Active small-company listings of the groups M and MT, one a scrip."""
+    schema = "array<struct<scrip_id:string, scrip_name:string, status:string, grp:string, mcap:double>>"
+    r = df.select(F.explode(F.from_json(column, schema)).alias("r")).select("r.*").where("status = 'Active' and trim(grp) in ('M', 'MT')")
+    return r.groupBy(F.upper("scrip_id").alias("ticker")).agg(F.min("scrip_name").alias("name"), F.max(F.when(F.col("mcap") > 0, F.col("mcap"))).alias("mcap_cr"))
+
+
+def filings(df: DataFrame, column: str) -> DataFrame:
+    """Filings with a machine-readable document, latest first; of a period the
+    consolidated one is preferred."""
+    schema = "array<struct<toDate:string, consolidated:string, xbrl:string, broadcast:string>>"
+    r = df.select(F.explode(F.from_json(column, schema)).alias("r")).select("r.*").where("xbrl is not null and xbrl like '%.xml'")
+    whole = ~F.lower("consolidated").rlike("non|stand")
+    g = r.select(dates.parse_trade_date(F.col("toDate")).alias("period_end"), whole.alias("whole"), "xbrl").groupBy("period_end")
+    return g.agg(F.max_by("xbrl", F.struct(F.col("whole"), F.col("xbrl"))).alias("xbrl"), F.max("whole").alias("consolidated")).orderBy(F.desc("period_end"))
