@@ -48,7 +48,7 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from equiloom.llm.token_files import round_trip
 
-    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2).drop("ids")
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from equiloom.llm import license_scan, source_mix
+    from equiloom.llm import license_scan, source_mix, substring_dedup
 
-    return {"op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle()}
+    return {"op1_substring_dedup": substring_dedup.oracle(), "op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle()}

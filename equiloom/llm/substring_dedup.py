@@ -248,3 +248,16 @@ def dedup_substrings(docs: DataFrame, size: int = 35) -> DataFrame:
         texts.join(repeats, ["k", "t"], "left").select("k", "text", "at")
         .mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<int>>")
     )
+
+
+def oracle(size: int = 35) -> str:
+    """The digest columns in DuckDB SQL, by counting every window."""
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, i, md5(array_to_string(w[i:i + {size - 1}], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {size - 2})) AS i FROM d)),
+hit AS (SELECT r, i FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {size})) AS j FROM hit),
+each AS (SELECT r, w[j] AS word, j FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS text FROM each ANTI JOIN gone USING (r, j) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from equiloom.llm import common as C
 from equiloom.llm.mixing_coder import BLOCK, decode, encode
 
-CHUNK_IDS = 4 << 20
-CACHE = 400_000
+CHUNK_IDS = 1 << 20
+CACHE = 250_000
 MAGIC = b"CMR1"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
 
@@ -68,15 +68,19 @@ class _Encoder:
 
     def __call__(self, texts: list[str], end: int) -> tuple[bytes, list[int]]:
         """All ids as little-endian 16-bit integers, and their number by text."""
-        pieces = [_pattern().findall(x) for x in texts]
+        pieces = list(map(_pattern().findall, texts))
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        new = list({p for ps in pieces for p in ps if p not in cache})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, np.uint16).tobytes()
+        cache, seen = self.cache, set()
+        for ps in pieces:
+            seen.update(ps)
+        new = list(seen - cache.keys())
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                cache[p] = np.array(e.ids, np.uint16).tobytes()
         tail = end.to_bytes(2, "little")
-        data = [b"".join([cache[p] for p in ps]) + tail for ps in pieces]
+        data = [b"".join(map(cache.__getitem__, ps)) + tail for ps in pieces]
         return b"".join(data), [len(x) // 2 for x in data]
 
 
@@ -152,9 +156,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
     keyed.repartitionByRange(int(parts), "k", "t").sortWithinPartitions("k", "t").mapInArrow(run, FORM).write.parquet(folder)
 
 
-def read_tokens(spark, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the
-    ids themselves. `start` adds up the containers before, by their counts."""
+def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if
+    asked for, the ids. `start` adds up the containers before, by their counts."""
+    tail = ", ids array<int>" if with_ids else ""
 
     def run(batches):
         for batch in batches:
@@ -163,11 +168,11 @@ def read_tokens(spark, folder: str) -> DataFrame:
                 ends = np.cumsum(counts.astype(np.int64))
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[z - n : z]) for n, z in zip(counts.tolist(), ends.tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), batch.column("part")[i].as_py()), pa.int32()), pa.array(np.full(len(keys), batch.column("chunk")[i].as_py()), pa.int32()),
-                     pa.array(keys, mask=keys == C.NULL_KEY), pa.array(ends - counts), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), lists],
-                    ["part", "chunk", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
+                     pa.array(keys, mask=keys == C.NULL_KEY), pa.array(ends - counts), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), *lists],
+                    ["part", "chunk", "doc_id", "inside", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
 
     files = spark.read.schema(FORM).parquet(folder)
@@ -176,15 +181,15 @@ def read_tokens(spark, folder: str) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(back, -1)), F.lit(0))
     parts = place.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("a"))
     base = place.select("part", "chunk", before(Window.partitionBy("part").orderBy("chunk")).alias("b")).join(parts, "part").select("part", "chunk", (F.col("a") + F.col("b")).alias("base"))
-    rows = files.select("part", "chunk", "data").mapInArrow(run, "part int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids array<int>")
-    return rows.join(base, ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    rows = files.select("part", "chunk", "data").mapInArrow(run, f"part int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long{tail}")
+    return rows.join(base, ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Write the documents' ids below the shared checkpoint folder; what the
     files hold."""
     spark = docs.sparkSession
     C.checkpoint(spark.range(1))  # names a folder where the session has none
     folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, vocabulary, folder, end)
-    return read_tokens(spark, folder)
+    return read_tokens(spark, folder, with_ids)
