@@ -7,8 +7,8 @@ independently, each with a checksum. A file set is a table of containers with
 their place (part, chunk), written and read by Spark, so that any store works,
 parts are retried and committed as a whole, and every chunk decodes by itself.
 
-Each distinct piece that the tokenizer's own pattern cuts a text into is encoded
-once a task, up to CACHE pieces.
+The tokenizer's own pattern cuts a text before every single space; each distinct
+word with its space is encoded once in a worker process, up to CACHE words.
 
 Cases: a null or empty text holds only the end id; equal doc_ids follow each
 other by a hash of the text, null doc_ids come first; the strings of special
@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -34,56 +32,70 @@ from pyspark.sql import functions as F
 from equiloom.llm import common as C
 from equiloom.llm.mixing_coder import BLOCK, decode, encode
 
-CHUNK_IDS = 1 << 20
-CACHE = 250_000
+CHUNK_IDS = 2 << 20
+CACHE = 400_000
 MAGIC = b"CMR1"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
 
 
-@lru_cache(1)
-def _pattern() -> re.Pattern:
-    """The byte-level pattern of the vocabulary: contractions, then letters,
-    numbers or other marks with at most one space before, then white space."""
-    kinds: dict[str, list[str]] = {"L": [], "N": []}
-    start = None
-    for code in range(sys.maxunicode + 2):
-        kind = unicodedata.category(chr(code))[0] if code <= sys.maxunicode else ""
-        if start and start[1] != kind:
-            kinds.get(start[1], []).append(f"\\U{start[0]:08x}-\\U{code - 1:08x}")
-            start = None
-        if not start:
-            start = (code, kind)
-    letter, number = "".join(kinds["L"]), "".join(kinds["N"])
-    space = "\t-\r \x85\xa0  -     　"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+#: White space other than the space, of which none may be next to a space where
+#: a text is cut.
+_ASCII_SPACE = "\t\n\x0b\x0c\r "
+_MARKS = ".,;:!?"
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _cuts(text: str) -> bool:
+    """Whether a byte-level vocabulary's own pattern cuts the text at every
+    single space: each then opens a piece, if no other white space is near."""
+    return not any(" " + c in text or c + " " in text for c in _ASCII_SPACE) and (text.isascii() or not _OTHER_SPACE.search(text))
 
 
 class _Encoder:
+    """Encodes texts word by word, each distinct word once as long as it is
+    kept; texts that cannot be cut go whole."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of " " + word
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 10_000):
+            out += [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: list[str], end: int) -> tuple[bytes, list[int]]:
         """All ids as little-endian 16-bit integers, and their number by text."""
-        pieces = list(map(_pattern().findall, texts))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, seen = self.cache, set()
-        for ps in pieces:
-            seen.update(ps)
-        new = list(seen - cache.keys())
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, np.uint16).tobytes()
+        cut = [x.split(" ") if _cuts(x) else [x] for x in texts]
+        heads = self._ids([x[0] for x in cut])
+        if len(self.words) > CACHE:
+            self.words.clear()
+        words, seen = self.words, set()
+        for x in cut:
+            seen.update(x[1:])
+        seen -= words.keys()
+        # Letters and the marks after them are pieces of their own.
+        marked = {x: core for x in seen if (core := x.rstrip(_MARKS)) != x and core.isalpha()}
+        new = list((seen - marked.keys()) | (set(marked.values()) - words.keys()))
+        words.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        marks = list({x[len(core) :] for x, core in marked.items()})
+        tails = dict(zip(marks, self._ids(marks), strict=True))
+        words.update((x, words[core] + tails[x[len(core) :]]) for x, core in marked.items())
         tail = end.to_bytes(2, "little")
-        data = [b"".join(map(cache.__getitem__, ps)) + tail for ps in pieces]
+        data = [head + b"".join(map(words.__getitem__, x[1:])) + tail for head, x in zip(heads, cut, strict=True)]
         return b"".join(data), [len(x) // 2 for x in data]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for a worker process, whose tasks share its words."""
+    return _Encoder(path)
+
+
 def pack(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A container: header, documents' keys and counts, block sizes and
     checksums, then the blocks' codes."""
@@ -128,7 +140,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
     65536) and write them to `folder`."""
 
     def run(batches):
-        encoder = _Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         part, chunk, held, keys, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row():
