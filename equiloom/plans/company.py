@@ -106,7 +106,7 @@ def a03_facets(spark, d):
     return s.agg(F.count("*").alias("n"), n(bb, "bb"), n(tq, "tq"), n(ema, "ema"), n(bb & tq, "bb_tq"), n(bb | tq | ema, "any_signal"))
 
 
-@query(W("company") + _SIG + " SELECT ticker, name, coalesce(mcap_cr, 0) AS sort_key FROM sig WHERE market = 'NSE' AND (has_bb OR has_tq) ORDER BY sort_key DESC, ticker LIMIT 10 OFFSET 10")
+@query(W("company") + _SIG + ", hit AS (SELECT ticker, name, coalesce(mcap_cr, 0) AS sort_key FROM sig WHERE market = 'NSE' AND (has_bb OR has_tq)), ranked AS (SELECT *, row_number() OVER (ORDER BY sort_key DESC, ticker) - 1 AS i, count(*) OVER () AS n FROM hit) SELECT ticker, name, sort_key FROM ranked WHERE i // 10 = least(1, (n - 1) // 10)")
 def o01_screener_page(spark, d):
     s = _signals(spark, d).where(C.market_filter("NSE") & C.signal_filter(True, True, False, False))
     s = s.select("ticker", "name", F.coalesce("mcap_cr", F.lit(0.0)).alias("sort_key"))
