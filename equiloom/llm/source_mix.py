@@ -62,18 +62,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.
         .withColumn("mix_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))))
         .withColumn("mix_bin", F.substring("mix_hash", 1, digits))
     )
-    groups = marked.groupBy(F.col("source").alias("mix_s"), F.col("mix_class").alias("mix_c"), F.col("mix_bin").alias("mix_b")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("w"))
-    before = F.sum("n").over(Window.partitionBy("mix_s").orderBy("mix_c", "mix_b").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = groups.groupBy(F.col("mix_s").alias("source")).agg(F.sum("w").alias("source_size"))
-    goal = targets(sizes, weights, cap).select(F.col("source").alias("mix_g"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    bins = groups.select("mix_s", "mix_c", "mix_b", F.coalesce(before, F.lit(0)).alias("mix_before")).join(goal, F.col("mix_s").eqNullSafe(F.col("mix_g")))
+    # One key for joins and windows, null apart from any string: rows are dealt out by it once.
+    marked = marked.withColumn("mix_s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+    groups = marked.groupBy("mix_s", "mix_class", "mix_bin").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("mix_size").alias("w"))
+    before = F.sum("n").over(Window.partitionBy("mix_s").orderBy("mix_class", "mix_bin").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = groups.groupBy("mix_s").agg(F.first("source").alias("source"), F.sum("w").alias("source_size"))
+    goal = targets(sizes.select("source", "source_size"), weights, cap)
+    goal = goal.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("mix_s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    bins = groups.select("mix_s", "mix_class", "mix_bin", F.coalesce(before, F.lit(0)).alias("mix_before")).join(goal, "mix_s")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     offset = _part(F.concat_ws("|", F.lit(str(seed)), F.lit("offset"), F.coalesce("source", F.lit("\x00"))))
-    row = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_bin").orderBy("mix_hash", F.xxhash64("text")))
-    rank = F.col("mix_before") + row
+    row = F.row_number().over(Window.partitionBy("mix_s", "mix_class", "mix_bin").orderBy("mix_hash", F.xxhash64("text")))
+    rank = F.col("mix_before") + F.col("mix_row")
     copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    same = F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_class") == F.col("mix_c")) & (F.col("mix_bin") == F.col("mix_b"))
-    return marked.join(bins, same).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", copies.cast("long").alias("mix_copies"))
+    placed = marked.withColumn("mix_row", row).join(bins, ["mix_s", "mix_class", "mix_bin"])
+    return placed.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", copies.cast("long").alias("mix_copies"))
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 0) -> DataFrame:
