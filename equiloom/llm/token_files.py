@@ -162,6 +162,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
                 chunk, held, keys, counts, size = chunk + 1, [], [], [], 0
         if held:
             yield row()
+        held, keys, counts = [], [], []
+        pa.default_memory_pool().release_unused()
 
     keyed = C.keyed(docs).select("k", "t", "text")
     parts = max(8, C.text_bytes(keyed) // (24 << 20))
