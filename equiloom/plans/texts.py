@@ -135,6 +135,13 @@ def a36_note_text(spark, d):
     return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), F.left(x["text"], F.lit(40)))), "\n").alias("note"))
 
 
+@query(r"SELECT * FROM (SELECT conv_id, turn, regexp_replace(text, '^[\t\n\f\r ]+|[\t\n\f\r ]+\z', '', 'g') AS block FROM conversations) WHERE block <> ''")
+def a36_note_blocks(spark, d):
+    """The whole blocks of a note, a row each; `turn` is their order."""
+    c = D.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.regexp_replace("text", r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z", "").alias("block")).where("block <> ''")
+
+
 @query("SELECT doc_id, array_to_string(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?'), ',') AS numbers FROM documents WHERE regexp_matches(text, '\\d')")
 def t22_number_trace(spark, d):
     n = _docs(spark, d).select("doc_id", text.numbers_in(F.col("text")).alias("n")).where(F.size("n") > 0)
