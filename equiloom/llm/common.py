@@ -2,13 +2,15 @@
 views over Arrow batches, n-gram hashing and compact array packing.
 
 Rows of a document table are addressed by ``(k, t)``: ``k`` is the doc_id (null
-becomes the smallest long) and ``t`` a hash of the text, so repeated doc_ids
-with different texts never share positions, and repeated equal rows share them
-rightly.
+becomes the smallest long) and ``t`` a 64-bit hash of the text, so repeated
+doc_ids with different texts do not share positions, and repeated equal rows
+share them rightly. The doc_id itself travels beside the key.
 """
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -34,29 +36,90 @@ _POS[1024] = 1  # a word's first 1024 bytes hash alike whether longer words are
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the cluster names; a
-    temporary folder only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session
+    within one machine, as in tests, may go without and gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def give_back() -> None:
+    """Return a finished task's free memory to the machine: Python workers live
+    on and would hold it through the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        return
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, k, t, text) with a null text as the empty text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"),
-        F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("t"),
+        F.xxhash64(text).alias("t"),
         text.alias("text"),
     )
 
 
-def doc_ids(batch: pa.RecordBatch) -> pa.Array:
-    """The doc_ids that the keys stand for."""
-    k = batch.column("k").to_numpy(zero_copy_only=False)
-    return pa.array(k, pa.int64(), mask=k == NULL_KEY)
+def own_columns(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns, unlike any that the table has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def squeezed(keyed: DataFrame) -> DataFrame:
+    """(doc_id, k, t, z): each text compressed by itself, for an exchange."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part in slices(batches):
+            z = pa.array([pack(x.as_buffer() or b"") for x in part.column("text").cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k", "t")), z], ["doc_id", "k", "t", "z"])
+
+    return keyed.mapInArrow(run, "doc_id long, k long, t long, z binary")
+
+
+def unsqueezed(batches, size: int = CHUNK):
+    """Record batches with column 'text' in place of 'z', each with about
+    `size` bytes of text or one longer document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def cut(batch, rows, texts):
+        part = batch.take(pa.array(rows)) if len(rows) != batch.num_rows else batch
+        names = [c for c in part.schema.names if c != "z"]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.large_binary())], [*names, "text"])
+
+    for batch in batches:
+        rows, texts, held = [], [], 0
+        for i, z in enumerate(batch.column("z")):
+            text = unpack(z.as_buffer())
+            if held and held + len(text) > size:
+                yield cut(batch, rows, texts)
+                rows, texts, held = [], [], 0
+            rows.append(i)
+            texts.append(text)
+            held += len(text) + 1
+        if rows:
+            yield cut(batch, rows, texts)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -117,7 +180,7 @@ def slices(batches, size: int = CHUNK):
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows in them."""
-    col = pc.fill_null(col, "").cast(pa.large_string())
+    col = pc.fill_null(col, b"" if pa.types.is_large_binary(col.type) else "").cast(pa.large_binary())
     _, off, data = col.buffers()
     offs = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
@@ -187,7 +250,7 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Places (document key, position and a number beside it) packed by `slot`.
 PLACES = "slot int, k binary, t binary, n binary, at binary, m binary"
-PER_DOC = "k long, t int, at binary, m binary"
+PER_DOC = "k long, t long, at binary, m binary"
 
 
 def pack_places(k: np.ndarray, t: np.ndarray, at: np.ndarray, m: np.ndarray) -> dict[str, bytes]:
@@ -208,12 +271,17 @@ def unpack_places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     total = np.cumsum(step)
     heads = np.cumsum(n) - n
     at = (total - np.repeat(total[heads] - step[heads], n)).astype(np.uint32)
-    return np.repeat(gather(row["k"], np.int64), n), np.repeat(gather(row["t"], np.int32), n), at, gather(row["m"], np.uint32)
+    return np.repeat(gather(row["k"], np.int64), n), np.repeat(gather(row["t"], np.int64), n), at, gather(row["m"], np.uint32)
+
+
+def slot_of(k: np.ndarray, t: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of a document."""
+    return (mix(k.view(np.uint64) ^ (t.view(np.uint64) * _K1)) % np.uint64(slots)).astype(np.int64)
 
 
 def by_slot(k: np.ndarray, t: np.ndarray, at: np.ndarray, m: np.ndarray, slots: int) -> pa.Table:
     """Rows of PLACES, so that all places of a document share a slot."""
-    slot = (mix(k.view(np.uint64) ^ (t.astype(np.uint64) * _K1)) % np.uint64(slots)).astype(np.int64)
+    slot = slot_of(k, t, slots)
     order = np.lexsort((at, t, k, slot))
     slot, k, t, at, m = slot[order], k[order], t[order], at[order], m[order]
     cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))

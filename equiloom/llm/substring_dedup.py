@@ -73,8 +73,9 @@ class _Pile:
             yield from self._rows(kind, pick, k, t, at, h, low)
 
     def _rows(self, kind, pick, k, t, at, h, low):
-        """Kind 3 needs no hash, kinds 0 and 1 no place."""
-        bucket = (h[pick] % np.uint64(self.buckets)).astype(np.int64)
+        """Kind 3 needs no hash and goes by its document, so that a passage which
+        many documents share fills no bucket; kinds 0 and 1 need no place."""
+        bucket = C.slot_of(k[pick], t[pick], self.buckets) if kind == 3 else (h[pick] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         pick, bucket = pick[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
@@ -137,7 +138,7 @@ def _answer(exact: bool, slots: int):
             out += spots
         kept = [[x if hit is None else x[hit] for x in place] for place, hit in out]
         if not kept:
-            return C.by_slot(*(np.empty(0, d) for d in (np.int64, np.int32, np.uint32, np.uint32)), slots)
+            return C.by_slot(*(np.empty(0, d) for d in (np.int64, np.int64, np.uint32, np.uint32)), slots)
         return C.by_slot(*(np.concatenate(x) for x in zip(*kept, strict=True)), slots)
 
     return run
@@ -146,16 +147,17 @@ def _answer(exact: bool, slots: int):
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("k", "t", "n", "at", "m", "h", "l"))])
 
 
-def _send(fill, buckets: int, exact: bool):
+def _send(fill, buckets: int, exact: bool, cut=C.slices):
     """A map over batches: `fill(pile, slice)` adds places; rows go out as piles fill."""
 
     def run(batches):
         pile = _Pile(buckets, exact)
-        for part in C.slices(batches):
+        for part in cut(batches):
             fill(pile, part)
             if pile.n >= FLUSH:
                 yield from _batches(pile)
         yield from _batches(pile)
+        C.give_back()
 
     def _batches(pile):
         for row in pile.flush():
@@ -206,7 +208,7 @@ def _extend(size: int, block: int):
 
 def _remove(size: int):
     def run(batches):
-        for part in C.slices(batches):
+        for part in C.unsqueezed(batches):
             buf, offs = C.utf8(part.column("text"))
             starts, ends, first = C.words(buf, offs)
             out = []
@@ -224,7 +226,7 @@ def _remove(size: int):
                 out.append((z - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [[int(x), int(y)] for x, y in zip(lo, hi, strict=True)]))
             n, gone, sha, text, spans = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [C.doc_ids(part), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
             )
 
@@ -240,12 +242,12 @@ def dedup_substrings(docs: DataFrame, size: int = 35) -> DataFrame:
     keyed = C.keyed(docs)
     total = C.text_bytes(keyed)
     buckets = max(8, total // (6 << 21))
-    texts = keyed.select("k", "t", "text")  # both joins read one exchange of it
-    hits = C.per_document(texts.mapInArrow(_send(_probe(size, block), buckets, False), PACK).groupBy("bucket").applyInArrow(_answer(False, buckets), C.PLACES))
-    windows = texts.join(hits, ["k", "t"]).select("k", "t", "text", "at").mapInArrow(_send(_extend(size, block), buckets, True), PACK)
+    texts = C.squeezed(keyed)  # texts travel compressed
+    hits = C.per_document(keyed.select("k", "t", "text").mapInArrow(_send(_probe(size, block), buckets, False), PACK).groupBy("bucket").applyInArrow(_answer(False, buckets), C.PLACES))
+    windows = texts.join(hits, ["k", "t"]).select("k", "t", "z", "at").mapInArrow(_send(_extend(size, block), buckets, True, C.unsqueezed), PACK)
     repeats = C.per_document(windows.groupBy("bucket").applyInArrow(_answer(True, buckets), C.PLACES))
     return (
-        texts.join(repeats, ["k", "t"], "left").select("k", "text", "at")
+        texts.join(repeats, ["k", "t"], "left").select("doc_id", "z", "at")
         .mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<int>>")
     )
 

@@ -14,14 +14,14 @@ least place form a region, which is sent once as text.
 4. Bytes under a marked window go.
 
 Cases: null or empty text has no bytes; documents under ``size`` bytes lose
-none; equal rows are repeats of each other; an empty table gives an empty
-result; other columns are ignored.
+none; a text over ``STRETCH`` bytes is read in overlapping stretches; equal rows
+are repeats of each other; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +33,45 @@ from equiloom.llm import substring_dedup as S
 from equiloom.llm.suffix_sort import common_prefixes, suffix_array
 
 GRAM = 32
-FLUSH = 8 << 20
+FLUSH = 16 << 20
 SHARD = 1 << 20
+#: Window starts that one pass over a text takes; places fit in _BITS bits.
+STRETCH, _BITS = 4 << 20, np.uint64(24)
+#: Buckets to be dealt anew whose list may be broadcast: a few megabytes.
+FEW = 100_000
 _TABLE = C.mix(np.arange(1, 257, dtype=np.uint64) * C._K1)
-_SECOND = np.uint64(0x2545F4914F6CDD1D)
+_BASE = 0x2545F4914F6CDD1D
+_SECOND = np.uint64(0x9FB21C651E98DF25)
 REGIONS = "bucket int, sub int, kind int, text binary, h binary, n binary, many binary, k binary, t binary, at binary"
 _FIELDS = [("bucket", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("text", "h", "n", "many", "k", "t", "at"))]
 _SCHEMA = pa.schema(_FIELDS)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, b))).astype(np.uint64)) for b in (np.uint64(_BASE), np.uint64(inverse))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _grams(buf: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every string of `gram` bytes, from sums of byte times power."""
+    n = len(buf)
+    if n < gram:
+        return np.empty(0, np.uint64)
+    up, down = _powers(max(n, 1 << 16))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[:n], out=total[1:])
+    out = total[gram:] - total[:-gram]
+    out *= down[: n - gram + 1]
+    return C.mix(out)
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
     """Place of the least key in every stretch of `width`, leftmost on ties."""
-    bits = np.uint64(max(24, int(len(key)).bit_length()))
-    low = key >> bits << bits
+    low = key >> _BITS << _BITS
     low |= np.arange(len(key), dtype=np.uint64)
     have = 1
     while have * 2 <= width:
@@ -53,101 +79,170 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (low & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
 
 
-def _regions(buf: np.ndarray, offs: np.ndarray, size: int, second: bool = False):
-    """Row, first window, number of windows, least place and its hash, for each
-    region; with `second`, least by another order within."""
+def _regions_of(buf: np.ndarray, offs: np.ndarray, size: int, second: bool):
     gram = min(GRAM, size)
-    h = C.ngrams(_TABLE[buf], gram)
     empty = np.empty(0, np.int64)
     if len(buf) < size:
-        return empty, empty, empty, empty, np.empty(0, np.uint64)
-    key = C.mix(h)
+        return empty, empty, empty, np.empty(0, np.uint64)
+    key = _grams(buf, gram)
     least = _least(key, size - gram + 1)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(least)]
-    at = np.arange(len(least))
-    ok = at + size <= offs[row + 1]
+    ok = np.arange(size, size + len(least)) <= offs[row + 1]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-    other = key
     if second:
-        other = C.mix(h ^ _SECOND)
-        least2 = _least(other, size - gram + 1)
-        new[1:] |= least2[1:] != least2[:-1]
-        least = least2
+        key = C.mix(key ^ _SECOND)
+        least = _least(key, size - gram + 1)
+        new[1:] |= least[1:] != least[:-1]
     heads = np.flatnonzero(new & ok)
     total = np.concatenate(([0], np.cumsum(ok)))
     ends = np.append(np.flatnonzero(new), len(least))
     stop = ends[np.searchsorted(ends, heads, "right")]
-    return row[heads], heads, total[stop] - total[heads], least[heads], other[least[heads]]
+    return row[heads], heads, total[stop] - total[heads], key[least[heads]]
+
+
+def _regions(buf: np.ndarray, offs: np.ndarray, size: int, second: bool = False):
+    """Row, first window, number of windows and hash of the least place of each
+    region; with `second`, regions are cut by a second order as well and have
+    its hash. Stretches of STRETCH window starts are taken one after another."""
+    found = []
+    for a in range(0, max(1, len(buf)), STRETCH):
+        z = min(len(buf), a + STRETCH + size - 1)
+        cut = np.unique(np.clip(offs, a, z))
+        first = int(np.searchsorted(offs, a, "right")) - 1
+        row, at, n, h = _regions_of(buf[a:z], cut - a, size, second)
+        # Rows without bytes are no rows of the stretch: count them back in.
+        rows = np.searchsorted(offs, at + a, "right") - 1 if len(at) else row + first
+        found.append((rows, at + a, n, h))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _mark(size: int):
     def fill(pile, part):
         k, t = part.column("k").to_numpy(), part.column("t").to_numpy()
         buf, offs = C.utf8(part.column("text"))
-        row, first, _, _, h = _regions(buf, offs, size)
+        row, first, _, h = _regions(buf, offs, size)
         pile.add(k, t, row, first - offs[row], h, np.zeros(len(h), np.uint32), np.ones(len(h), bool))
 
     return fill
 
 
+def _taken(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bytes of the strings (start, n), one after another."""
+    ends = np.cumsum(n)
+    return buf[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)]
+
+
+def _alike(text: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each string of `text` (of lengths n), the same for equal
+    ones, and how often each number occurs. Strings with equal hashes and
+    lengths are compared byte by byte with their predecessor in hash order."""
+    if not len(n):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ends = np.cumsum(n)
+    start = ends - n
+    up, _ = _powers(max(int(n.max()), 1 << 16))
+    whole = np.add.reduceat(_TABLE[text] * up[np.arange(len(text)) - np.repeat(start, n)], start)
+    order = np.lexsort((whole, n, h))
+    same = np.zeros(len(n), bool)
+    a, b = order[:-1], order[1:]
+    same[1:] = (h[a] == h[b]) & (n[a] == n[b]) & (whole[a] == whole[b])
+    check = np.flatnonzero(same)
+    for part in range(0, len(check), 4096):
+        i = check[part : part + 4096]
+        left, right = order[i - 1], order[i]
+        differ = _taken(text, start[left], n[left]) != _taken(text, start[right], n[right])
+        head = np.cumsum(n[left]) - n[left]
+        same[i] = ~np.logical_or.reduceat(differ, head)
+    number = np.empty(len(n), np.int64)
+    number[order] = np.cumsum(~same) - 1
+    return number, np.bincount(number)
+
+
+class _Held:
+    """Regions of a task: their text, and columns n, h, many, k, t, at."""
+
+    def __init__(self):
+        self.texts, self.columns, self.bytes = [], [], 0
+
+    def add(self, text, *columns):
+        self.texts.append(text)
+        self.columns.append(columns)
+        self.bytes += len(text) + 60 * len(columns[0])
+
+    def all(self):
+        return np.concatenate(self.texts), *(np.concatenate(x) for x in zip(*self.columns, strict=True))
+
+
 def _send(size: int, buckets: int):
     """Regions of the marked places, by bucket; kind 0 with text, kind 1 settled."""
 
     def run(batches):
-        pile, held = [], 0
-        for part in C.slices(batches):
+        held = _Held()
+        for part in C.unsqueezed(batches):
             k, t = part.column("k").to_numpy(), part.column("t").to_numpy()
             buf, offs = C.utf8(part.column("text"))
-            row, first, n, _, h = _regions(buf, offs, size)
+            row, first, n, h = _regions(buf, offs, size)
             hit = np.zeros(len(buf) + 1, bool)
             for i, at in enumerate(part.column("at").to_pylist()):
                 hit[offs[i] + C.places_of(at)] = True
-            for i in np.flatnonzero(hit[first]):
-                a, r = int(first[i]), int(row[i])
-                pile.append((buf[a : a + int(n[i]) + size - 1].tobytes(), int(h[i]), int(k[r]), int(t[r]), a - int(offs[r])))
-                held += int(n[i]) + size + 60
-            if held >= FLUSH:
-                yield from _flush(pile)
-                pile, held = [], 0
-        yield from _flush(pile)
-
-    def _flush(pile):
-        count = Counter(x[0] for x in pile)
-        by: dict[int, list] = {}
-        for x in {x[0]: x for x in pile}.values():
-            by.setdefault(x[1] % buckets, []).append((*x, count[x[0]] > 1))
-        yield from (_row(b, 0, 0, xs) for b, xs in sorted(by.items()))
-        if settled := [x for x in pile if count[x[0]] > 1]:
-            yield _row(settled[0][1] % buckets, 0, 1, [(b"", *x[1:], len(x[0]) - size + 1) for x in settled])
+            some = np.flatnonzero(hit[first])
+            row, first, n, h = row[some], first[some], n[some] + size - 1, h[some]
+            if len(some):
+                held.add(_taken(buf, first, n), n, h, np.zeros(len(n), np.int64), k[row], t[row], first - offs[row])
+            if held.bytes >= FLUSH:
+                yield from _flush(held)
+                held = _Held()
+        if held.bytes:
+            yield from _flush(held)
+        C.give_back()
+
+    def _flush(held):
+        text, n, h, _, k, t, at = held.all()
+        number, times = _alike(text, n, h)
+        one = np.empty(len(times), np.int64)
+        one[number] = np.arange(len(n))
+        bucket = (h[one] % np.uint64(buckets)).astype(np.int64)
+        for b, pick in _groups(bucket):
+            i = one[pick]
+            yield _row(b, 0, 0, _taken(text, (np.cumsum(n) - n)[i], n[i]), n[i], h[i], times[pick] > 1, k[i], t[i], at[i])
+        i = np.flatnonzero(times[number] > 1)
+        for b, pick in _groups(C.slot_of(k[i], t[i], buckets)):
+            j = i[pick]
+            yield _row(b, 0, 1, text[:0], n[j] - size + 1, h[j], np.ones(len(j)), k[j], t[j], at[j])
 
     return run
 
 
-def _row(bucket: int, sub: int, kind: int, xs: list) -> pa.RecordBatch:
-    """`many`: whether a region was seen more than once; for settled places
-    the number of their windows."""
+def _groups(key: np.ndarray):
+    order = np.argsort(key, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(key[order[a]]), order[a:z]
+
+
+def _row(bucket: int, sub: int, kind: int, text, n, h, many, k, t, at) -> pa.RecordBatch:
+    """`many`: whether a region was seen more than once. Settled places have no
+    text, and in n the number of their windows."""
     row = {
         "bucket": bucket, "sub": sub, "kind": kind,
-        "text": C.zstandard.compress(b"".join(x[0] for x in xs), 1),
-        "h": C.spread((np.array([x[1] for x in xs], np.uint64) >> np.uint64(32)).astype(np.uint32)),
-        "n": C.spread(np.array([len(x[0]) for x in xs], np.uint32)),
-        "many": C.spread(np.array([x[5] for x in xs], np.uint32)),
-        "k": C.spread(np.array([x[2] for x in xs], np.int64)),
-        "t": C.spread(np.array([x[3] for x in xs], np.int32)),
-        "at": C.spread(np.array([x[4] for x in xs], np.uint32)),
+        "text": C.zstandard.compress(text.tobytes(), 1),
+        "h": C.spread((h >> np.uint64(32)).astype(np.uint32)),
+        "n": C.spread(n.astype(np.uint32)),
+        "many": C.spread(many.astype(np.uint8)),
+        "k": C.spread(k), "t": C.spread(t), "at": C.spread(at.astype(np.uint32)),
     }
     return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
 
-def _unpack(row: dict) -> list:
-    text = C.zstandard.decompress(row["text"])
-    n = C.gather(row["n"], np.uint32).astype(np.int64)
-    ends = np.cumsum(n)
-    return list(zip((text[a:z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)), C.gather(row["h"], np.uint32).tolist(), C.gather(row["many"], np.uint32).tolist(), C.gather(row["k"], np.int64).tolist(), C.gather(row["t"], np.int32).tolist(), C.gather(row["at"], np.uint32).tolist(), strict=True))
+def _unpack(row: dict):
+    text = np.frombuffer(C.zstandard.decompress(row["text"]), np.uint8)
+    kinds = {"n": np.uint32, "h": np.uint32, "many": np.uint8, "k": np.int64, "t": np.int64, "at": np.uint32}
+    n, h, many, k, t, at = (C.gather(row[c], kind) for c, kind in kinds.items())
+    return text, n.astype(np.int64), h.astype(np.uint64), many.astype(np.int64), k, t, at.astype(np.int64)
 
 
 def _split(size: int):
@@ -159,14 +254,13 @@ def _split(size: int):
                 if r["parts"] < 2 or r["kind"]:
                     yield pa.RecordBatch.from_pylist([{f: r[f] for f, _ in _FIELDS}], _SCHEMA)
                     continue
-                by: dict[int, list] = {}
-                for text, _, many, k, t, at in _unpack(r):
-                    buf = np.frombuffer(text, np.uint8)
-                    _, first, n, _, h = _regions(buf, np.array([0, len(buf)]), size, True)
-                    for a, m, x in zip(first.tolist(), n.tolist(), h.tolist(), strict=True):
-                        by.setdefault(x % r["parts"], []).append((text[a : a + m + size - 1], x, k, t, at + a, many))
-                for sub, xs in by.items():
-                    yield _row(r["bucket"], sub, 0, xs)
+                text, n, _, many, k, t, at = _unpack(r)
+                offs = np.concatenate(([0], np.cumsum(n)))
+                row, first, windows, h = _regions(text, offs, size, True)
+                length = windows + size - 1
+                for sub, i in _groups((h % np.uint64(r["parts"])).astype(np.int64)):
+                    j = row[i]
+                    yield _row(r["bucket"], sub, 0, _taken(text, first[i], length[i]), length[i], h[i], many[j], k[j], t[j], at[j] + first[i] - offs[j])
 
     return run
 
@@ -175,66 +269,66 @@ def _shard(size: int, slots: int):
     """Places and lengths of the runs of windows that occur elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
-        index: dict[bytes, int] = {}
-        times: list[int] = []
-        least: list[int] = []
-        refs = []
-        out = []
+        held, out = _Held(), []
         for r in table.to_pylist():
-            for text, h, many, k, t, at in _unpack(r):
-                if r["kind"]:
-                    out.append((k, t, at, many))
-                    continue
-                i = index.setdefault(text, len(times))
-                if i == len(times):
-                    times.append(0)
-                    least.append(h)
-                times[i] += 1 + many
-                if not many:
-                    refs.append((i, k, t, at))
-        texts = list(index)
-        shared = Counter(least)  # as in step 1: a region alone with its hash repeats no other
-        some = [i for i, h in enumerate(least) if shared[h] > 1]
-        runs: list = [()] * len(texts)
-        for i, found in zip(some, _repeats([texts[i] for i in some], size) if some else (), strict=True):
-            runs[i] = found
-        for i, k, t, at in refs:
-            got = [(0, len(texts[i]) - size + 1)] if times[i] > 1 else runs[i]
-            if got:
-                out += [(k, t, at + a, n) for a, n in got]
+            text, n, h, many, k, t, at = _unpack(r)
+            if r["kind"]:
+                out.append((k, t, at, n))
+            else:
+                held.add(text, n, h, many, k, t, at)
+        if held.texts:
+            text, n, h, many, k, t, at = held.all()
+            number, times = _alike(text, n, h)
+            times = times + np.bincount(number, many).astype(np.int64)
+            one = np.empty(len(times), np.int64)
+            one[number] = np.arange(len(n))
+            # As in step 1, a region alone with its hash repeats no other.
+            _, back, shared = np.unique(h[one], return_inverse=True, return_counts=True)
+            some = np.flatnonzero(shared[back] > 1)
+            which, first, length = _repeats(_taken(text, (np.cumsum(n) - n)[one[some]], n[one[some]]), n[one[some]], size)
+            whole = np.flatnonzero(times > 1)  # all windows of these
+            keep = times[some[which]] < 2
+            which = np.concatenate([some[which][keep], whole])
+            first = np.concatenate([first[keep], np.zeros(len(whole), np.int64)])
+            length = np.concatenate([length[keep], n[one[whole]] - size + 1])
+            order = np.argsort(which, kind="stable")
+            which, first, length = which[order], first[order], length[order]
+            open_ = np.flatnonzero(many == 0)  # places of the others are settled
+            lo, hi = np.searchsorted(which, number[open_]), np.searchsorted(which, number[open_], "right")
+            ref = np.repeat(open_, hi - lo)
+            run_ = np.arange(len(ref)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+            out.append((k[ref], t[ref], at[ref] + first[run_], length[run_]))
         columns = zip(*out, strict=True) if out else ((), (), (), ())
-        return C.by_slot(*(np.array(x, d) for x, d in zip(columns, (np.int64, np.int32, np.uint32, np.uint32), strict=True)), slots)
+        kinds = (np.int64, np.int64, np.uint32, np.uint32)
+        return C.by_slot(*(np.concatenate(x).astype(d) if len(x) else np.empty(0, d) for x, d in zip(columns, kinds, strict=True)), slots)
 
     return run
 
 
-def _repeats(texts: list[bytes], size: int) -> list[list]:
-    """By region, the runs (first, number) of windows found at two places of
-    the given texts, from their suffix array."""
-    n = np.array([len(x) for x in texts])
+def _repeats(flat: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, number) of the runs of windows found at two places of the
+    given strings, from their suffix array."""
+    if not len(n):
+        return (np.empty(0, np.int64),) * 3
     ends = np.cumsum(n + 1)
     text = np.zeros(int(ends[-1]), np.int32)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32) + len(texts)
-    text[ends - 1] = np.arange(len(texts))
-    sa = suffix_array(text, len(texts) + 256)
-    shared = common_prefixes(text, sa)
-    long = shared >= size
+    text[inside] = flat.astype(np.int32) + len(n)
+    text[ends - 1] = np.arange(len(n))
+    sa = suffix_array(text, len(n) + 256)
+    long = common_prefixes(text, sa) >= size
     back = np.full(len(text), -1, np.int64)
     back[sa[1:]] = sa[:-1]
     long[back[long]] = True  # a repeat's predecessor in the order is one as well
     lo, hi = C.runs_of(long)
     row = np.searchsorted(ends, lo, "right")
-    out: list[list] = [[] for _ in texts]
-    for a, z, r in zip(lo.tolist(), hi.tolist(), row.tolist(), strict=True):
-        out[r].append((a - int(ends[r] - n[r] - 1), z - a))
-    return out
+    return row, lo - (ends - n - 1)[row], hi - lo
 
 
 def _remove(size: int):
     def run(batches):
-        for part in C.slices(batches):
+        for part in C.unsqueezed(batches):
             buf, offs = C.utf8(part.column("text"))
             out = []
             for i, (at, m) in enumerate(zip(part.column("at").to_pylist(), part.column("m").to_pylist(), strict=True)):
@@ -249,7 +343,7 @@ def _remove(size: int):
                 out.append((len(data), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [[int(a), int(z)] for a, z in zip(lo, hi, strict=True)]))
             n, gone, spans, sha, kept, at = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [C.doc_ids(part), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.list_(pa.int32())))],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.list_(pa.int32())))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
             )
 
@@ -265,13 +359,15 @@ def dedup_suffixes(docs: DataFrame, size: int = 200, shard: int = SHARD) -> Data
     total = C.text_bytes(keyed)
     marks = max(8, total // (1 << 25))
     buckets = max(8, total // (2 * shard))
-    texts = keyed.select("k", "t", "text")
-    hits = C.per_document(texts.mapInArrow(S._send(_mark(size), marks, True), S.PACK).groupBy("bucket").applyInArrow(S._answer(True, marks), C.PLACES))
-    regions = C.checkpoint(texts.join(hits, ["k", "t"]).select("k", "t", "text", "at").mapInArrow(_send(size, buckets), REGIONS))
-    load = regions.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("kind") == 0, F.octet_length("text"))) / F.lit(4 * shard)).cast("int").alias("parts"))
-    dealt = regions.join(load, "bucket").select(*[f for f, _ in _FIELDS], F.coalesce("parts", F.lit(1)).alias("parts")).mapInArrow(_split(size), REGIONS)
+    texts = C.squeezed(keyed)  # texts travel compressed
+    hits = C.per_document(keyed.select("k", "t", "text").mapInArrow(S._send(_mark(size), marks, True), S.PACK).groupBy("bucket").applyInArrow(S._answer(True, marks), C.PLACES))
+    regions = C.checkpoint(texts.join(hits, ["k", "t"]).select("k", "t", "z", "at").mapInArrow(_send(size, buckets), REGIONS))
+    load = regions.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("kind") == 0, F.octet_length("text"))) / F.lit(2 * shard)).cast("int").alias("parts"))
+    heavy = C.checkpoint(load.where("parts > 1"))
+    few = heavy.count() <= FEW
+    dealt = regions.join(F.broadcast(heavy) if few else heavy, "bucket", "left").select(*[f for f, _ in _FIELDS], F.coalesce("parts", F.lit(1)).alias("parts")).mapInArrow(_split(size), REGIONS)
     repeats = C.per_document(dealt.groupBy("bucket", "sub").applyInArrow(_shard(size, marks), C.PLACES))
     return (
-        texts.join(repeats, ["k", "t"], "left").select("k", "text", "at", "m")
+        texts.join(repeats, ["k", "t"], "left").select("doc_id", "z", "at", "m")
         .mapInArrow(_remove(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<int>>")
     )
