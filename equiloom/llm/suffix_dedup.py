@@ -51,8 +51,11 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _BASE and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, b))).astype(np.uint64)) for b in (np.uint64(_BASE), np.uint64(inverse))]
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            each = np.full(n, base, np.uint64)
+            each[0] = 1
+            _POWERS.append(np.multiply.accumulate(each))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

@@ -1,13 +1,16 @@
 """Suffix array by induced sorting and permuted common prefixes, on numpy.
 
 The scans of induced sorting advance a block of entries at a time, as far as
-nothing that the block itself induces falls inside it.
+nothing that the block itself induces falls inside it. A reduced string of at
+most BASE names, where such blocks get short, ends the recursion: its suffixes
+are ranked by doubling.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+BASE = 1 << 17
 _FIRST = np.ones(1, bool)
 
 
@@ -70,6 +73,23 @@ def _induce(code: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
     return mirror[::-1]
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, by their first 1, 2, 4, ... letters."""
+    n, width = len(names), 1
+    rank = names.astype(np.int64)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[:-width] = rank[width:] + 1
+        key = rank * (int(rank.max()) + 2) + after
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) != 0
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        width *= 2
+        if new.all() or width >= n:
+            return order
+
+
 def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     """Order of all suffixes of `text`, integers in [0, letters)."""
     n = len(text)
@@ -107,7 +127,7 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     names = np.empty(n, np.int64)
     names[order] = name
     if name[-1] + 1 < len(lms):
-        order = lms[suffix_array(names[lms], int(name[-1]) + 1)]
+        order = lms[(_doubled if len(lms) <= BASE else lambda x: suffix_array(x, int(name[-1]) + 1))(names[lms])]
     return _induce(code, order, count)
 
 
