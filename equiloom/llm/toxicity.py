@@ -1,8 +1,9 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 Features are the words of a whole text, in lower case, and their first 4, 5 and
-6 bytes, each by the logarithm of one more than its occurrences. P(grade > k) is the logistic of one shared score
-less threshold k; the expected severity is the sum of these over k.
+6 bytes, each by the logarithm of one more than its occurrences. P(grade > k) is
+the logistic of one shared score less threshold k; the expected severity is the
+sum of these over k.
 
 The model is fitted on ``sample`` labelled documents of either class at most,
 those with the least hash of doc_id; only equal texts count once. Labels tell
@@ -10,7 +11,8 @@ toxic or not; the grades within toxic are the terciles of how many associated
 features a document holds. A labels table with a column ``severity`` gives the
 grades itself.
 
-Cases: a null or empty text has no features and grade 0's severity; with no
+Cases: a null or empty text has no features and grade 0's severity; a very long
+text is graded whole, in one piece of a batch; with no
 labelled document of a class, every severity is 0; a doc_id labelled twice is
 toxic if any label says so; equal texts get equal results; an empty table gives
 an empty result; other columns are ignored.
@@ -29,13 +31,11 @@ from equiloom.llm import common as C
 
 #: Labelled documents of either class that the model is fitted on, at most.
 SAMPLE = 1500
-#: Features that the fit looks at, at most, and that the model keeps.
-SEEN, KEPT = 20_000, 1000
-#: Distinct toxic texts that a feature must occur in: so many, and such a share
-#: of the sample's. What few copies of one text share is no sign of toxicity.
-SUPPORT, SHARE = 5, 0.02
-#: Log odds that a feature must have for toxic.
-ODDS = 3.0
+#: The rule for features: distinct toxic texts that one must occur in, so many
+#: and such a share of the sample's (what few copies of one text share is no
+#: sign of toxicity), and the log odds for toxic that it must have. All that
+#: meet it are kept.
+SUPPORT, SHARE, ODDS = 5, 0.02, 3.0
 GRADES = 4
 _SPACE = np.ones(256, bool)
 _SPACE[65:91] = _SPACE[97:123] = _SPACE[128:] = False
@@ -54,6 +54,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -60, 60)))
 
 
+@dataclass
+class Sparse:
+    """A matrix by its (row, column, value) triples."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    rows: int
+    width: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.rows)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.width)
+
+
 def text_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every feature occurrence."""
     buf = C.lower(buf)
@@ -82,23 +99,29 @@ def _known(row: np.ndarray, h: np.ndarray, features: np.ndarray) -> tuple[np.nda
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(t, mark, text) of the sampled documents, equal texts once."""
     grade = F.col("severity").cast("int") if "severity" in labels.columns else F.col("toxic").cast("int")
     marks = labels.where(F.col("doc_id").isNotNull() & grade.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("mark"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = marks.where("mark > 0").orderBy(*order).limit(sample).unionByName(marks.where("mark <= 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return texts.join(F.broadcast(some), "doc_id")  # at most two samples of narrow rows
+    chosen = texts.join(F.broadcast(some), "doc_id")  # at most two samples of narrow rows
+    return chosen.groupBy(F.xxhash64("text").alias("t")).agg(F.max("mark").alias("mark"), F.first("text").alias("text"))
 
 
 def _listed(features: np.ndarray | None):
-    """Per document the hashes of its distinct features, or the indices of known ones."""
+    """Per document the hashes of its distinct features, or the indices and
+    values of known ones."""
 
     def run(batches):
         for part in C.slices(batches):
             row, h = text_features(*C.utf8(part.column("text")))
             if features is None:
-                pair = np.unique(np.rec.fromarrays([row, h]))
-                row, got = pair["f0"], pair["f1"].view(np.int64)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                row, got = row[new], h[new].view(np.int64)
                 value = np.ones(len(row))
             else:
                 row, got, value = _known(row, h, features)
@@ -110,53 +133,56 @@ def _listed(features: np.ndarray | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labels (doc_id, toxic)."""
-    chosen = _sample(docs, labels, sample).select("mark", F.xxhash64("text").alias("t"), "text")
+    """A model from labels (doc_id, toxic). Features are counted by class in
+    Spark; the driver gets the frequent ones of toxic texts with their counts,
+    and of each sampled document the kept ones."""
+    chosen = C.checkpoint(_sample(docs, labels, sample))
     form = "mark int, t long, f array<long>, v array<double>"
-    toxic = chosen.where("mark > 0").mapInArrow(_listed(None), form).dropDuplicates(["t"])
-    seen = toxic.select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= SUPPORT).orderBy(F.desc("count"), "f").limit(SEEN).collect()
-    features = np.sort(np.array([r.f for r in seen], np.int64).view(np.uint64))
-    rows = {r.t: r for r in chosen.mapInArrow(_listed(features), form).toLocalIterator()}
-    rows = [rows[t] for t in sorted(rows)]
-    marks = np.array([r.mark for r in rows])
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.f] = r.v
-    return fit_rows(features, x, marks)
-
-
-def fit_rows(features: np.ndarray, x: np.ndarray, marks: np.ndarray) -> Model:
-    """The features most associated with marks above 0, and the regression."""
-    bad = marks > 0
-    none = Model(np.empty(0, np.uint64), np.empty(0), np.full(GRADES - 1, 60.0))
-    if not bad.any() or bad.all() or not len(features):
-        return none
-    pos, neg = (x[bad] > 0).sum(0), (x[~bad] > 0).sum(0)
-    odds = np.log((pos + 0.5) / (bad.sum() + 1)) - np.log((neg + 0.5) / ((~bad).sum() + 1))
-    keep = np.sort(np.lexsort((features, -odds * np.sqrt(pos)))[:KEPT])
-    keep = keep[(odds[keep] > ODDS) & (pos[keep] >= max(SUPPORT, SHARE * bad.sum()))]
-    if not len(keep):
-        return none
-    x = x[:, keep].astype(np.float64)
-    grade = np.minimum(marks, GRADES - 1)
-    if marks.max() == 1:
-        strong = x.sum(1)
-        cuts = np.quantile(strong[bad], [1 / 3, 2 / 3])
-        grade = np.where(bad, 1 + np.searchsorted(cuts, strong, "left"), 0)
-    weights, thresholds = cumulative_link(x, grade, GRADES)
-    return Model(features[keep], weights, thresholds)
-
-
-def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 0.02, rounds: int = 400, rate: float = 0.05):
+    size = {r.bad: r.n for r in chosen.groupBy((F.col("mark") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
+    bad, good = size.get(True, 0), size.get(False, 0)
+    if not bad or not good:
+        return _none()
+    least = max(SUPPORT, SHARE * bad)
+    seen = chosen.where("mark > 0").mapInArrow(_listed(None), form).select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= least)
+    pos = {int(np.int64(r.f).view(np.uint64)): r["count"] for r in seen.toLocalIterator()}
+    features = np.array(sorted(pos), np.uint64)
+    other = chosen.where("mark <= 0").mapInArrow(_listed(features), form).select(F.explode("f").alias("f")).groupBy("f").count()
+    neg = np.zeros(len(features))
+    for r in other.toLocalIterator():
+        neg[r.f] = r["count"]
+    held = np.array([pos[int(f)] for f in features], float)
+    kept = features[np.log((held + 0.5) / (bad + 1)) - np.log((neg + 0.5) / (good + 1)) > ODDS]
+    if not len(kept):
+        return _none()
+    rows = sorted(chosen.mapInArrow(_listed(kept), form).toLocalIterator(), key=lambda r: r.t)
+    x = Sparse(np.repeat(np.arange(len(rows)), [len(r.f) for r in rows]), np.array([i for r in rows for i in r.f], np.int64), np.array([v for r in rows for v in r.v]), len(rows), len(kept))
+    weights, thresholds = cumulative_link(x, _grades(x, np.array([r.mark for r in rows])), GRADES)
+    return Model(kept, weights, thresholds)
+
+
+def _none() -> Model:
+    return Model(np.empty(0, np.uint64), np.empty(0), np.full(GRADES - 1, 60.0))
+
+
+def _grades(x: Sparse, marks: np.ndarray) -> np.ndarray:
+    """Marks as grades; where they only tell toxic, its terciles by the sum of
+    a document's values."""
+    if marks.max() > 1:
+        return np.minimum(marks, GRADES - 1).clip(0)
+    strong = x.times(np.ones(x.width))
+    return np.where(marks > 0, 1 + np.searchsorted(np.quantile(strong[marks > 0], [1 / 3, 2 / 3]), strong, "left"), 0)
+
+
+def cumulative_link(x: Sparse, grade: np.ndarray, grades: int, penalty: float = 0.02, rounds: int = 400, rate: float = 0.05):
     """Weights and ascending thresholds by Adam on the penalised likelihood,
     both classes of grade 0 and above weighing the same."""
-    n, width = x.shape
+    n, width = x.rows, x.width
     mass = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum()))
     w, base, gaps = np.zeros(width), 1.0, np.zeros(grades - 2)
     state = [np.zeros(width + grades - 1), np.zeros(width + grades - 1)]
     for step in range(1, rounds + 1):
         theta = base + np.concatenate(([0.0], np.cumsum(np.log1p(np.exp(gaps)))))
-        score = x @ w
+        score = x.times(w)
         s = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -60, 60))), np.zeros((n, 1))])
         at = np.arange(n)
         up, down = s[at, grade], s[at, grade + 1]
@@ -165,7 +191,7 @@ def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: floa
         g_theta = np.array([du[grade == k + 1].sum() - dd[grade == k].sum() for k in range(grades - 1)])
         slope = 1 / (1 + np.exp(-gaps))
         tail = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate((-x.T @ (du - dd) + penalty * w / np.sqrt(width), [tail[0]], tail[1:] * slope))
+        grad = np.concatenate((-x.back(du - dd) + penalty * w / np.sqrt(width), [tail[0]], tail[1:] * slope))
         for i, power in ((0, 1), (1, 2)):
             beta = (0.9, 0.999)[i]
             state[i] = beta * state[i] + (1 - beta) * grad**power
