@@ -86,6 +86,14 @@ def own_columns(docs: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def only(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs at the keys (k, t) of `stay`, as they were, one of each."""
+    k, t = own_columns(docs, "k", "t")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tagged = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), t: F.xxhash64(text)})
+    return tagged.join(stay.select(F.col("k").alias(k), F.col("t").alias(t)), [k, t], "left_semi").dropDuplicates([k, t]).drop(k, t)
+
+
 def squeezed(keyed: DataFrame) -> DataFrame:
     """(doc_id, k, t, z): each text compressed by itself, for an exchange."""
 

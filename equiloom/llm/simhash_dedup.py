@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = pa.array([_print(x.encode(), width) for x in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "k", "t")] + [fp], ["doc_id", "k", "t", "fp"])
 
-    return C.keyed(docs).mapInArrow(run, "doc_id long, k long, t int, fp long")
+    return C.keyed(docs).mapInArrow(run, "doc_id long, k long, t long, fp long")
 
 
 def _syndrome(mask: int) -> int:
@@ -198,7 +198,4 @@ def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     groups = near_components(docs, bits, width)
     first = F.min(F.struct("k", "t")).alias("s")
     stay = groups.where(F.col("k") == F.coalesce("component_id", F.lit(C.NULL_KEY))).groupBy("component").agg(first)
-    text = F.coalesce("text", F.lit(""))
-    tagged = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_KEY)), "__t": F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int")})
-    stay = stay.select(F.col("s.k").alias("__k"), F.col("s.t").alias("__t"))
-    return tagged.join(stay, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).drop("__k", "__t")
+    return C.only(docs, stay.select("s.k", "s.t"))
