@@ -1,118 +1,122 @@
 """A context-mixing range coder for blocks of 16-bit ids.
 
-Every block starts afresh and is coded by itself, so all blocks of a batch move
-in lockstep, one lane each. For each id two predictions are at hand: the id that
-last followed the same two ids (order 2) and the same one (order 1). How often
-predictions of such confidence held so far in the block mixes them with order 0,
-adaptive counts of the ids' high bytes. One interval of a range of 2**32 is
-coded an id:
-
-    [0, p2)            the order-2 prediction, in units of 2**20
-    [p2, p2 + p1)      the order-1 prediction
-    the rest           by high byte in 4096 parts, then evenly by low byte
+Every block starts afresh and is coded by itself, so all blocks of a container
+move in lockstep, one lane each. Three orders predict an id:
+
+* order 2 and order 1: the id that last followed the same two ids, or the same
+  one, in this block. Of each the lane learns how often a prediction of such
+  confidence holds.
+* order 0: how often each id occurs in the container, told in its header.
+
+Their mixture is p2 on the first id, (1 - p2) p1 on the second and the rest by
+order 0; where the two predict the same id it gets both shares. One interval of
+a range of 2**32 is coded an id: the predicted ids first, in units of 2**20,
+then order 0 in 2**18 parts of what is left.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 4096
+PARTS = 1 << 18
 _U = np.uint64
 _FULL = 4096
 _TOP, _LOW = _U(40), _U((1 << 56) - 1)
-_SLOTS1, _SLOTS2 = 256, 512
+_SLOTS1, _SLOTS2 = 1024, 2048
+_CONFIDENT = 8
+_ID = np.arange(65536, dtype=np.int64)
+_HASH1 = (_ID * 40503 >> 4) & (_SLOTS1 - 1)
+_HASH2 = (_ID * 30011 >> 3) & (_SLOTS2 - 1)
+_HASH3 = (_ID * 60493 >> 5) & (_SLOTS2 - 1)
+#: Confidence after a miss and after a hit, by twice the confidence.
+_NEXT = np.array([[max(0, c // 2), min(_CONFIDENT - 1, c + 1)] for c in range(_CONFIDENT)], np.int64).ravel()
+_FIRST = np.array([60, 500, 1000, 1500, 2000, 2400, 2800, 3200], np.int64)
+
+
+def prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur and their shares of PARTS, one at least."""
+    count = np.bincount(ids, minlength=1)
+    known = np.flatnonzero(count)
+    share = 1 + count[known] * (PARTS - len(known)) // max(1, len(ids))
+    share[np.argmax(share)] += PARTS - share.sum()
+    return known.astype(np.uint16), share.astype(np.uint32)
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+    def __init__(self, lanes: int, known: np.ndarray, share: np.ndarray):
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base = lane * _SLOTS1, lane * _SLOTS2, lane * _CONFIDENT
         self.one = np.zeros(lanes * _SLOTS1, np.uint32)  # id, and confidence above it
         self.two = np.zeros(lanes * _SLOTS2, np.uint32)
-        self.held = [np.tile(np.array([64, 1200, 2400, 3200], np.int32), lanes) for _ in range(2)]
-        self.count = np.ones((lanes, 256), np.int32)
-        self.bound = np.zeros((lanes, 257), np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
-        self.seen = 0
-        self._bounds()
-
-    def _bounds(self):
-        total = 256 + self.seen
-        freq = 1 + self.count * (_FULL - 512) // total
-        freq[:, 0] += _FULL - freq.sum(1)
-        np.cumsum(freq, axis=1, out=self.bound[:, 1:])
+        self.held1, self.held2 = np.tile(_FIRST, lanes), np.tile(_FIRST, lanes)
+        self.last = self.last2 = np.zeros(lanes, np.int64)
+        self.share = np.zeros(65536, np.int64)
+        self.share[known] = share
+        self.begin = np.zeros(65536, np.int64)
+        self.begin[known] = np.cumsum(share.astype(np.int64)) - share
+        self.of = np.repeat(known.astype(np.int64), share)  # part to id
 
     def predict(self):
-        self.at1 = self.lane * _SLOTS1 + ((self.last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.at2 = self.lane * _SLOTS2 + (((self.last * 40503 + self.last2 * 30011) >> 4) & (_SLOTS2 - 1))
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
-        self.conf1, self.conf2 = (e1 >> 16).astype(np.int64), (e2 >> 16).astype(np.int64)
-        self.w1, self.w2 = self.lane * 4 + self.conf1, self.lane * 4 + self.conf2
-        self.p2 = self.held[1][self.w2].astype(np.int64)
-        p1 = self.held[0][self.w1].astype(np.int64)
-        self.p1 = np.where(self.id1 == self.id2, 0, (_FULL - self.p2) * p1 >> 12)
-        self.rest = _FULL - self.p2 - self.p1
+        self.at1 = self.base1 + _HASH1.take(self.last)
+        self.at2 = self.base2 + (_HASH2.take(self.last) ^ _HASH3.take(self.last2))
+        e1, e2 = self.one.take(self.at1).astype(np.int64), self.two.take(self.at2).astype(np.int64)
+        self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
+        self.c1, self.c2 = e1 >> 16, e2 >> 16
+        self.w1, self.w2 = self.base + self.c1, self.base + self.c2
+        self.q1, self.q2 = self.held1.take(self.w1), self.held2.take(self.w2)
+        p1 = (_FULL - self.q2) * self.q1 >> 12
+        both = p1 * (self.id1 == self.id2)
+        self.p2 = self.q2 + both
+        self.p1 = p1 - both
+        self.top = self.q2 + p1
+        self.rest = _FULL - self.top
 
     def update(self, ids):
-        for table, at, guess, conf, held, w in ((self.one, self.at1, self.id1, self.conf1, self.held[0], self.w1), (self.two, self.at2, self.id2, self.conf2, self.held[1], self.w2)):
+        for table, at, guess, c, held, w, q in ((self.one, self.at1, self.id1, self.c1, self.held1, self.w1, self.q1), (self.two, self.at2, self.id2, self.c2, self.held2, self.w2, self.q2)):
             hit = guess == ids
-            p = held[w]
-            held[w] = np.clip(p + (np.where(hit, 3700, 16) - p >> 4), 16, 3700)
-            conf = np.where(hit, np.minimum(conf + 1, 3), np.maximum(conf - 1, 0))
-            kept = np.where(hit | (conf > 0), guess, ids)
-            table[at] = (kept | conf << 16).astype(np.uint32)
-        self.count[self.lane, ids >> 8] += 1
-        self.seen += 1
-        if self.seen & 63 == 0 or self.seen in (8, 16, 32):
-            self._bounds()
+            held[w] = q + (hit * 3684 + 16 - q >> 4)
+            # A guess without confidence gives way.
+            table[at] = np.where(c > 0, guess, ids) | _NEXT.take(2 * c + hit) << 16
         self.last2, self.last = self.last, ids
 
     def interval(self, ids):
         """Start and width of each id, of 2**32."""
         in2 = ids == self.id2
-        in1 = (ids == self.id1) & ~in2
-        high = ids >> 8
-        low = self.bound[self.lane, high].astype(np.int64)
-        part = (self.bound[self.lane, high + 1] - low) * self.rest
-        start = ((self.p2 + self.p1) * _FULL + self.rest * low) * 256 + part * (ids & 255)
-        start = np.where(in2, 0, np.where(in1, self.p2 << 20, start))
-        return start.astype(_U), np.where(in2, self.p2 << 20, np.where(in1, self.p1 << 20, part)).astype(_U)
+        in1 = (ids == self.id1) > in2
+        start = (self.top << 20) + (self.rest * self.begin.take(ids) << 2)
+        width = self.rest * self.share.take(ids) << 2
+        np.copyto(start, self.p2 << 20, where=in1)
+        np.copyto(width, self.p1 << 20, where=in1)
+        np.copyto(start, 0, where=in2)
+        np.copyto(width, self.p2 << 20, where=in2)
+        return start.view(_U), width.view(_U)
 
     def find(self, value):
         """The ids whose intervals hold the values below 2**32."""
         unit = value >> 20
-        in2, in12 = unit < self.p2, unit < self.p2 + self.p1
-        left = np.maximum((value >> 8) - (self.p2 + self.p1) * _FULL, 0) // self.rest
-        high = np.zeros(len(value), np.int64)
-        flat, base = self.bound.ravel(), self.lane * 257
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            high += step * (flat[base + high + step] <= left)
-        low = flat[base + high].astype(np.int64)
-        part = (flat[base + high + 1] - low) * self.rest
-        inside = value - ((self.p2 + self.p1) * _FULL + self.rest * low) * 256
-        ids = high << 8 | np.clip(inside // part, 0, 255)
-        return np.where(in2, self.id2, np.where(in12, self.id1, ids))
-
-
-def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """The blocks' codes: `ids` has a row for each block, of which the first
-    `sizes` count; longer blocks come first."""
+        part = np.maximum(value - (self.top << 20), 0) // (self.rest << 2)
+        ids = self.of.take(part)
+        np.copyto(ids, self.id1, where=unit < self.top)
+        np.copyto(ids, self.id2, where=unit < self.p2)
+        return ids
+
+
+def encode(ids: np.ndarray, known: np.ndarray, share: np.ndarray) -> list[bytes]:
+    """The codes of the blocks, the rows of `ids`, under the prior given."""
     lanes, steps = ids.shape
-    model = _Model(lanes)
+    model = _Model(lanes, known, share)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
     out = np.zeros((lanes, 2 * steps + 8), np.int32)
     at = np.zeros(lanes, np.int64)
     lane = np.arange(lanes)
     ids = np.ascontiguousarray(ids.T).astype(np.int64)
-    for step in range(steps):
-        on = sizes > step
-        now = ids[step]
+    for now in ids:
         model.predict()
         start, width = model.interval(now)
         unit = span >> _U(32)
-        low += np.where(on, unit * start, _U(0))
-        span = np.where(on, unit * width, span)
+        low += unit * start
+        span = unit * width
         over = np.flatnonzero(low >> _U(56))
         if len(over):
             low[over] &= _LOW
@@ -122,7 +126,7 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
                 more = out[over, back] > 0xFFFF
                 out[over[more], back[more]] = 0
                 over, back = over[more], back[more] - 1
-        while len(thin := np.flatnonzero(span >> _TOP == 0)):
+        while len(thin := np.flatnonzero(span < _U(1 << 40))):
             out[thin, at[thin]] = (low[thin] >> _TOP).astype(np.int32)
             at[thin] += 1
             low[thin] = low[thin] << _U(16) & _LOW
@@ -136,13 +140,13 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [data[i, : at[i]].tobytes() for i in range(lanes)]
 
 
-def decode(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The rows of ids that `encode` was given."""
-    lanes, steps = len(codes), int(sizes.max(initial=0))
+def decode(codes: list[bytes], steps: int, known: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The rows of ids, `steps` each, that `encode` was given."""
+    lanes = len(codes)
     words = np.zeros((lanes, max(map(len, codes), default=0) // 2 + 8), np.uint16)
     for i, code in enumerate(codes):
         words[i, : len(code) // 2] = np.frombuffer(code, np.uint16)
-    model = _Model(lanes)
+    model = _Model(lanes, known, share)
     value, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
     lane = np.arange(lanes)
     at = np.zeros(lanes, np.int64)
@@ -154,14 +158,13 @@ def decode(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
     out = np.zeros((steps, lanes), np.uint16)
     limit = words.shape[1] - 1
     for step in range(steps):
-        on = sizes > step
         model.predict()
         unit = span >> _U(32)
-        now = model.find(np.minimum(value // unit, _U(0xFFFFFFFF)).astype(np.int64))
+        now = model.find(np.minimum(value // unit, _U(0xFFFFFFFF)).view(np.int64))
         start, width = model.interval(now)
-        value = np.where(on, value - unit * start, value)
-        span = np.where(on, unit * width, span)
-        while len(thin := np.flatnonzero(span >> _TOP == 0)):
+        value -= unit * start
+        span = unit * width
+        while len(thin := np.flatnonzero(span < _U(1 << 40))):
             a = at[thin]
             new = (words[thin, np.minimum(a, limit)].astype(_U) & _U(0xFF)) << _U(8) | words[thin, np.minimum(a + 1, limit)].astype(_U) >> _U(8)
             value[thin] = value[thin] << _U(16) | new

@@ -2,22 +2,20 @@
 
 Documents go in ascending doc_id order over range partitions. A partition's ids
 are cut into chunks of about CHUNK_IDS, whole documents each; a chunk is one
-container of blocks of 1024 ids that the context-mixing range coder codes
+container of blocks of up to 4096 ids that the context-mixing range coder codes
 independently, each with a checksum. A file set is a table of containers with
 their place (part, chunk), written and read by Spark, so that any store works,
 parts are retried and committed as a whole, and every chunk decodes by itself.
 
-The tokenizer's own pattern cuts a text before every single space; each distinct
-word with its space is encoded once in a worker process, up to CACHE words.
-
-Cases: a null or empty text holds only the end id; equal doc_ids follow each
-other by a hash of the text, null doc_ids come first; the strings of special
-tokens in a text are ordinary text; an empty table gives an empty file set.
+Cases: a null or empty text holds only the end id; a very long text is one
+document of one chunk; equal doc_ids follow each other by a hash of the text,
+null doc_ids come first; the string of a special token in a text is that token,
+as the tokenizers library has it; an empty table gives an empty file set; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -30,109 +28,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloom.llm import common as C
-from equiloom.llm.mixing_coder import BLOCK, decode, encode
+from equiloom.llm.mixing_coder import BLOCK, decode, encode, prior
+from equiloom.llm.piece_encoder import Encoder
 
-CHUNK_IDS = 2 << 20
-CACHE = 400_000
-MAGIC = b"CMR1"
+CHUNK_IDS = 4 << 20
+MAGIC = b"CMR2"
+_HEAD = "<5Q6I"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
 
 
-#: White space other than the space, of which none may be next to a space where
-#: a text is cut.
-_ASCII_SPACE = "\t\n\x0b\x0c\r "
-_MARKS = ".,;:!?"
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _cuts(text: str) -> bool:
-    """Whether a byte-level vocabulary's own pattern cuts the text at every
-    single space: each then opens a piece, if no other white space is near."""
-    return not any(" " + c in text or c + " " in text for c in _ASCII_SPACE) and (text.isascii() or not _OTHER_SPACE.search(text))
-
-
-class _Encoder:
-    """Encodes texts word by word, each distinct word once as long as it is
-    kept; texts that cannot be cut go whole."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}  # ids of " " + word
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 10_000):
-            out += [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)]
-        return out
-
-    def __call__(self, texts: list[str], end: int) -> tuple[bytes, list[int]]:
-        """All ids as little-endian 16-bit integers, and their number by text."""
-        cut = [x.split(" ") if _cuts(x) else [x] for x in texts]
-        heads = self._ids([x[0] for x in cut])
-        if len(self.words) > CACHE:
-            self.words.clear()
-        words, seen = self.words, set()
-        for x in cut:
-            seen.update(x[1:])
-        seen -= words.keys()
-        # Letters and the marks after them are pieces of their own.
-        marked = {x: core for x in seen if (core := x.rstrip(_MARKS)) != x and core.isalpha()}
-        new = list((seen - marked.keys()) | (set(marked.values()) - words.keys()))
-        words.update(zip(new, self._ids([" " + x for x in new]), strict=True))
-        marks = list({x[len(core) :] for x, core in marked.items()})
-        tails = dict(zip(marks, self._ids(marks), strict=True))
-        words.update((x, words[core] + tails[x[len(core) :]]) for x, core in marked.items())
-        tail = end.to_bytes(2, "little")
-        data = [head + b"".join(map(words.__getitem__, x[1:])) + tail for head, x in zip(heads, cut, strict=True)]
-        return b"".join(data), [len(x) // 2 for x in data]
-
-
 @lru_cache(1)
-def _encoder(path: str) -> _Encoder:
-    """One for a worker process, whose tasks share its words."""
-    return _Encoder(path)
-
-
-def pack(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A container: header, documents' keys and counts, block sizes and
-    checksums, then the blocks' codes."""
-    n = -(-len(ids) // BLOCK)
-    sizes = np.full(n, BLOCK)
-    if n:
-        sizes[-1] = len(ids) - BLOCK * (n - 1)
-    rows = np.zeros(n * BLOCK, np.uint16)
+def _encoder(path: str) -> Encoder:
+    """One for a worker process, whose tasks share its units."""
+    return Encoder(path)
+
+
+def pack(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """A container: header, documents' keys (the first `nulls` are null) and
+    counts, order 0, block sizes and checksums, then the blocks' codes. Blocks
+    are shorter where there are few ids, so that many move at once; the last is
+    filled up with the commonest id."""
+    block = int(min(BLOCK, max(64, -(-len(ids) // 1024))))
+    n = -(-len(ids) // block)
+    known, share = prior(ids) if n else (ids, ids.astype(np.uint32))
+    rows = np.full(n * block, known[share.argmax()] if n else 0, np.uint16)
     rows[: len(ids)] = ids
-    rows = rows.reshape(n, BLOCK)[:, : int(sizes.max(initial=0))]
-    codes = encode(rows, sizes) if n else []
+    codes = encode(rows.reshape(n, block), known, share) if n else []
     sums = np.array([zlib.crc32(c) for c in codes], np.uint32)
-    tables = [C.spread(keys.astype(np.int64)), C.spread(counts.astype(np.uint32)), C.spread(np.array([len(c) for c in codes], np.uint32)), sums.tobytes()]
-    head = MAGIC + struct.pack("<QQQ4I", len(keys), len(ids), n, *map(len, tables))
+    tables = [C.spread(keys.astype(np.int64)), C.spread(counts.astype(np.uint32)), C.spread(C.steps(known)), C.spread(share), C.spread(np.array([len(c) for c in codes], np.uint32)), sums.tobytes()]
+    head = MAGIC + struct.pack(_HEAD, len(keys), nulls, len(ids), n, block, *map(len, tables))
     return head + b"".join(tables) + b"".join(codes)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, counts and ids of a container; a damaged one raises ValueError."""
+def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """What `pack` was given; a damaged container raises ValueError."""
     if data[:4] != MAGIC:
         raise ValueError("not a token container")
-    _, n_ids, n, *lengths = struct.unpack_from("<QQQ4I", data, 4)
-    at = 4 + struct.calcsize("<QQQ4I")
+    _, nulls, n_ids, n, block, *lengths = struct.unpack_from(_HEAD, data, 4)
+    at = 4 + struct.calcsize(_HEAD)
     tables = []
     for size in lengths:
         tables.append(data[at : at + size])
         at += size
     keys, counts = C.gather(tables[0], np.int64), C.gather(tables[1], np.uint32)
-    ends = at + np.cumsum(C.gather(tables[2], np.uint32).astype(np.int64))
+    known, share = np.cumsum(C.gather(tables[2], np.uint16), dtype=np.uint16), C.gather(tables[3], np.uint32)
+    ends = at + np.cumsum(C.gather(tables[4], np.uint32).astype(np.int64))
     codes = [data[a:z] for a, z in zip(np.append(at, ends[:-1]).tolist(), ends.tolist(), strict=True)] if n else []
-    if any(zlib.crc32(c) != s for c, s in zip(codes, np.frombuffer(tables[3], np.uint32), strict=True)):
+    if any(zlib.crc32(c) != s for c, s in zip(codes, np.frombuffer(tables[5], np.uint32), strict=True)):
         raise ValueError("a block's checksum differs")
-    sizes = np.full(n, BLOCK)
-    if n:
-        sizes[-1] = n_ids - BLOCK * (n - 1)
-    ids = decode(codes, sizes).ravel()[:n_ids] if n else np.empty(0, np.uint16)
-    return keys, counts, ids
+    ids = decode(codes, block, known, share).ravel()[:n_ids] if n else np.empty(0, np.uint16)
+    return keys, nulls, counts, ids
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) -> None:
@@ -141,33 +86,34 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
 
     def run(batches):
         encoder = _encoder(vocabulary)
-        part, chunk, held, keys, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, chunk, held, keys, counts, size, nulls = TaskContext.get().partitionId(), 0, [], [], [], 0, 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), np.uint16)
-            data = pack(np.concatenate(keys), np.concatenate(counts), ids)
+            ids = np.concatenate(held)
+            data = pack(np.concatenate(keys), nulls, np.concatenate(counts), ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([sum(map(len, keys))], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
                 ["part", "chunk", "n_docs", "n_ids", "data"],
             )
 
-        for piece in C.slices(batches):
-            data, n = encoder(piece.column("text").to_pylist(), end)
-            held.append(data)
+        for piece in C.unsqueezed(batches, 4 << 20):
+            ids, n = encoder(*C.utf8(piece.column("text")), end)
+            held.append(ids)
             keys.append(piece.column("k").to_numpy())
-            counts.append(np.array(n))
-            size += len(data) // 2
+            counts.append(n)
+            size, nulls = size + len(ids), nulls + piece.column("doc_id").null_count
             if size >= CHUNK_IDS:
                 yield row()
-                chunk, held, keys, counts, size = chunk + 1, [], [], [], 0
+                chunk, held, keys, counts, size, nulls = chunk + 1, [], [], [], 0, 0
         if held:
             yield row()
         held, keys, counts = [], [], []
-        pa.default_memory_pool().release_unused()
+        C.give_back()
 
-    keyed = C.keyed(docs).select("k", "t", "text")
+    keyed = C.keyed(docs)
     parts = max(8, C.text_bytes(keyed) // (24 << 20))
-    keyed.repartitionByRange(int(parts), "k", "t").sortWithinPartitions("k", "t").mapInArrow(run, FORM).write.parquet(folder)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
+    C.squeezed(keyed).repartitionByRange(int(parts), *order).sortWithinPartitions(*order).mapInArrow(run, FORM).write.parquet(folder)
 
 
 def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
@@ -178,21 +124,23 @@ def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, ids = unpack(batch.column("data")[i].as_py())
+                keys, nulls, counts, ids = unpack(batch.column("data")[i].as_py())
                 ends = np.cumsum(counts.astype(np.int64))
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[z - n : z]) for n, z in zip(counts.tolist(), ends.tolist(), strict=True)]
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), batch.column("part")[i].as_py()), pa.int32()), pa.array(np.full(len(keys), batch.column("chunk")[i].as_py()), pa.int32()),
-                     pa.array(keys, mask=keys == C.NULL_KEY), pa.array(ends - counts), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), *lists],
+                     pa.array(keys, mask=np.arange(len(keys)) < nulls), pa.array(ends - counts), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), *lists],
                     ["part", "chunk", "doc_id", "inside", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
+        C.give_back()
 
     files = spark.read.schema(FORM).parquet(folder)
     place = files.select("part", "chunk", "n_ids")
     back = Window.unboundedPreceding
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(back, -1)), F.lit(0))
+    # One narrow row a part, which is 24 MB of text or more: these fit one task.
     parts = place.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("a"))
     base = place.select("part", "chunk", before(Window.partitionBy("part").orderBy("chunk")).alias("b")).join(parts, "part").select("part", "chunk", (F.col("a") + F.col("b")).alias("base"))
     rows = files.select("part", "chunk", "data").mapInArrow(run, f"part int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long{tail}")
@@ -203,7 +151,6 @@ def round_trip(docs: DataFrame, vocabulary: str, end: int = 2, with_ids: bool =
     """Write the documents' ids below the shared checkpoint folder; what the
     files hold."""
     spark = docs.sparkSession
-    C.checkpoint(spark.range(1))  # names a folder where the session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    folder = f"{C.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, vocabulary, folder, end)
     return read_tokens(spark, folder, with_ids)

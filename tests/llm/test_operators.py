@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from equiloom.llm import chat_format, decontaminate, license_scan, mixing_coder, quality_rules, simhash_dedup, source_mix, substring_dedup, suffix_dedup, suffix_sort, token_files, toxicity
+from equiloom.llm import common as C
+from equiloom.llm import chat_format, decontaminate, license_scan, mixing_coder, piece_encoder, quality_rules, simhash_dedup, source_mix, substring_dedup, suffix_dedup, suffix_sort, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,7 +69,21 @@ def test_suffixes(odd, size, shard):
     assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == bag(want)
 
 
-def test_suffix_array():
+def test_suffix_stretches(monkeypatch):
+    """Regions do not depend on where a long text is cut to be read."""
+    rng = np.random.default_rng(6)
+    buf = rng.integers(97, 100, 3000).astype(np.uint8)
+    offs = np.array([0, 0, 700, 700, 2990, 3000])
+    one = suffix_dedup._regions(buf, offs, 60)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 128)
+    many = suffix_dedup._regions(buf, offs, 60)
+    windows = [{(int(r), int(a) + i, int(h)) for r, a, n, h in zip(*x, strict=True) for i in range(n)} for x in (one, many)]
+    assert windows[0] == windows[1] and sum(one[2]) == 700 - 59 + 2290 - 59
+
+
+@pytest.mark.parametrize("base", [1 << 17, 2])
+def test_suffix_array(monkeypatch, base):
+    monkeypatch.setattr(suffix_sort, "BASE", base)
     rng = np.random.default_rng(3)
     for i in range(300):
         t = rng.integers(0, 1 + i % 4, i % 37)
@@ -214,23 +230,46 @@ def test_chat(spark, monkeypatch):
 
 @pytest.mark.parametrize("ids", [2, 60, 65536])
 def test_coder(ids):
-    rng = np.random.default_rng(ids)
-    sizes = np.sort(rng.integers(1, 150, 40))[::-1].copy()
-    rows = rng.integers(0, ids, (40, 150)).astype(np.uint16)
-    back = mixing_coder.decode(mixing_coder.encode(rows, sizes), sizes)
-    assert all((back[i, :n] == rows[i, :n]).all() for i, n in enumerate(sizes))
+    rows = np.random.default_rng(ids).integers(0, ids, (40, 150)).astype(np.uint16)
+    known, share = mixing_coder.prior(rows.ravel())
+    assert share.sum() == mixing_coder.PARTS and share.min() >= 1
+    assert (mixing_coder.decode(mixing_coder.encode(rows, known, share), 150, known, share) == rows).all()
 
 
 def test_container():
     ids = np.arange(5000).astype(np.uint16) % 700
-    data = token_files.pack(np.array([3, 4]), np.array([1000, 4000]), ids)
-    keys, counts, back = token_files.unpack(data)
-    assert list(keys) == [3, 4] and list(counts) == [1000, 4000] and (back == ids).all()
+    data = token_files.pack(np.array([0, 4]), 1, np.array([1000, 4000]), ids)
+    keys, nulls, counts, back = token_files.unpack(data)
+    assert list(keys) == [0, 4] and nulls == 1 and list(counts) == [1000, 4000] and (back == ids).all()
     broken = bytearray(data)
     broken[-3] ^= 1
     with pytest.raises(ValueError):
         token_files.unpack(bytes(broken))
-    assert len(token_files.unpack(token_files.pack(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)))[2]) == 0
+    empty = np.empty(0, np.int64)
+    assert len(token_files.unpack(token_files.pack(empty, 0, empty, empty.astype(np.uint16)))[3]) == 0
+
+
+def test_compression():
+    """Ids of which half follow from the one before cost less than by order 0."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 200, (64, 4096)).astype(np.uint16)
+    ids[:, 1::2] = (ids[:, ::2].astype(int) * 7 % 200).astype(np.uint16)
+    size = sum(map(len, mixing_coder.encode(ids, *mixing_coder.prior(ids.ravel()))))
+    assert 8 * size / ids.size < 0.8 * np.log2(200)
+
+
+def test_pieces():
+    """Units cut at borders that two bytes prove give what the library gives."""
+    import public_tokenizers
+
+    encoder = piece_encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(1)
+    letters = [*"ab1 \n\t'st.!(é² \u3000“日\u0085\x00\x1c", "'s", "'ll", " '", "<|endoftext|>", "  ", " the"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)] + ["", "x" * 70000]
+    for part in (texts, texts[::-1]):  # the second time from kept units
+        ids, n = encoder(*C.utf8(pa.array(part)), 2)
+        want = [[*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 2] for x in part]
+        assert list(n) == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 def test_tokens(odd):
@@ -239,9 +278,11 @@ def test_tokens(odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    more = odd.limit(2).withColumn("text", F.lit("ends <|endoftext|> here")).withColumn("doc_id", F.lit(-(2**63)).cast("long"))
+    odd = odd.unionByName(more)
     got = token_files.round_trip(odd, path, 2, with_ids=True).orderBy("start").collect()
     want = Counter((d, tuple([*t.encode(x, add_special_tokens=False).ids, 2])) for d, x in rows_of(odd))
+    assert any(50256 in ids for _, ids in want)
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     at = 0
     for r in got:
