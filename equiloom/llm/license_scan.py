@@ -9,8 +9,9 @@ of its window's shingles, so it is retrieved with probability 1 - (5/6) ** 64,
 more than 0.99999. The exact containment of the template's shingles in the
 window, CONTAINED or more, then decides.
 
-Cases: a null or empty text matches nothing; repeated doc_ids are reported as
-one; a template under five words is refused; an empty table gives an empty
+Cases: a null or empty text matches nothing; a very long text is cut into
+windows like any other; rows that repeat a doc_id are reported as one, by the
+best of their texts; a template under five words is refused; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -21,7 +22,19 @@ from pyspark.sql import functions as F
 
 WIDTH, BANDS, CONTAINED = 5, 64, 0.8
 
-# Notices that licences ask to be shown.
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, "
+    "either version {} of the License, or (at your option) any later version."
+)
+
+# Notices that licences ask to be shown, and the text of short ones.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -31,6 +44,28 @@ TEMPLATES = {
     "GPL-header": "it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+    f"this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies.",
+    "BSD-2-text": _BSD,
+    "BSD-3-text": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+    "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    "this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    "GPL-3.0-header": _HEADER.format("GNU General Public License", "3"),
+    "AGPL-3.0-header": _HEADER.format("GNU Affero General Public License", "3"),
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
 
@@ -78,7 +113,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     bands = cut.select("doc_id", "size", "at", "h", F.posexplode(_least(F.col("h"))).alias("band", "key"))
     wanted = known.select("license", "size", "wanted", F.posexplode(_least(F.col("wanted"))).alias("band", "key"))
     met = bands.join(wanted, ["size", "band", "key"]).groupBy("doc_id", "license", "at").agg(
-        F.first(F.size(F.array_intersect("wanted", "h")) / F.size("wanted")).alias("containment")
+        F.max(F.size(F.array_intersect("wanted", "h")) / F.size("wanted")).alias("containment")
     )
     found = met.where(F.col("containment") >= CONTAINED)
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
