@@ -6,10 +6,11 @@ Hamming [31, 26] code: each value has one codeword, its home, within the
 covering radius 1, and every value within r of it has that codeword within
 r + 1. So a fingerprint is replicated to all anchors within r + 1 in either
 half; at each anchor those at home are compared on all 64 bits with all that
-came. Equal fingerprints go as one, a crowded anchor is dealt over several
+came. Equal fingerprints go as one, a crowded anchor is dealt over a grid of
 groups, and an anchor reports a spanning set of its links, not all pairs.
 
 Cases: a null or empty text has fingerprint zero and links like any other; a
+very long text is fingerprinted whole, in stretches of shingles; a
 text under ``width`` words is one shingle; a null doc_id is a row like any other
 and no component's id unless all its ids are null; an empty table gives an empty
 result; other columns are ignored.
@@ -139,11 +140,8 @@ def _compare(bits: int):
                 h = at_home[a:z]
                 if h.any():
                     home.append(fp[a:z][h])
-                if home:
+                if home and not h.all():
                     visitors.append(fp[a:z][~h])
-                    mine = fp[a:z][h]
-                    if len(mine):
-                        visitors.append(mine)
             if len(out):
                 yield _pairs(out)
                 out = []
@@ -170,11 +168,15 @@ def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _anchors(h, radius + 1).alias("to")) for i, h in enumerate(half)])).alias("b")
     ).select("fp", "b.band", F.explode("b.to").alias("a")).select("fp", "band", "a.anchor", "a.home")
     crowded = sent.groupBy("band", "anchor").count().where(F.col("count") > CROWD).select("band", "anchor", F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
+    # A crowded anchor is a grid: those at home in one of its rows, all in one of
+    # its columns; who is at home visits as well.
     parts = F.coalesce("parts", F.lit(1))
-    visit = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    dealt = sent.join(crowded, ["band", "anchor"], "left").select(
-        "band", "anchor", "fp", "home", F.explode(F.when(F.col("home") & (parts > 1), F.sequence(F.lit(0), parts - 1)).otherwise(visit)).alias("salt")
-    )
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    line = F.sequence(F.lit(0), parts - 1)
+    as_home = F.transform(line, lambda i: F.struct((mine * parts + i).alias("salt"), F.lit(True).alias("home")))
+    as_guest = F.transform(line, lambda i: F.struct((i * parts + mine).alias("salt"), F.lit(False).alias("home")))
+    cells = F.when(F.col("home"), F.concat(as_home, as_guest)).otherwise(as_guest)
+    dealt = sent.join(crowded, ["band", "anchor"], "left").select("band", "anchor", "fp", F.explode(cells).alias("to")).select("band", "anchor", "fp", "to.salt", "to.home")
     return dealt.repartition("band", "anchor", "salt").sortWithinPartitions("band", "salt", "anchor", F.desc("home")).mapInArrow(_compare(bits), "u long, v long")
 
 
@@ -183,8 +185,10 @@ def near_components(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame
     the smallest doc_id reachable over links of `bits` bits, and component, its
     smallest fingerprint, which tells components apart where doc_ids repeat."""
     prints = C.checkpoint(fingerprints(docs, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = components(near_links(nodes.select("fp"), bits)).select(F.col("u").alias("fp"), "m")
+    nodes = C.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Each fingerprint becomes 28 rows: dealt out first, so that no task makes them all.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, nodes.count() // 200_000)
+    label = components(near_links(nodes.select("fp").repartition(int(tasks)), bits)).select(F.col("u").alias("fp"), "m")
     named = C.checkpoint(nodes.join(label, "fp", "left").select("fp", "least", F.coalesce("m", "fp").alias("m")))
     ids = named.groupBy("m").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(ids, "m").select("fp", "component_id", F.col("m").alias("component")), "fp").select(
