@@ -11,7 +11,8 @@ fingerprinted.
 Items are taken in blocks of bounded size against all documents, so the
 benchmark may grow. Words are compared in lower case (A-Z).
 
-Cases: a null or empty text matches nothing; a text shorter than an item is one
+Cases: a null or empty text matches nothing; a very long text is compared in
+blocks of windows; a text shorter than an item is one
 window; an item under five words is one shingle; equal items are reported each;
 repeated rows are reported each; an empty table on either side gives an empty
 result; other columns are ignored.
@@ -32,6 +33,8 @@ from equiloom.llm import common as C
 WIDTH, SIMILAR, RADIUS = 5, 0.8, 20
 #: Items and bytes of items that one pass over the documents takes, about.
 ITEMS, ITEM_BYTES = 5000, 16 << 20
+#: Windows times items that are compared at once.
+CELLS = 1 << 20
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= 2
 
 
@@ -113,6 +116,18 @@ def _similar(h: np.ndarray, item: Counter, total: int, window: int) -> tuple[flo
     return best, place
 
 
+def _near(size: _Size, prints: np.ndarray):
+    """(item, first, last window) of the items that have a window within RADIUS,
+    by the multi-index of blocks."""
+    found = np.zeros((len(prints), len(size.ids)), bool)
+    for b in range(8):
+        found |= size.near[b][prints.view(np.uint8).reshape(-1, 8)[:, b]]
+    found &= np.bitwise_count(prints[:, None] ^ size.prints[None]) <= RADIUS
+    for j in np.flatnonzero(found.any(0)):
+        w = np.flatnonzero(found[:, j])
+        yield j, int(w[0]), int(w[-1])
+
+
 def _matches(ix: Index, part) -> list[tuple[int, object, float, int]]:
     """(row, item_id, similarity, first word) of all matches in a batch."""
     buf, offs = C.utf8(part.column("text"))
@@ -137,19 +152,14 @@ def _matches(ix: Index, part) -> list[tuple[int, object, float, int]]:
                 left, right = max(a, int(lo[s])), min(z - width + 1 - window, int(hi[e - 1]) - 1)
                 if right < left:
                     continue
-                piece = h[left : right + window]
-                prints = _prints(piece, window)
                 size = ix.sizes[n]
-                found = np.zeros((len(prints), len(size.ids)), bool)
-                for b in range(8):
-                    found |= size.near[b][prints.view(np.uint8).reshape(-1, 8)[:, b]]
-                found &= np.bitwise_count(prints[:, None] ^ size.prints[None]) <= RADIUS
-                for j in np.flatnonzero(found.any(0)):
-                    w = np.flatnonzero(found[:, j])
-                    part_ = piece[w[0] : w[-1] + window]
-                    best, place = _similar(part_, size.counts[j], n - width + 1, window)
-                    if best >= SIMILAR:
-                        out.append((r, size.ids[j], best, left + int(w[0]) + place - a))
+                step = max(1, CELLS // len(size.ids))
+                for at_ in range(left, right + 1, step):  # windows in blocks of bounded size
+                    piece = h[at_ : min(right, at_ + step - 1) + window]
+                    for j, lo_, hi_ in _near(size, _prints(piece, window)):
+                        best, place = _similar(piece[lo_ : hi_ + window], size.counts[j], n - width + 1, window)
+                        if best >= SIMILAR:
+                            out.append((r, size.ids[j], best, at_ + lo_ + place - a))
     best: dict[tuple, tuple] = {}
     for r, i, s, p in out:
         if (r, i) not in best or (s, -p) > (best[r, i][0], -best[r, i][1]):
