@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from equiloom.llm.common import checkpoint
 
 _SPACE = " \t\n\x0b\x0c\r"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts"]
-#: Share of bad votes expected on bad and on good documents before any count.
-#: A rule knows one kind of bad text, so it misses the others, but seldom errs
-#: on good text.
-PRIOR = (0.4, 0.001)
-#: Weights of these expectations, as shares of all documents. The second keeps
-#: the estimate from taking the commonest kind of bad text for all of it.
-STRENGTH = (0.05, 5.0)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_letters", "n_bare"]
+#: Share of bad votes expected on bad and on good documents before any count,
+#: and the documents that this expectation weighs as many as, whatever the size
+#: of the corpus.
+PRIOR, WEIGHT = (0.5, 0.05), 20.0
+#: Probability of good that the estimation starts from, for a document with no
+#: bad vote, one, and two or more.
+START = (0.99, 0.8, 0.01)
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -47,7 +47,8 @@ def counts(docs: DataFrame) -> DataFrame:
         lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
     )
     none = F.lit(None).cast("array<struct<h:bigint,p:int>>")
-    sorted_ = split.select("doc_id", "text", n.alias("n"), F.explode(F.array(F.when(n > 3, F.sort_array(gram)).otherwise(none))).alias("g"))
+    bare = F.size(F.filter(w, lambda x: x.isin(list("#*$%&|<>"))))
+    sorted_ = split.select("doc_id", "text", n.alias("n"), bare.alias("b"), F.explode(F.array(F.when(n > 3, F.sort_array(gram)).otherwise(none))).alias("g"))
     g = F.col("g")
     met = F.filter(g, lambda x, i: F.coalesce(x["h"] == F.get(g, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(g, i + 1)["h"], F.lit(False)))
     places = F.sort_array(F.transform(met, lambda x: x["p"]))
@@ -58,8 +59,9 @@ def counts(docs: DataFrame) -> DataFrame:
         lambda a: a["c"],
     )
     line = F.filter(F.split(text, "\n", -1), lambda x: _without(x, _SPACE) > 0)
-    lined = sorted_.select("doc_id", "text", "n", F.coalesce(covered, F.lit(0)).alias("r"), F.explode(F.array(line)).alias("l"))
+    lined = sorted_.select("doc_id", "text", "n", "b", F.coalesce(covered, F.lit(0)).alias("r"), F.explode(F.array(line)).alias("l"))
     upper = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1))
+    plain = upper + upper.lower()
     return lined.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
@@ -70,6 +72,8 @@ def counts(docs: DataFrame) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.length(text) - _without(text, upper)).cast("long").alias("n_upper"),
         (F.length(text) - _without(text, "!")).cast("long").alias("n_shouts"),
+        (F.length(text) - _without(text, plain)).cast("long").alias("n_letters"),
+        F.col("b").cast("long").alias("n_bare"),
     )
 
 
@@ -78,7 +82,9 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules. Comparisons over nothing are null and abstain."""
+    """The rules. Comparisons over nothing are null and abstain. Each kind of
+    bad text is seen by two rules at least, so that their agreement, and not the
+    prior, tells how far to trust them."""
     n = F.when(F.col("n_words") > 0, F.col("n_words"))
     lines = F.when(F.col("n_lines") > 0, F.col("n_lines"))
     chars = F.when(F.col("word_chars") > 0, F.col("word_chars"))
@@ -89,30 +95,37 @@ def votes() -> dict[str, Column]:
         "dup_lines": _vote(ratio("n_dup_lines", lines) > 0.3, (F.col("n_dup_lines") == 0) & (lines > 1)),
         "repeats": _vote(ratio("n_repeat_words", n) > 0.4, ratio("n_repeat_words", n) < 0.15),
         "word_length": _vote((mean < 3) | (mean > 12), (mean >= 3.5) & (mean <= 9)),
-        "shouting": _vote((ratio("n_upper", chars) > 0.4) | (ratio("n_shouts", n) > 0.1), (ratio("n_upper", chars) < 0.1) & (F.col("n_shouts") == 0)),
+        "letters": _vote(ratio("n_letters", chars) < 0.75, ratio("n_letters", chars) > 0.85),
+        "bare_symbols": _vote(ratio("n_bare", n) > 0.1, ratio("n_bare", n) < 0.02),
+        "upper": _vote(ratio("n_upper", chars) > 0.4, ratio("n_upper", chars) < 0.1),
+        "shouts": _vote(ratio("n_shouts", n) > 0.1, F.col("n_shouts") == 0),
         "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 100),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
     """Prior probability of good, and for each rule the probability that its
-    vote is bad given a bad and a good document."""
-    total = sum(c for _, c in patterns) or 1
+    vote is bad given a bad and a good document. The start takes two
+    bad votes that agree for bad; a rule's bad votes never count for good."""
     width = len(patterns[0][0]) if patterns else 0
-    extra = 0.05 * total
-    good, rates = 0.8, [PRIOR] * width
+    post = [START[min(2, sum(v < 0 for v in p))] for p, _ in patterns]
+    good, rates = 0.5, [PRIOR] * width
     for _ in range(rounds):
-        post = [posterior(p, good, rates) for p, _ in patterns]
+        before = good, rates
         mass = sum(q * c for q, (_, c) in zip(post, patterns, strict=True))
-        good = (mass + 0.8 * extra) / (total + extra)
+        total = sum(c for _, c in patterns)
+        good = (mass + 0.5 * WEIGHT) / (total + WEIGHT)
         rates = []
         for j in range(width):
-            sums = []
-            for prior, strength, weigh in ((PRIOR[0], STRENGTH[0], lambda q: 1 - q), (PRIOR[1], STRENGTH[1], lambda q: q)):
+            each = []
+            for prior, weigh in ((PRIOR[0], lambda q: 1 - q), (PRIOR[1], lambda q: q)):
                 bad = sum(weigh(q) * c for q, (p, c) in zip(post, patterns, strict=True) if p[j] < 0)
                 cast = sum(weigh(q) * c for q, (p, c) in zip(post, patterns, strict=True) if p[j])
-                sums.append((bad + prior * strength * total) / (cast + strength * total))
-            rates.append((sums[0], sums[1]))
+                each.append((bad + prior * WEIGHT) / (cast + WEIGHT))
+            rates.append((max(each[0], each[1]), each[1]))
+        post = [posterior(p, good, rates) for p, _ in patterns]
+        if (good, rates) == before:
+            break
     return good, rates
 
 

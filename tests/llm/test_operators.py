@@ -181,14 +181,39 @@ def test_quality(odd):
     assert not any(r.kept and r.base_failed for r in got)
 
 
-def test_vote_model():
+@pytest.mark.parametrize("share", [0.6, 0.85])
+@pytest.mark.parametrize("errs", [0.01, 0.1, 0.3])
+def test_vote_model(share, errs):
+    """Planted accuracies come back, also of a rule that often errs on good."""
     rng = np.random.default_rng(1)
-    good = rng.random(4000) < 0.85
-    kind = rng.integers(0, 3, 4000)
-    votes = [tuple(-1 if (not g and k == j) or rng.random() < 0.004 else 1 if rng.random() < 0.9 else 0 for j in range(3)) for g, k in zip(good, kind, strict=True)]
-    p, rates = quality_rules.fit(sorted(Counter(votes).items()))
-    said = np.array([quality_rules.posterior(v, p, rates) >= 0.5 for v in votes])
-    assert (said == good).mean() > 0.97
+    good = rng.random(20_000) < share
+    bad_rate, good_rate = [0.9, 0.8, 0.7, 0.85, 0.75], [0.02, 0.05, 0.03, 0.04, errs]
+    votes = np.stack([np.where(rng.random(len(good)) < 0.1, 0, np.where(rng.random(len(good)) < np.where(good, g, b), -1, 1)) for b, g in zip(bad_rate, good_rate, strict=True)], axis=1)
+    patterns = sorted(Counter(map(tuple, votes.tolist())).items())
+    p, rates = quality_rules.fit(patterns)
+    assert abs(p - share) < 0.03
+    assert np.abs(np.array(rates) - np.array([bad_rate, good_rate]).T).max() < 0.04
+    said = np.array([quality_rules.posterior(tuple(v), p, rates) >= 0.5 for v in votes.tolist()])
+    assert (said == good).mean() > 0.95
+
+
+def test_quality_posterior(spark):
+    """kept and p_good against an estimation document by document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules.quality(docs).collect()
+    v = np.array([[r[f"vote_{k}"] for k in quality_rules.votes()] for r in rows])
+    q = np.array([{0: 0.99, 1: 0.8}.get(n, 0.01) for n in (v < 0).sum(1)])
+    for _ in range(200):
+        p = (q.sum() + 10) / (len(q) + 20)
+        ok = ((q[:, None] * (v < 0)).sum(0) + 1) / ((q[:, None] * (v != 0)).sum(0) + 20)
+        bad = np.maximum(ok, (((1 - q)[:, None] * (v < 0)).sum(0) + 10) / (((1 - q)[:, None] * (v != 0)).sum(0) + 20))
+        odds = np.log(p / (1 - p)) + np.where(v < 0, np.log(ok / bad), np.where(v > 0, np.log((1 - ok) / (1 - bad)), 0)).sum(1)
+        q = 1 / (1 + np.exp(-odds))
+    assert np.abs(np.array([r.p_good for r in rows]) - q).max() < 1e-6
+    assert all(r.kept == (not r.base_failed and x >= 0.5) for r, x in zip(rows, q, strict=True))
+    marks = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    open_ = [(r.kept, marks[r.doc_id]) for r in rows if r.doc_id in marks and not r.base_failed]
+    assert np.mean([k == bool(m) for k, m in open_]) > 0.98
 
 
 def repaired(roles):
