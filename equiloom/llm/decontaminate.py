@@ -207,6 +207,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 clean = np.ones(part.num_rows, bool)
                 clean[[m[0] for m in _matches(ix, part)]] = False
                 yield part.filter(pa.array(clean))
+            C.give_back()
 
         return frame.mapInArrow(run, docs.schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 
 from equiloom.llm import common as C
 
-CACHE = 1_000_000
+CACHE = 500_000
 _WIDE_SPACE = re.compile(r"\s|[\x00-\x1f]")
 _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _OTHER = range(6)
 _CLASS = np.full(256, _OTHER, np.uint8)  # control bytes and bytes of wider characters prove no border
@@ -61,7 +61,7 @@ class Encoder:
 
     def _clear(self):
         self.hash = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)  # the unit's number
+        self.at = np.empty(0, np.int32)  # the unit's number
         self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.ids_ends = np.empty(0, np.uint16), np.zeros(1, np.int64)
 
@@ -115,7 +115,7 @@ class Encoder:
             self.ids_ends = np.concatenate([self.ids_ends, self.ids_ends[-1] + np.cumsum(n)])
             both = np.concatenate([self.hash, h[new]])
             order = np.argsort(both, kind="stable")
-            self.hash, self.at = both[order], np.concatenate([self.at, number[new]])[order]
+            self.hash, self.at = both[order], np.concatenate([self.at, number[new].astype(np.int32)])[order]
         return number
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

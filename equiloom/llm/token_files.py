@@ -31,7 +31,7 @@ from equiloom.llm import common as C
 from equiloom.llm.mixing_coder import BLOCK, decode, encode, prior
 from equiloom.llm.piece_encoder import Encoder
 
-CHUNK_IDS = 4 << 20
+CHUNK_IDS = 2 << 20
 MAGIC = b"CMR2"
 _HEAD = "<5Q6I"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
@@ -96,7 +96,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
                 ["part", "chunk", "n_docs", "n_ids", "data"],
             )
 
-        for piece in C.unsqueezed(batches, 4 << 20):
+        for piece in C.unsqueezed(batches):
             ids, n = encoder(*C.utf8(piece.column("text")), end)
             held.append(ids)
             keys.append(piece.column("k").to_numpy())

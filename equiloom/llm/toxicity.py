@@ -128,6 +128,7 @@ def _listed(features: np.ndarray | None):
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in (pa.array(got, pa.int64()), pa.array(value, pa.float64()))]
             yield pa.RecordBatch.from_arrays([part.column("mark"), part.column("t"), *lists], ["mark", "t", "f", "v"])
+        C.give_back()
 
     return run
 
@@ -215,6 +216,7 @@ def grade(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
                 [part.column("doc_id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= limit)],
                 ["doc_id", "severity", "p_toxic", "toxic"],
             )
+        C.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, p_toxic double, toxic boolean")
 
@@ -225,5 +227,6 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     def run(batches):
         for part in C.slices(batches):
             yield part.filter(pa.array(_above(model, part)[:, 0] < limit))
+        C.give_back()
 
     return docs.mapInArrow(run, docs.schema)
