@@ -57,10 +57,10 @@ def parse_percent(x: Column) -> Column:
 
 
 def parse_value_cr(x: Column) -> Column:
-    """Money text with a unit (cr, lac or lakh, k) in crore."""
-    low = F.lower(x)
-    n = F.regexp_extract(F.regexp_replace(low, ",", ""), "(-?\\d+(?:\\.\\d+)?)", 1).try_cast("double")
-    return F.when(low.rlike("cr"), n).when(low.rlike("la(c|kh)"), n / 100).when(low.rlike("\\dk|\\d k"), n / 10000).otherwise(n)
+    """Money text with a unit (cr, lac, k) or in rupees, in crore; 0 for none."""
+    raw = F.replace(F.lower(F.regexp_replace(x, "<[^>]*>", " ")), F.lit(","), F.lit(""))
+    unit = lambda u: F.nullif(F.regexp_extract(raw, f"([\\d.]+)\\s*{u}", 1), F.lit("")).try_cast("double")
+    return F.coalesce(unit("cr"), unit("lac") / 100, unit("k") / 100_000, F.trim(raw).try_cast("double") / 1e7, F.lit(0.0))
 
 
 def pct_from_decimal(x: Column) -> Column:
@@ -73,7 +73,8 @@ def mcap_cr(rupees: Column) -> Column:
 
 
 def log_weight(mcap: Column) -> Column:
-    return F.when(mcap.isNull(), 0.5).otherwise(F.log10(1 + F.greatest(mcap, F.lit(0.0))))
+    """log10(1 + mcap); one half where there is none above 0."""
+    return F.when(mcap > 0, F.log10(1 + mcap)).otherwise(0.5)
 
 
 def saturate(raw: Column, top: float = 70.0, scale: float = 6.0) -> Column:

@@ -40,10 +40,15 @@ def search_text(*columns: str) -> Column:
     return F.concat_ws(" \n ", *[text.nonempty(F.col(c)) for c in columns])
 
 
+# Verbs that follow a company's name in its description.
+NAME_VERBS = "designs|engages|operates|provides|manufactures|develops|offers|is an|is a|specializes|focuses|distributes|produces|supplies|markets|trades in"
+
+
 def resolve_name() -> Column:
     """A stored name unless it is a code of up to six digits; else the name
     that the prose begins with; else the ticker."""
-    parsed = text.nonempty(F.regexp_extract("about", "^(.{2,60}?) (?:is|was|makes|provides|offers|manufactures|operates|engages)\\b", 1))
+    prose = F.trim("about")
+    parsed = F.when(F.length(prose) >= 20, text.nonempty(F.regexp_extract(prose, f"(?i)^(.{{3,120}}?)\\s+(?:{NAME_VERBS})\\b", 1)))
     stored = text.nonempty(F.col("name"))
     return F.coalesce(F.when(~stored.rlike("^\\d{1,6}$"), stored), parsed, stored, F.col("ticker"))
 
@@ -112,10 +117,20 @@ def stubs(tickers: DataFrame, master: DataFrame) -> DataFrame:
     return master.unionByName(missing.select("ticker"), allowMissingColumns=True)
 
 
-def in_sector(allow: list[str], deny: list[tuple[str, str]]) -> Column:
-    pair = reduce(lambda a, b: a | b, [(F.col("sector") == s) & (F.col("sub_sector") == b) for s, b in deny]) if deny else F.lit(False)
-    ok = F.col("sector").isin(*allow) if allow else F.lit(True)
-    return ~F.coalesce(pair, F.lit(False)) & F.coalesce(ok, F.lit(False))
+def in_sector(allow: list[str], allow_sub: list[str] = (), deny: list[tuple[str, str]] = ()) -> Column:
+    """The gate of a theme. Without an allow list all pass; with one, denied
+    (sector, sub-sector) pairs fail and allowed sub-sectors or sectors pass."""
+    if not allow and not allow_sub:
+        return F.lit(True)
+    sector, sub = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("sector", "sub_sector"))
+    pair = reduce(lambda a, b: a | b, [(sector == s) & (sub == b) for s, b in deny], F.lit(False))
+    return ~pair & (((sub != "") & sub.isin(*allow_sub)) | ((sector != "") & sector.isin(*allow)))
+
+
+def fundamentals_gate(price: Column, mcap: Column, volume: Column, low: float = 20, high: float = 200, least: float = 1000) -> Column:
+    """Why a company is passed over: no quote, a cap outside the range in crore,
+    or too small a mean volume."""
+    return F.when(price.isNull() & mcap.isNull(), "no quote").when(mcap.isNull() | (mcap < low) | (mcap > high), "mcap").when(volume.isNull() | (volume < least), "volume").otherwise("ok")
 
 
 def board_tier() -> Column:

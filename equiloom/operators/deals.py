@@ -25,11 +25,28 @@ def first_pattern(client: Column, patterns: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(client, f"(?i)({p})", 1), F.lit("")) for ps in patterns.values() for p in ps])
 
 
-def enrich(deals: DataFrame, patterns: dict[str, list[str]], sme: DataFrame) -> DataFrame:
-    """Investor ids, the small-company flag and value in crore."""
+def enrich(deals: DataFrame, patterns: dict[str, list[str]], sme: DataFrame, primary: tuple[str, ...] = ()) -> DataFrame:
+    """Investor ids, whether a primary one is among them, the small-company
+    flag and value in crore."""
     flag = sme.select("symbol").distinct().withColumn("_s", F.lit(True))
     j = deals.join(flag, "symbol", "left")
-    return j.select("*", investors_of(F.col("client"), patterns).alias("investor_ids"), F.coalesce("_s", F.lit(False)).alias("in_sme_universe"), num.js_round(F.col("quantity") * F.col("price") / 1e5, 1).alias("value_cr")).drop("_s")
+    return j.select("*", investors_of(F.col("client"), patterns).alias("investor_ids"), F.coalesce("_s", F.lit(False)).alias("in_sme_universe"), num.js_round(F.col("quantity") * F.col("price") / 1e7, 1).alias("value_cr")).withColumn("primary_hit", F.arrays_overlap("investor_ids", F.array(*[F.lit(p) for p in primary]).cast("array<string>"))).drop("_s")
+
+
+def radar(enriched: DataFrame, investor: str | None = None, sme: bool = False, buys: bool = False, primary: bool = False, smart: str | None = None) -> DataFrame:
+    """Deals of investors: primary ones or smart money unless an investor or
+    primary ones alone are asked for; small companies and buys on demand."""
+    tagged = F.coalesce(F.col(smart), F.lit(False)) if smart else F.lit(False)
+    out = enriched.where((F.size("investor_ids") > 0) | tagged)
+    if primary:
+        out = out.where("primary_hit")
+    elif not investor:
+        out = out.where(F.col("primary_hit") | tagged)
+    if investor:
+        out = out.where(F.array_contains("investor_ids", investor))
+    if sme:
+        out = out.where("in_sme_universe")
+    return out.where("side = 'BUY'") if buys else out
 
 
 def investor_stats(enriched: DataFrame, ids: list[str]) -> DataFrame:
@@ -43,8 +60,9 @@ def investor_stats(enriched: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def symbol_hits(enriched: DataFrame, *order: str) -> DataFrame:
-    """Per small company: deals, investors, last date and its side, ties to the later row."""
-    hit = enriched.where(F.col("in_sme_universe") & (F.size("investor_ids") > 0))
+    """Per small company with a primary investor's deal: deals, investors, last
+    date and its side, ties to the later row."""
+    hit = enriched.where(F.col("in_sme_universe") & F.col("primary_hit"))
     return hit.groupBy("symbol").agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("investor_ids")))), ",").alias("investors"),
         F.max("trade_date").alias("last_date"), F.max_by("side", F.struct("trade_date", *order)).alias("last_side"),

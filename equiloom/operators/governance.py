@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from equiloom.functions import num
 
 
-def role_weight(designation: Column) -> Column:
-    low = F.lower(designation)
+def role_weight(designation: Column, category: Column | None = None) -> Column:
+    low = F.lower(F.concat_ws(" ", designation, *([] if category is None else [category])))
     return (
         F.when(low.contains("chair"), 1.25)
-        .when(low.contains("managing") | low.contains("whole") | low.contains("ceo") | low.contains("md"), 1.2)
+        .when(low.contains("managing") | low.contains("whole-time") | low.contains("whole time") | low.contains("ceo") | low.contains("md"), 1.2)
         .when(low.contains("independent"), 1.15)
         .otherwise(1.0)
     )
 
 
+def din_backed(person_id: Column, din: Column) -> Column:
+    """Known by a director number: the number itself, or a person id that is
+    not one made from the name."""
+    pid = F.trim(F.coalesce(person_id, F.lit("")))
+    return (F.trim(F.coalesce(din, F.lit(""))) != "") | ((pid != "") & ~pid.startswith("n:"))
+
+
 def multi_board(seats: DataFrame, least: int = 2) -> DataFrame:
     """Seats of the directors on so many boards or more."""
     many = seats.groupBy("person_id").agg(F.countDistinct("ticker").alias("n")).where(F.col("n") >= least).select("person_id")
@@ -30,8 +37,9 @@ def seat_rows(seats: DataFrame, companies: DataFrame) -> DataFrame:
 
 def director_scores(rows: DataFrame) -> DataFrame:
     """Roll-up of seats by person with the director score."""
-    m = F.col("mcap_cr")
-    weight = num.log_weight(m) * F.when(F.col("din").isNotNull(), 1.0).otherwise(0.25) * role_weight(F.col("designation"))
+    m = F.when(F.col("mcap_cr") > 0, F.col("mcap_cr"))  # none above 0 is unknown
+    backed = din_backed(F.col("person_id"), F.col("din"))
+    weight = num.log_weight(m) * F.when(backed, 1.0).otherwise(0.25) * role_weight(F.col("designation"), F.col("category") if "category" in rows.columns else None)
     size = lambda c: F.count_if(c).cast("long")
     g = rows.groupBy("person_id", "din", "director").agg(
         F.countDistinct("ticker").alias("board_count"),
@@ -46,7 +54,7 @@ def director_scores(rows: DataFrame) -> DataFrame:
         "person_id", "din", "director", "board_count", "tickers",
         bridge.alias("bridge"), ((F.col("big_n") > 0) & (F.col("tiny_n") > 0)).alias("tiny_bridge"),
         ((F.col("big_n") > 0) & (F.col("ti_n") > 0)).alias("ti_bridge"), (F.col("lc_n") >= 2).alias("multi_lc"), "lc_n",
-        (F.col("din").isNull() & (F.col("board_count") >= 5)).alias("name_collision"),
+        (~din_backed(F.col("person_id"), F.col("din")) & (F.col("board_count") >= 5)).alias("name_collision"),
         num.js_round(num.clamp(score, 0, 100), 1).alias("score"),
     )
 

@@ -63,7 +63,7 @@ def adx(df: DataFrame, n: int = 13) -> DataFrame:
     a = a.withColumn("_t", rolling_sum(F.col("tr"), n)).withColumn("_us", rolling_sum(F.col("_u"), n)).withColumn("_ds", rolling_sum(F.col("_d"), n))
     a = a.withColumn("di_plus", F.when(F.col("_t") > 0, 100 * F.col("_us") / F.col("_t"))).withColumn("di_minus", F.when(F.col("_t") > 0, 100 * F.col("_ds") / F.col("_t")))
     both = F.col("di_plus") + F.col("di_minus")
-    a = a.withColumn("_x", F.when(both > 0, 100 * F.abs(F.col("di_plus") - F.col("di_minus")) / both))
+    a = a.withColumn("_x", F.when(both == 0, 0.0).otherwise(100 * F.abs(F.col("di_plus") - F.col("di_minus")) / both))
     return a.withColumn("adx", F.when(F.col("_i") >= 2 * n - 2, rolling_mean(F.col("_x"), n))).drop("_i", "_u", "_d", "_t", "_us", "_ds", "_x")
 
 

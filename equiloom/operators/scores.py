@@ -54,7 +54,7 @@ def distress(df: DataFrame) -> DataFrame:
     ]
     score = F.when(~core & ~c("seed"), 0.0).otherwise(num.js_round(num.clamp(_sum(parts).cast("double"), 0, 100), 1))
     flags = distress_flags()
-    return df.select("*", score.alias("distress_score"), F.array_join(flags, ",").alias("distress_flags"), F.when(score == 0, "no_distress").otherwise(F.array_join(F.slice(flags, 1, 4), "|")).alias("distress_reason"))
+    return df.select("*", score.alias("distress_score"), F.array_join(flags, ",").alias("distress_flags"), F.when(~core & ~c("seed"), "no_distress").otherwise(F.array_join(F.slice(flags, 1, 4), "|")).alias("distress_reason"))
 
 
 def alpha(moat: Column, growth: Column, smart: Column, mcap: Column) -> Column:

@@ -16,7 +16,7 @@ def breakout(bars: DataFrame, n: int = 50) -> DataFrame:
     b = I.bollinger(bars, n)
     w = I.by_symbol()
     b = b.select("*", F.lag("close").over(w).alias("_c"), F.lag("upper").over(w).alias("_u"))
-    last = I.last_row(b).where((F.col("close") > F.col("upper")) & (F.col("_u").isNull() | (F.col("_c") <= F.col("_u"))))
+    last = I.last_row(b).where((F.col("close") > F.col("upper")) & (F.col("_c") <= F.col("_u")))
     return last.select("symbol", F.lit("NEW_BREAKOUT").alias("signal"), F.col("close").alias("price"), num.js_round(F.col("upper"), 2).alias("upper_band"), F.col("date").alias("signal_date"))
 
 

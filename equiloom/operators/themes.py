@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloom.functions import text
+from equiloom.operators.company import in_sector
+
+# Greatest market cap in crore of two groups of themes.
+GROUP_CAPS = {"Nanocap Champs": 500, "Listed Venture Capital": 6000}
+
+
+def cap_passes(group: str | None, mcap: Column) -> Column:
+    """Unknown caps pass, and all of a group without a limit."""
+    return F.lit(True) if group not in GROUP_CAPS else mcap.isNull() | (mcap <= GROUP_CAPS[group])
+
+
+def theme_match(column: str, theme: dict) -> Column:
+    """A theme is {pattern, group, allow: sectors, allow_sub: sub-sectors, deny:
+    (sector, sub-sector) pairs}."""
+    gate = in_sector(theme.get("allow", []), theme.get("allow_sub", []), theme.get("deny", []))
+    hit = (F.length(F.trim(F.col(column))) > 0) & text.matches_pattern(F.col(column), theme["pattern"])
+    return F.coalesce(hit & cap_passes(theme.get("group"), F.col("mcap_cr")) & gate, F.lit(False))
 
 
 def theme_flags(df: DataFrame, column: str, themes: dict[str, dict]) -> DataFrame:
-    """A boolean column a theme: its pattern matches and its gate passes. A
-    theme is {pattern, allow: sectors, deny: (sector, sub-sector) pairs, cap}."""
-    from equiloom.operators.company import in_sector
-
-    out = df
-    for name, t in themes.items():
-        ok = text.matches_pattern(F.col(column), t["pattern"]) & in_sector(t.get("allow", []), t.get("deny", []))
-        if "cap" in t:
-            ok = ok & (F.col("mcap_cr").isNull() | (F.col("mcap_cr") <= t["cap"]))
-        out = out.withColumn(f"theme_{name}", F.coalesce((F.length(F.trim(F.col(column))) > 0) & ok, F.lit(False)))
-    return out
-
-
-def keyword_audit(df: DataFrame, column: str, key: str, words: list[str]) -> DataFrame:
-    """Hits of each keyword, and the first three keys that hold it. One pass: a
-    row is exploded into the keywords it holds, no more than the list is long."""
-    held = df.select(key, F.explode(F.array_compact(F.array(*[F.when(text.has_term(F.col(column), w), F.lit(w)) for w in words]))).alias("keyword"))
-    first = held.groupBy("keyword").agg(F.count("*").alias("hits"), F.min(key).alias("first_key"))
+    """A boolean column for each theme."""
+    return df.withColumns({f"theme_{k}": theme_match(column, t) for k, t in themes.items()})
+
+
+def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str = "") -> DataFrame:
+    """Rows of some theme or of the custom pattern, with the ids of their
+    themes, the clauses that matched and the phrases to highlight."""
+    hits = [(k, t["pattern"], theme_match(column, t)) for k, t in themes.items()]
+    ids = F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, _, ok in hits]))
+    some = [(p, ok) for _, p, ok in hits] + ([(custom, text.matches_pattern(F.col(column), custom))] if custom.strip() else [])
+    none = F.array().cast("array<string>")
+    union = lambda f: F.array_distinct(F.flatten(F.array(*[F.when(ok, f(F.col(column), p)).otherwise(none) for p, ok in some])))
+    matched = F.exists(F.array(*[ok for _, ok in some]), lambda x: x)
+    rows = df.where(matched).withColumns({"theme_ids": ids, "clauses": union(text.matched_clauses), "highlights": union(text.matched_terms)})
+    by_length = F.array_sort(F.transform("highlights", lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
+    return rows.withColumn("highlights", F.transform(by_length, lambda r: r["x"]))
+
+
+def merge_portfolio(rows: DataFrame, universe: DataFrame, holdings: DataFrame, column: str, themes: dict[str, dict]) -> DataFrame:
+    """Rows, and held companies of a theme that they lack."""
+    held = theme_rows(universe.join(holdings.select("ticker").distinct(), "ticker", "left_semi"), column, themes)
+    return rows.unionByName(held.join(rows.select("ticker").distinct(), "ticker", "left_anti").select(*rows.columns))
+
+
+def keyword_audit(df: DataFrame, column: str, key: str, words: list[str], theme: dict, loose_over: int = 140) -> DataFrame:
+    """Per keyword of a theme: hits, those that the theme's gate lets through,
+    those whose phrases lie far apart, the first three keys, and whether it is
+    never or seldom hit. A row becomes as many as the keywords it holds; the
+    first keys are taken by shares of the rows before they meet."""
+    held = []
+    for w in words:
+        clauses = text.parse_pattern(w)
+        loose = text.loose_and_distance(F.col(column), clauses[0]) > loose_over if len(clauses) == 1 and len(clauses[0]) > 1 else F.lit(False)
+        held.append(F.when(text.matches_pattern(F.col(column), w), F.struct(F.lit(w).alias("keyword"), F.coalesce(loose, F.lit(False)).alias("loose"))))
+    rows = df.select(key, F.explode(F.array_compact(F.array(*held))).alias("h"), theme_match(column, theme).alias("gated")).select(key, "h.keyword", "h.loose", "gated")
+    counts = rows.groupBy("keyword").agg(F.count("*").alias("hits"), F.count_if("gated").alias("gated"), F.count_if("loose").alias("loose"))
+    first = rows.select("keyword", key)
+    for part in (["keyword", F.pmod(F.xxhash64(key), F.lit(64))], ["keyword"]):
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where("r <= 3").drop("r")
+    first = first.groupBy("keyword").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("examples"))  # three at most
     every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
-    return every.join(first, "keyword", "left").select("keyword", F.coalesce("hits", F.lit(0)).alias("hits"), "first_key")
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    tag = F.when(F.coalesce("hits", F.lit(0)) == 0, "ZERO").when(F.col("hits") < 3, "low").otherwise("ok")
+    return every.join(counts, "keyword", "left").join(first, "keyword", "left").select("keyword", n("hits"), n("gated"), n("loose"), F.coalesce("examples", F.lit("")).alias("examples"), tag.alias("tag"))
 
 
 def mine(df: DataFrame, column: str, known: list[str], least: int = 3, top: int = 8) -> DataFrame:

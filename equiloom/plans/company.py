@@ -58,10 +58,11 @@ def p02_search_text(spark, d):
     return D.company(spark, d).select("ticker", C.search_text("name", "ticker", "about", "sector", "sub_sector").alias("search_text"))
 
 
-@query(W("company") + r""" , b AS (SELECT ticker, about, CASE WHEN k % 3 = 0 THEN (500000 + k)::VARCHAR ELSE name END AS name FROM company)
-SELECT ticker, coalesce(CASE WHEN NOT regexp_full_match(name, '\d{1,6}') THEN name END, nullif(regexp_extract(about, '^(.{2,60}?) (?:is|was|makes|provides|offers|manufactures|operates|engages)\b', 1), ''), name, ticker) AS name FROM b""")
+@query(W("company") + r""" , b AS (SELECT ticker, CASE WHEN k % 2 = 0 THEN replace(about, 'makes', 'Manufactures') ELSE about END AS about, CASE WHEN k % 3 = 0 THEN (500000 + k)::VARCHAR ELSE name END AS name FROM company)
+SELECT ticker, coalesce(CASE WHEN NOT regexp_full_match(name, '\d{1,6}') THEN name END, nullif(regexp_extract(about, '(?i)^(.{3,120}?)\s+(?:designs|engages|operates|provides|manufactures|develops|offers|is an|is a|specializes|focuses|distributes|produces|supplies|markets|trades in)\b', 1), ''), name, ticker) AS name FROM b""")
 def p03_resolve_name(spark, d):
     c = D.company(spark, d).withColumn("name", F.when(F.col("k") % 3 == 0, (F.col("k") + 500000).cast("string")).otherwise(F.col("name")))
+    c = c.withColumn("about", F.when(F.col("k") % 2 == 0, F.replace("about", F.lit("makes"), F.lit("Manufactures"))).otherwise(F.col("about")))
     return c.select("ticker", C.resolve_name().alias("name"))
 
 
@@ -174,13 +175,13 @@ def p06_links(spark, d):
 
 _ROWS = W("company", "seats") + """, rows_ AS (SELECT s.*, c.name AS company, c.market, c.sector, c.mcap_cr FROM seats s JOIN company c USING (ticker)),
 many AS (SELECT person_id FROM seats GROUP BY person_id HAVING count(DISTINCT ticker) >= 2)"""
-_WEIGHT = """(CASE WHEN mcap_cr IS NULL THEN 0.5::DOUBLE ELSE log10(1 + greatest(mcap_cr, 0)) END) * (CASE WHEN din IS NOT NULL THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END)
- * (CASE WHEN lower(designation) LIKE '%chair%' THEN 1.25::DOUBLE WHEN lower(designation) LIKE '%managing%' OR lower(designation) LIKE '%whole%' OR lower(designation) LIKE '%ceo%' OR lower(designation) LIKE '%md%' THEN 1.2::DOUBLE
+_WEIGHT = """(CASE WHEN mcap_cr > 0 THEN log10(1 + mcap_cr) ELSE 0.5::DOUBLE END) * (CASE WHEN din IS NOT NULL THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END)
+ * (CASE WHEN lower(designation) LIKE '%chair%' THEN 1.25::DOUBLE WHEN lower(designation) LIKE '%managing%' OR lower(designation) LIKE '%whole-time%' OR lower(designation) LIKE '%whole time%' OR lower(designation) LIKE '%ceo%' OR lower(designation) LIKE '%md%' THEN 1.2::DOUBLE
  WHEN lower(designation) LIKE '%independent%' THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END)"""
 _SCORED = _ROWS + f""", g AS (SELECT person_id, din, director, count(DISTINCT ticker) AS board_count,
  sum((floor({_WEIGHT} * 1000000 + 0.5) / 1000000)::DECIMAL(38,6))::DOUBLE AS raw,
- count(*) FILTER (WHERE mcap_cr >= 5000) AS big_n, count(*) FILTER (WHERE mcap_cr < 5000) AS small_n, count(*) FILTER (WHERE mcap_cr < 500) AS tiny_n,
- count(*) FILTER (WHERE mcap_cr < 100) AS ti_n, count(*) FILTER (WHERE mcap_cr >= 20000) AS lc_n, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers
+ count(*) FILTER (WHERE mcap_cr >= 5000) AS big_n, count(*) FILTER (WHERE mcap_cr > 0 AND mcap_cr < 5000) AS small_n, count(*) FILTER (WHERE mcap_cr > 0 AND mcap_cr < 500) AS tiny_n,
+ count(*) FILTER (WHERE mcap_cr > 0 AND mcap_cr < 100) AS ti_n, count(*) FILTER (WHERE mcap_cr >= 20000) AS lc_n, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers
  FROM rows_ WHERE person_id IN (SELECT person_id FROM many) GROUP BY ALL),
 scored AS (SELECT person_id, din, director, board_count, tickers, big_n > 0 AND small_n > 0 AS bridge, big_n > 0 AND tiny_n > 0 AS tiny_bridge, big_n > 0 AND ti_n > 0 AS ti_bridge,
  lc_n >= 2 AS multi_lc, lc_n, din IS NULL AND board_count >= 5 AS name_collision,
@@ -211,7 +212,7 @@ def a10_company_view(spark, d):
     return _board(spark, d).groupBy("ticker").agg(F.first("company").alias("company"), F.countDistinct("person_id").alias("n"), F.array_join(names, "; ").alias("directors"))
 
 
-_CAT = "CASE WHEN lower(designation) LIKE '%independent%' THEN 'Independent' WHEN lower(designation) LIKE '%managing%' OR lower(designation) LIKE '%whole%' OR lower(designation) LIKE '%executive%' THEN 'Executive' WHEN lower(designation) LIKE '%nominee%' THEN 'Nominee' ELSE 'Other' END"
+_CAT = "CASE WHEN lower(designation) LIKE '%independent%' THEN 'Independent' WHEN lower(designation) LIKE '%managing%' OR lower(designation) LIKE '%whole%' OR lower(designation) LIKE '%executive%' OR lower(designation) LIKE '%ceo%' OR lower(designation) LIKE '%md%' THEN 'Executive' ELSE '' END"
 
 
 @query(_ROWS + f", v AS (SELECT designation || ' · ' || {_CAT} AS role, person_id, director FROM rows_), n AS (SELECT role, count(*) AS n FROM v GROUP BY role), p AS (SELECT role, director, person_id, row_number() OVER (PARTITION BY role ORDER BY director, person_id) AS i FROM (SELECT DISTINCT role, director, person_id FROM v)) SELECT n.role, n.n, string_agg(p.director, '; ' ORDER BY i) AS first_directors FROM n JOIN p ON n.role = p.role AND i <= 8 GROUP BY n.role, n.n")

@@ -19,6 +19,7 @@ from equiloom.sources.domain import with_sql as W
 
 # The watched investors and the client patterns that stand for them.
 INVESTORS = {"alder": ["#0000000?1[0-9]$", "alder"], "birch": ["[02468]7$"], "cedar": ["99"], "elm": ["elm fund"]}
+PRIMARY = ("alder", "birch")
 _IDS = "list_filter([{}], x -> x IS NOT NULL)"
 
 
@@ -30,7 +31,7 @@ def _tag() -> str:
 _DEALS = W("deals", "company") + f""", twice AS (SELECT * FROM deals UNION ALL SELECT * REPLACE (upper(client) AS client, o + 1000000000 AS o) FROM deals WHERE o % 3 = 0),
 dd AS (SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY trade_date, symbol, lower(client), side, deal_type, quantity, price ORDER BY o, l) = 1),
 sme AS (SELECT ticker AS symbol FROM company WHERE market = 'NSE SME'),
-en AS (SELECT *, {_tag()} AS investor_ids, symbol IN (SELECT symbol FROM sme) AS in_sme_universe, {_r('quantity * price / 1e5', 1)} AS value_cr FROM dd)"""
+en AS (SELECT *, {_tag()} AS investor_ids, symbol IN (SELECT symbol FROM sme) AS in_sme_universe, {_r('quantity * price / 1e7', 1)} AS value_cr, list_has_any({_tag()}, ['alder', 'birch']) AS primary_hit FROM dd)"""
 
 
 def _deduped(spark, d):
@@ -41,7 +42,7 @@ def _deduped(spark, d):
 
 def _tagged(spark, d):
     sme = D.company(spark, d).where("market = 'NSE SME'").select(F.col("ticker").alias("symbol"))
-    return T.enrich(_deduped(spark, d), INVESTORS, sme)
+    return T.enrich(_deduped(spark, d), INVESTORS, sme, PRIMARY)
 
 
 @query(_DEALS + f" SELECT trade_date, symbol, client, side, quantity, {_r('price', 4)} AS price FROM dd")
@@ -59,14 +60,19 @@ def a14_investor_stats(spark, d):
     return T.investor_stats(_tagged(spark, d), list(INVESTORS))
 
 
-@query(_DEALS + " SELECT symbol, count(*) AS n, (SELECT string_agg(DISTINCT i, ',' ORDER BY i) FROM (SELECT unnest(investor_ids) AS i, symbol AS s FROM en e2 WHERE in_sme_universe) q WHERE q.s = en.symbol) AS investors, max(trade_date) AS last_date, last(side ORDER BY trade_date, o, l) AS last_side FROM en WHERE in_sme_universe AND len(investor_ids) > 0 GROUP BY symbol")
+@query(_DEALS + " SELECT symbol, count(*) AS n, (SELECT string_agg(DISTINCT i, ',' ORDER BY i) FROM (SELECT unnest(investor_ids) AS i, symbol AS s FROM en e2 WHERE in_sme_universe AND primary_hit) q WHERE q.s = en.symbol) AS investors, max(trade_date) AS last_date, last(side ORDER BY trade_date, o, l) AS last_side FROM en WHERE in_sme_universe AND primary_hit GROUP BY symbol")
 def a15_sme_hits(spark, d):
     return T.symbol_hits(_tagged(spark, d), "o", "l")
 
 
-@query(_DEALS + " SELECT o, l, symbol, value_cr FROM en WHERE side = 'BUY' AND value_cr >= 0.5 ORDER BY value_cr DESC, o, l LIMIT 40")
+@query(_DEALS + " SELECT o, l, symbol, value_cr FROM en WHERE in_sme_universe AND side = 'BUY' AND value_cr >= 0.5 ORDER BY value_cr DESC, o, l LIMIT 40")
 def o05_whale_buys(spark, d):
-    return _tagged(spark, d).where("side = 'BUY' and value_cr >= 0.5").orderBy(F.desc("value_cr"), "o", "l").limit(40).select("o", "l", "symbol", "value_cr")
+    return _tagged(spark, d).where("in_sme_universe and side = 'BUY' and value_cr >= 0.5").orderBy(F.desc("value_cr"), "o", "l").limit(40).select("o", "l", "symbol", "value_cr")
+
+
+@query(_DEALS + " SELECT o, l, symbol, side, value_cr FROM en WHERE primary_hit AND in_sme_universe AND side = 'BUY'")
+def f28_radar(spark, d):
+    return T.radar(_tagged(spark, d), sme=True, buys=True).select("o", "l", "symbol", "side", "value_cr")
 
 
 @query(W("deals") + " SELECT count(*) AS n, count(*) FILTER (WHERE side = 'BUY') AS buys, count(*) FILTER (WHERE deal_type = 'block') AS blocks, max(trade_date) AS last_date, count(DISTINCT symbol) AS symbols FROM deals")
@@ -172,7 +178,7 @@ def _distress_input(spark, d):
     )
 
 
-@query(_ALLQ + _DIST + f", fl AS (SELECT ticker, CASE WHEN NOT core AND NOT seed THEN 0 ELSE floor(greatest(0, least(100, raw)) * 10 + 0.5) / 10 END AS distress_score, [x FOR x IN [{_FLAG}] IF x IS NOT NULL] AS f FROM ds) SELECT ticker, distress_score, array_to_string(f, ',') AS distress_flags, CASE WHEN distress_score = 0 THEN 'no_distress' ELSE array_to_string(f[1:4], '|') END AS distress_reason FROM fl")
+@query(_ALLQ + _DIST + f", fl AS (SELECT ticker, CASE WHEN NOT core AND NOT seed THEN 0 ELSE floor(greatest(0, least(100, raw)) * 10 + 0.5) / 10 END AS distress_score, core, seed, [x FOR x IN [{_FLAG}] IF x IS NOT NULL] AS f FROM ds) SELECT ticker, distress_score, array_to_string(f, ',') AS distress_flags, CASE WHEN NOT core AND NOT seed THEN 'no_distress' ELSE array_to_string(f[1:4], '|') END AS distress_reason FROM fl")
 def x02_distress(spark, d):
     return X.distress(_distress_input(spark, d)).select("ticker", "distress_score", "distress_flags", "distress_reason")
 

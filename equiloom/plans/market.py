@@ -72,7 +72,7 @@ _ADX = f"""a0 AS (SELECT *, {_TR} AS tr, high - lag(high) OVER {_O} AS up, lag(l
 a1 AS (SELECT *, coalesce(CASE WHEN up > dn AND up > 0 THEN up END, 0) AS u, coalesce(CASE WHEN dn > up AND dn > 0 THEN dn END, 0) AS d FROM a0),
 a2 AS (SELECT *, {_full('sum', 'tr', 13)} AS t, {_full('sum', 'u', 13)} AS us, {_full('sum', 'd', 13)} AS ds FROM a1),
 a3 AS (SELECT *, CASE WHEN t > 0 THEN 100 * us / t END AS di_plus, CASE WHEN t > 0 THEN 100 * ds / t END AS di_minus FROM a2),
-a4 AS (SELECT *, CASE WHEN di_plus + di_minus > 0 THEN 100 * abs(di_plus - di_minus) / (di_plus + di_minus) END AS dx FROM a3),
+a4 AS (SELECT *, CASE WHEN di_plus + di_minus > 0 THEN 100 * abs(di_plus - di_minus) / (di_plus + di_minus) WHEN di_plus + di_minus = 0 THEN 0 END AS dx FROM a3),
 adx AS (SELECT *, CASE WHEN i >= 24 THEN {_full('avg', 'dx', 13)} END AS adx FROM a4)"""
 
 
@@ -126,7 +126,7 @@ def w09_supertrend(spark, d):
     return s.select("symbol", "s.direction", num.js_round(F.col("s.line"), 3).alias("line"))
 
 
-@query(_BB + f", p AS (SELECT *, lag(close) OVER {_O} AS c1, lag(upper_) OVER {_O} AS u1 FROM bb), z AS (SELECT * FROM p {_LAST}) SELECT symbol, 'NEW_BREAKOUT' AS signal, {_r('close', 4)} AS price, {_r('upper_', 2)} AS upper_band, date AS signal_date FROM z WHERE close > upper_ AND (u1 IS NULL OR c1 <= u1)")
+@query(_BB + f", p AS (SELECT *, lag(close) OVER {_O} AS c1, lag(upper_) OVER {_O} AS u1 FROM bb), z AS (SELECT * FROM p {_LAST}) SELECT symbol, 'NEW_BREAKOUT' AS signal, {_r('close', 4)} AS price, {_r('upper_', 2)} AS upper_band, date AS signal_date FROM z WHERE close > upper_ AND c1 <= u1")
 def w12_bb_signal(spark, d):
     return S.breakout(D.bars(spark, d)).withColumn("price", num.js_round(F.col("price"), 4))
 

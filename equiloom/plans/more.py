@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from equiloom.functions import num, text
 from equiloom.operators import company as C
+from equiloom.operators import fundamentals as Q
 from equiloom.operators import indicators as I
+from equiloom.operators import themes as TH
 from equiloom.plans.base import query
 from equiloom.plans.company import _ROWS
-from equiloom.plans.market import _r
+from equiloom.plans.market import _VAL, _YOY, _r
 from equiloom.sources import domain as D
 from equiloom.sources import parsers as P
 from equiloom.sources.domain import with_sql as W
@@ -64,14 +66,15 @@ def s30_board_table(spark, d):
     return r.where(~head & (F.size("c") >= 4)).select(F.get("c", F.lit(1)).alias("director"), text.norm_din(F.get("c", F.lit(2))).alias("din"), F.get("c", F.lit(3)).alias("designation"))
 
 
-@query(W("company") + ", t AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'home login products careers about us contact us home login products careers and more text' ELSE about END AS a1, CASE WHEN k % 3 = 0 THEN 'Scraped ' || name END AS a2 FROM company) SELECT ticker, CASE WHEN a1 IS NOT NULL AND k % 4 <> 0 THEN a1 WHEN a2 IS NOT NULL THEN a2 WHEN about IS NOT NULL THEN about ELSE a1 END AS about FROM t")
+_MENU_TEXT = "About Us Investor Relations Board of Directors Career and a line of further words to make it long enough"
+
+
+@query(W("company") + f", t AS (SELECT ticker, CASE WHEN k % 4 = 0 THEN '{_MENU_TEXT}' ELSE about END AS a, CASE WHEN k % 3 = 0 THEN 'Scraped ' || name WHEN k % 5 = 0 THEN '{_MENU_TEXT}' END AS s, CASE WHEN k % 2 = 0 THEN 'Yahoo ' || name END AS y FROM company), j AS (SELECT *, a = '{_MENU_TEXT}' AS ja, s = '{_MENU_TEXT}' AS js FROM t) SELECT ticker, coalesce(CASE WHEN ja THEN y END, CASE WHEN NOT ja THEN a END, CASE WHEN NOT js THEN s END, y, a, s) AS about FROM j")
 def p04_about_text(spark, d):
-    """The first candidate that is no navigation text."""
     k = F.col("k")
-    menu = "home login products careers about us contact us home login products careers and more text"
-    t = D.company(spark, d).select("ticker", "about", F.when(k % 4 == 0, menu).otherwise(F.col("about")).alias("a1"), F.when(k % 3 == 0, F.concat(F.lit("Scraped "), "name")).alias("a2"))
-    good = lambda c: F.when(text.nonempty(F.col(c)).isNotNull() & ~text.looks_like_menu(F.col(c)), F.col(c))
-    return t.select("ticker", F.coalesce(good("a1"), good("a2"), good("about"), "a1").alias("about"))
+    menu = F.lit(_MENU_TEXT)
+    t = D.company(spark, d).select("ticker", F.when(k % 4 == 0, menu).otherwise(F.col("about")).alias("a"), F.when(k % 3 == 0, F.concat(F.lit("Scraped "), "name")).when(k % 5 == 0, menu).alias("s"), F.when(k % 2 == 0, F.concat(F.lit("Yahoo "), "name")).alias("y"))
+    return t.select("ticker", text.pick_about(F.col("a"), F.col("y"), F.col("s")).alias("about"))
 
 
 @query(_ROWS + " SELECT person_id, ticker, company, CASE WHEN mcap_cr > 0 THEN CASE WHEN mcap_cr < 100 THEN 'TI' WHEN mcap_cr < 500 THEN 'MIC' WHEN mcap_cr < 5000 THEN 'SC' WHEN mcap_cr < 20000 THEN 'MC' ELSE 'LC' END END AS cap_code, market = 'NSE SME' AS is_sme, designation || ' @ ' || company AS about_search FROM rows_")
@@ -82,39 +85,54 @@ def p13_seat_projection(spark, d):
     return r.select("person_id", "ticker", "company", num.cap_code(F.col("mcap_cr")).alias("cap_code"), (F.col("market") == "NSE SME").alias("is_sme"), F.concat_ws(" @ ", "designation", "company").alias("about_search"))
 
 
-@query("SELECT c_custkey, split_part(c_name, '#', 1) AS short_name, CASE WHEN c_acctbal > 5000 THEN 'good' WHEN c_acctbal > 0 THEN 'mid' WHEN c_acctbal IS NULL THEN 'na' ELSE 'bad' END AS dot, CASE WHEN c_mktsegment LIKE 'B%' THEN 'NSE SME' ELSE 'NSE' END AS market FROM customer")
+@query(W("quarters", "company") + _YOY + _VAL + " SELECT ticker, CASE WHEN forward_pe IS NULL THEN 'na' WHEN forward_pe > 40 THEN 'bad' WHEN forward_pe > 20 THEN 'mid' ELSE 'good' END AS pe_dot, CASE WHEN eps_yoy IS NULL THEN 'na' WHEN eps_yoy > 0 THEN 'good' WHEN eps_yoy < 0 THEN 'bad' ELSE 'mid' END AS eps_dot FROM val JOIN yoy USING (ticker)")
 def p22_dots(spark, d):
-    c, b = D.table(spark, d, "customer"), F.col("c_acctbal")
-    return c.select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("short_name"), F.when(b > 5000, "good").when(b > 0, "mid").when(b.isNull(), "na").otherwise("bad").alias("dot"), F.when(F.col("c_mktsegment").startswith("B"), "NSE SME").otherwise("NSE").alias("market"))
+    q = D.quarters(spark, d)
+    v = Q.valuation(q, D.company(spark, d).select("ticker", "price")).join(Q.yoy(q), "ticker")
+    pe, y = F.col("forward_pe"), F.col("eps_yoy")
+    return v.select("ticker", F.when(pe.isNull(), "na").when(pe > 40, "bad").when(pe > 20, "mid").otherwise("good").alias("pe_dot"), F.when(y.isNull(), "na").when(y > 0, "good").when(y < 0, "bad").otherwise("mid").alias("eps_dot"))
+
+
+@query("SELECT c_custkey, CASE WHEN e IN ('BSE SME', 'BSE') THEN e WHEN contains(e, 'SME') THEN 'NSE SME' ELSE 'NSE' END AS market, upper(left(c_mktsegment, 2)) AS initials FROM (SELECT *, ['BSE SME', 'BSE', 'NSE SME', 'NSE', ''][c_custkey % 5 + 1] AS e FROM customer)")
+def p19_market(spark, d):
+    e = F.element_at(F.array(*[F.lit(x) for x in ("bse sme", "BSE ", "nse sme", "NSE", "")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return D.table(spark, d, "customer").select("c_custkey", text.market_of(e).alias("market"), text.initials(F.col("c_mktsegment")).alias("initials"))
 
 
-@query(W("company") + " SELECT ticker FROM company WHERE length(ticker) >= 3 AND NOT regexp_matches(ticker, '7$|^S0P|-RE')")
+_ODD = "CASE k % 5 WHEN 0 THEN ticker || '-RE' WHEN 1 THEN ticker || '-w' WHEN 2 THEN '0P' || ticker ELSE ticker END"
+
+
+@query(W("company") + f", t AS (SELECT {_ODD} AS ticker FROM company) SELECT ticker FROM t WHERE length(trim(ticker)) >= 2 AND NOT contains(upper(ticker), '-RE') AND NOT regexp_matches(upper(ticker), '-W$|^0P')")
 def f21_skippable(spark, d):
-    return D.company(spark, d).where((F.length("ticker") >= 3) & ~F.col("ticker").rlike("7$|^S0P|-RE")).select("ticker")
+    """Rights, warrants and fund codes have no bars."""
+    k, t = F.col("k") % 5, F.col("ticker")
+    c = D.company(spark, d).select(F.when(k == 0, F.concat(t, F.lit("-RE"))).when(k == 1, F.concat(t, F.lit("-w"))).when(k == 2, F.concat(F.lit("0P"), t)).otherwise(t).alias("ticker"))
+    up = F.upper(F.trim("ticker"))
+    return c.where((F.length(up) >= 2) & ~up.contains("-RE") & ~up.rlike("-W$|^0P"))
 
 
-@query(W("company", "bars") + ", v AS (SELECT symbol, avg(volume) AS vol FROM bars GROUP BY 1) SELECT ticker, CASE WHEN mcap_cr IS NULL THEN 'no_mcap' WHEN mcap_cr < 20 THEN 'too_small' WHEN mcap_cr > 200 THEN 'too_large' WHEN coalesce(vol, 0) < 50 THEN 'thin' ELSE 'ok' END AS reason FROM company LEFT JOIN v ON symbol = ticker")
+@query(W("company", "bars") + ", v AS (SELECT symbol, avg(volume) AS vol FROM bars GROUP BY 1) SELECT ticker, CASE WHEN price IS NULL AND mcap_cr IS NULL THEN 'no quote' WHEN mcap_cr IS NULL OR mcap_cr < 20 OR mcap_cr > 200 THEN 'mcap' WHEN vol IS NULL OR vol < 1000 THEN 'volume' ELSE 'ok' END AS reason FROM company LEFT JOIN v ON symbol = ticker")
 def f25_fundamentals_gate(spark, d):
     v = D.bars(spark, d).groupBy(F.col("symbol").alias("ticker")).agg(F.avg("volume").alias("vol"))
-    m = F.col("mcap_cr")
-    reason = F.when(m.isNull(), "no_mcap").when(m < 20, "too_small").when(m > 200, "too_large").when(F.coalesce("vol", F.lit(0.0)) < 50, "thin").otherwise("ok")
-    return D.company(spark, d).join(v, "ticker", "left").select("ticker", reason.alias("reason"))
+    return D.company(spark, d).join(v, "ticker", "left").select("ticker", C.fundamentals_gate(F.col("price"), F.col("mcap_cr"), F.col("vol")).alias("reason"))
+
 
+_NAMES = [("Export Order Services Limited", "EXPORT.NS"), ("Tion Wind Energy India Limited", "TION"), ("Acquire Capex Holdings Ltd", "ACQUIREC-SM.NS")]
+_PHRASES = [["export order services limited", "export order", "export", "order"], ["tion wind energy india limited", "tion wind energy", "tion wind", "energy"], ["acquire capex holdings ltd", "acquire capex", "acquire", "capex"]]
 
-_HEAD = [("Sarfaraz Khan in, Dhruv Jurel out for IND vs SL Tests", "Dhruv Consultancy Services Limited", "DHRUV", False), ("Dhruv Consultancy wins NHAI road contract worth Rs 120 crore", "Dhruv Consultancy Services Limited", "DHRUV", True),
-         ("Atam Valves bags export order from Middle East", "Atam Valves", "ATAM", True), ("IIIT professor develops ATAM dance teaching tool", "Atam Valves", "ATAM", False)]
 
+def _names(i: int) -> str:
+    name, symbol = _NAMES[i]
+    bare = symbol.replace("-SM.NS", "").replace(".NS", "").lower()
+    by = [f"contains(lower(text), '{p}')" for p in _PHRASES[i] if len(p) >= 8]
+    context = "" if len(bare) >= 7 else f" AND regexp_matches(lower(text), '{text.STOCK_CONTEXT}')"
+    return "coalesce(" + " OR ".join([*by, f"(contains(lower(text), '{bare}'){context})"]) + ", false)"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(w).lower()})" for t, _, _, w in _HEAD) + ") v(title, relevant)")
+
+@query("SELECT conv_id, turn, " + ", ".join(f"{_names(i)} AS about_{i}" for i in range(3)) + r", coalesce(regexp_matches(text, '" + text.NEWS_NOISE + "'), false) AS noise FROM conversations")
 def f26_headline(spark, d):
-    """A headline names a company by a phrase of its name, or by its symbol in
-    a stock context."""
-    rows = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(n).alias("name"), F.lit(s).alias("symbol")) for t, n, s, _ in _HEAD])
-    h = spark.range(1).select(F.explode(rows).alias("r")).select("r.*").withColumn("phrases", text.match_phrases(F.col("name")))
-    low = F.lower("title")
-    phrase = F.exists("phrases", lambda p: low.contains(p))
-    symbol = F.exists(F.split("title", "[^A-Za-z0-9]+"), lambda x: x == F.col("symbol")) & low.rlike("share|stock|order|profit|crore|nse|bse|results")
-    return h.select("title", (phrase | symbol).alias("relevant"))
+    t = F.coalesce("text", F.lit(""))
+    return D.table(spark, d, "conversations").select("conv_id", "turn", *[text.headline_names(t, F.lit(n), F.lit(s)).alias(f"about_{i}") for i, (n, s) in enumerate(_NAMES)], t.rlike(text.NEWS_NOISE).alias("noise"))
 
 
 @query(W("company") + ", m AS (SELECT ticker, market, name FROM company UNION ALL SELECT ticker, 'BSE', name || ' (B)' FROM company WHERE k % 2 = 0) SELECT ticker, name FROM m QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY (market = 'BSE') DESC, name) = 1")
@@ -156,9 +174,9 @@ def a31_pending(spark, d):
     return w.join(f, "doc_id", "left").agg(F.count("*").alias("total"), F.count("f").alias("fresh"), (F.count("*") - F.count("f")).alias("pending"))
 
 
-@query(W("company") + ", p AS (SELECT 'S' || (doc_id + 1) AS ticker FROM labels WHERE doc_id < 20) SELECT ticker, ticker IN (SELECT ticker FROM p) AS first FROM company ORDER BY first DESC, ticker LIMIT 30")
+@query(W("company") + ", p AS (SELECT DISTINCT 'S' || (doc_id + 1) AS ticker FROM labels WHERE toxic = 1) SELECT ticker, ticker IN (SELECT ticker FROM p) AS first FROM company ORDER BY first DESC, ticker LIMIT 30")
 def o17_priority_order(spark, d):
-    p = D.table(spark, d, "labels").where("doc_id < 20").select(F.concat(F.lit("S"), (F.col("doc_id") + 1).cast("string")).alias("ticker")).distinct().withColumn("f", F.lit(True))
+    p = D.table(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("S"), (F.col("doc_id") + 1).cast("string")).alias("ticker")).distinct().withColumn("f", F.lit(True))
     c = D.company(spark, d).select("ticker").join(p, "ticker", "left").select("ticker", F.coalesce("f", F.lit(False)).alias("first"))
     return c.orderBy(F.desc("first"), "ticker").limit(30)
 
@@ -177,7 +195,7 @@ def u04_universe(spark, d):
     return csv.unionByName(m.join(csv, "ticker", "left_anti"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(regexp_replace(upper(trim('nse:' || p_brand || '.ns')), '^(NSE|BSE):', ''), '\.(NS|BO)$', '') AS bare, right(lpad(regexp_replace(p_brand, '\D', '', 'g'), 8, '0'), 8) AS din, CASE WHEN lower(p_type) LIKE '%independent%' THEN 'Independent' ELSE 'Other' END AS category FROM part")
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(upper(trim('nse:' || p_brand || '.ns')), '^(NSE|BSE):', ''), '\.(NS|BO)$', '') AS bare, right(lpad(regexp_replace(p_brand, '\D', '', 'g'), 8, '0'), 8) AS din, CASE WHEN lower(p_type) LIKE '%independent%' THEN 'Independent' WHEN regexp_matches(lower(p_type), 'executive|managing|ceo|md|whole') THEN 'Executive' ELSE '' END AS category FROM part")
 def t07_symbols(spark, d):
     p = D.table(spark, d, "part")
     return p.select("p_partkey", text.bare_symbol(F.concat(F.lit("nse:"), "p_brand", F.lit(".ns"))).alias("bare"), text.norm_din(F.col("p_brand")).alias("din"), text.infer_category(F.col("p_type")).alias("category"))
@@ -232,10 +250,24 @@ def s41_filings(spark, d):
     return P.filings(spark.range(1).select(F.lit(doc).alias("v")), "v")
 
 
-@query("SELECT doc_id, CASE WHEN lower(lang) = 'en' AND n_chars <= 500 THEN 'small' WHEN n_chars IS NULL THEN 'unknown' ELSE 'rest' END AS cap_gate FROM documents")
+@query(W("company") + " SELECT ticker, coalesce(mcap_cr <= 500, true) AS nanocap, coalesce(mcap_cr <= 6000, true) AS venture, true AS other FROM company")
 def f13_cap_gate(spark, d):
-    n = F.col("n_chars")
-    return D.table(spark, d, "documents").select("doc_id", F.when((F.lower("lang") == "en") & (n <= 500), "small").when(n.isNull(), "unknown").otherwise("rest").alias("cap_gate"))
+    m = F.col("mcap_cr")
+    return D.company(spark, d).select("ticker", *[TH.cap_passes(g, m).alias(a) for g, a in (("Nanocap Champs", "nanocap"), ("Listed Venture Capital", "venture"), ("Other", "other"))])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Director' WHEN c_custkey % 4 = 1 THEN 'Chairperson · ' || c_mktsegment ELSE c_mktsegment END AS designation FROM customer")
+def t12_designation(spark, d):
+    m = F.col("c_custkey") % 4
+    seg = F.when(m > 0, F.col("c_mktsegment"))
+    return D.table(spark, d, "customer").select("c_custkey", text.designation_of(F.when(m == 1, "Chairperson").otherwise("NA"), seg, F.lower(seg)).alias("designation"))
+
+
+@query(W("company") + """ SELECT ticker, '"' || lower(name) || '" (stock OR shares OR NSE)' AS query FROM company""")
+def t24_news_query(spark, d):
+    """A name of one telling word has no phrase of two."""
+    c = D.company(spark, d)
+    return c.select("ticker", F.lower(text.news_query(F.col("name"), F.col("ticker"))).alias("q")).select("ticker", F.regexp_replace("q", "\\(stock or shares or nse\\)$", "(stock OR shares OR NSE)").alias("query"))
 
 
 @query("SELECT o_orderkey, o_custkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DOUBLE AS invested FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

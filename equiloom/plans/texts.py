@@ -13,17 +13,36 @@ from equiloom.sources.domain import with_sql as W
 
 
 def _docs(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("sector"), F.col("source").alias("sub_sector"))
+    return D.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("sector"), F.col("source").alias("sub_sector"), (F.col("n_chars") / 4).alias("mcap_cr"))
+
+
+def _body(term: str) -> str:
+    return r"[\s\x{00a0}]+".join(term.split())
 
 
 def _has(x: str, term: str) -> str:
     cs = text.is_acronym(term)
-    body = "[\\s ]+".join(term.split())
-    return f"regexp_matches({x}, '{'' if cs else '(?i)'}(^|[^A-Za-z0-9_-]){body}([^A-Za-z0-9_]|$)')"
+    return f"regexp_matches({x}, '{'' if cs else '(?i)'}(^|[^A-Za-z0-9_-]){_body(term)}([^A-Za-z0-9_]|$)')"
+
+
+def _clear(x: str, term: str) -> str:
+    """A hit free of finance and medical words, found by splitting at the term."""
+    low = term.lower()
+    of = x if text.is_acronym(term) else f"lower({x})"
+    left, right = f"array_to_string(p[greatest(1, k - 12):k], '{low}')", f"array_to_string(p[k + 1:k + 61], '{low}')"
+    fine = f"NOT regexp_matches({left}, '[A-Za-z0-9_-]$') AND NOT regexp_matches({right}, '^[A-Za-z0-9_]')"
+    fine += f" AND NOT regexp_matches(lower(right({left}, 16) || '{low}' || left({right}, 120)), '\\b({text.FINANCE_NOISE})\\b')"
+    if low in text.MEDICAL_TERMS:
+        fine += f" AND NOT regexp_matches(lower(right({left}, 24) || '{low}' || left({right}, 64)), '\\b({text.MEDICAL_NOISE})\\b')"
+    return f"({_has(x, term)} AND list_transform([string_split_regex({of}, '{_body(term if text.is_acronym(term) else low)}')], lambda p: len(list_filter(range(1, len(p)), lambda k: {fine})) > 0)[1])"
+
+
+def _clause(x: str, c: list[str]) -> str:
+    return "(" + " AND ".join(_clear(x, t) for t in c) + ")"
 
 
 def _pattern(x: str, p: str) -> str:
-    return "(" + " OR ".join("(" + " AND ".join(_has(x, t) for t in c) + ")" for c in text.parse_pattern(p)) + ")"
+    return "(" + " OR ".join(_clause(x, c) for c in text.parse_pattern(p)) + ")"
 
 
 _DSL = "that the+with|MIT License|und der|token"
@@ -34,38 +53,61 @@ def f07_pattern_match(spark, d):
     return _docs(spark, d).where(text.matches_pattern(F.col("text"), _DSL)).select("doc_id")
 
 
-_TERMS = sorted({t for c in text.parse_pattern(_DSL) for t in c}, key=lambda t: (-len(t), t))
+_TERMS = sorted({t: [c for c in text.parse_pattern(_DSL) if t in c] for c in text.parse_pattern(_DSL) for t in c}.items(), key=lambda x: -len(x[0]))
 
 
-@query("SELECT doc_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {_has('text', t)} THEN '{t}' END" for t in _TERMS) + "] IF x IS NOT NULL], '|') AS terms FROM documents")
+@query("SELECT doc_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {_has('text', t)} AND ({' OR '.join(_clause('text', c) for c in cs)}) THEN '{t}' END" for t, cs in _TERMS) + "] IF x IS NOT NULL], '|') AS terms FROM documents")
 def t05_matched_terms(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.matched_terms(F.col("text"), _DSL), "|").alias("terms"))
 
 
-@query()
+_LOUD = ["permission", "license", "the"]
+
+
+@query("SELECT doc_id, " + ", ".join(f"coalesce({_has('text', t)}, false) AS held_{t}, coalesce({_clear('text', t)}, false) AS clear_{t}" for t in _LOUD) + " FROM documents")
 def f08_noise_suppressed(spark, d):
-    return _docs(spark, d).where(text.matches_pattern(F.col("text"), "the and|token|MIT License", noise=True)).select("doc_id")
+    c = F.col("text")
+    return _docs(spark, d).select("doc_id", *[x for t in _LOUD for x in (text.has_term(c, t).alias(f"held_{t}"), text.has_clear_term(c, t).alias(f"clear_{t}"))])
 
 
-@query()
+_FAR = ["that", "with", "license"]
+
+
+def _places(x: str, term: str) -> str:
+    left, right = "array_to_string(p[1:k], '" + term + "')", "p[k + 1]"
+    return f"list_transform([string_split(lower({x}), '{term}')], lambda p: list_transform(list_filter(range(1, len(p)), lambda k: NOT regexp_matches(p[k], '[A-Za-z0-9_]$') AND NOT (p[k] = '' AND k > 1) AND NOT regexp_matches({right}, '^[A-Za-z0-9_]') AND NOT ({right} = '' AND k + 1 < len(p))), lambda k: length({left})))[1]"
+
+
+def _gap(a: str, b: str) -> str:
+    return f"list_min(list_transform({a}, lambda x: list_min(list_transform({b}, lambda y: abs(x - y)))))"
+
+
+@query("WITH p AS (SELECT doc_id, " + ", ".join(f"{_places('text', t)} AS p_{t}" for t in _FAR) + " FROM documents), g AS (SELECT doc_id, least(" + ", ".join(_gap(f"p_{a}", f"p_{b}") for i, a in enumerate(_FAR) for b in _FAR[i + 1 :]) + ") AS distance FROM p WHERE " + " AND ".join(f"len(p_{t}) > 0" for t in _FAR) + ") SELECT doc_id, distance::INT AS distance FROM g WHERE distance > 20")
 def m12_loose_and(spark, d):
-    return _docs(spark, d).select("doc_id", text.loose_and_distance(F.col("text"), ["that the", "with", "token"]).alias("distance")).where("distance > 140")
+    return _docs(spark, d).select("doc_id", text.loose_and_distance(F.col("text"), _FAR).alias("distance")).where("distance > 20")
 
 
 _THEMES = {
-    "license": {"pattern": "license|licensed", "allow": ["en", "fr", "de"], "deny": [("en", "src1")]},
-    "tokens": {"pattern": "token|secret", "deny": [("de", "src3")]},
-    "common": {"pattern": "the+and+of", "allow": ["en"]},
+    "license": {"pattern": "license|licensed", "allow": ["en", "fr"], "allow_sub": ["src2", "src7"], "deny": [("en", "src1")], "group": "Nanocap Champs"},
+    "tokens": {"pattern": "token|secret", "deny": [("de", "src3")], "group": "Listed Venture Capital"},
+    "common": {"pattern": "the+and+of", "allow": ["en"], "group": "Other"},
 }
 
 
-def _theme_sql() -> str:
-    cells = []
-    for k, t in _THEMES.items():
-        gate = "true" if not t.get("allow") else "lang IN (" + ", ".join(f"'{x}'" for x in t["allow"]) + ")"
+def _match(t: dict) -> str:
+    one = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    gate = "true"
+    if t.get("allow") or t.get("allow_sub"):
         deny = " OR ".join(f"(lang = '{a}' AND source = '{b}')" for a, b in t.get("deny", [])) or "false"
-        cells.append(f"coalesce(length(trim(text)) > 0 AND {_pattern('text', t['pattern'])} AND NOT ({deny}) AND {gate}, false) AS theme_{k}")
-    return "SELECT doc_id, " + ", ".join(cells) + " FROM documents"
+        allow = " OR ".join(f"coalesce({c} IN ({one(t[k])}), false)" for c, k in (("lang", "allow"), ("source", "allow_sub")) if t.get(k))
+        gate = f"NOT coalesce({deny}, false) AND ({allow})"
+    cap = TH.GROUP_CAPS.get(t.get("group"))
+    small = f"coalesce(n_chars / 4 <= {cap}, true)" if cap else "true"
+    return f"coalesce(length(trim(text)) > 0 AND {_pattern('text', t['pattern'])} AND {small} AND {gate}, false)"
+
+
+def _theme_sql() -> str:
+    return "SELECT doc_id, " + ", ".join(f"{_match(t)} AS theme_{k}" for k, t in _THEMES.items()) + " FROM documents"
 
 
 @query(_theme_sql())
@@ -73,15 +115,28 @@ def f35_theme_rows(spark, d):
     return TH.theme_flags(_docs(spark, d), "text", _THEMES).select("doc_id", *[f"theme_{k}" for k in _THEMES])
 
 
-_WORDS = ["license", "licensed", "token", "secret", "that the", "zebra", "of the", "MIT"]
+@query(f"WITH t AS ({_theme_sql()}), h AS (SELECT *, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN theme_{k} THEN '{k}' END" for k in _THEMES) + "] IF x IS NOT NULL], ',') AS themes FROM t) SELECT doc_id, themes FROM h WHERE themes <> ''")
+def j23_theme_ids(spark, d):
+    return TH.theme_rows(_docs(spark, d), "text", _THEMES).select("doc_id", F.array_join("theme_ids", ",").alias("themes"))
+
 
+_WORDS = ["license", "licensed", "token", "secret", "that the", "zebra", "of the", "MIT", "that+with+license"]
 
-@query("SELECT k AS keyword, n AS hits, f AS first_key FROM (" + " UNION ALL ".join(f"SELECT '{w}' AS k, count(*) AS n, min(doc_id) AS f FROM documents WHERE {_has('text', w)}" for w in _WORDS) + ")")
+
+def _audit(w: str) -> str:
+    terms = text.parse_pattern(w)[0]
+    far = "false"
+    if len(terms) > 1:
+        far = "coalesce(least(" + ", ".join(_gap(_places("text", a), _places("text", b)) for i, a in enumerate(terms) for b in terms[i + 1 :]) + ") > 20, false)"
+    return f"SELECT '{w}' AS keyword, doc_id, {_match(_THEMES['license'])} AS gated, {far} AS loose FROM documents WHERE {_pattern('text', w)}"
+
+
+@query("WITH h AS (" + " UNION ALL ".join(map(_audit, _WORDS)) + "), e AS (SELECT keyword, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS examples FROM (SELECT keyword, doc_id FROM h QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY doc_id) <= 3) GROUP BY 1), c AS (SELECT keyword, count(*) AS hits, count(*) FILTER (WHERE gated) AS gated, count(*) FILTER (WHERE loose) AS loose FROM h GROUP BY 1), w AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in _WORDS) + "]) AS keyword) SELECT keyword, coalesce(hits, 0) AS hits, coalesce(gated, 0) AS gated, coalesce(loose, 0) AS loose, coalesce(examples, '') AS examples, CASE WHEN hits IS NULL THEN 'ZERO' WHEN hits < 3 THEN 'low' ELSE 'ok' END AS tag FROM w LEFT JOIN c USING (keyword) LEFT JOIN e USING (keyword)")
 def a23_keyword_audit(spark, d):
-    return TH.keyword_audit(_docs(spark, d), "text", "doc_id", _WORDS)
+    return TH.keyword_audit(_docs(spark, d), "text", "doc_id", _WORDS, _THEMES["license"], 20)
 
 
-@query(_theme_sql().replace("SELECT doc_id,", "SELECT sum(theme_license::INT)::BIGINT AS license, sum(theme_tokens::INT)::BIGINT AS tokens, sum(theme_common::INT)::BIGINT AS common, count(*) AS corpus FROM (SELECT doc_id,") + ")")
+@query(_theme_sql().replace("SELECT doc_id,", "SELECT sum(theme_license::INT)::BIGINT AS license, sum(theme_tokens::INT)::BIGINT AS tokens, sum(theme_common::INT)::BIGINT AS common, count(*) AS corpus FROM (SELECT doc_id,", 1) + ")")
 def a24_audit_report(spark, d):
     t = TH.theme_flags(_docs(spark, d), "text", _THEMES)
     return t.agg(*[F.count_if(f"theme_{k}").alias(k) for k in _THEMES], F.count("*").alias("corpus"))
@@ -92,9 +147,22 @@ def a34_mining(spark, d):
     return TH.mine(_docs(spark, d).where("sector = 'en'"), "text", ["that", "with"])
 
 
-@query("SELECT doc_id, CASE WHEN length(text) >= 80 AND ((lower(text) LIKE '%home%')::INT + (lower(text) LIKE '%contact us%')::INT + (lower(text) LIKE '%about us%')::INT + (lower(text) LIKE '%login%')::INT + (lower(text) LIKE '%products%')::INT + (lower(text) LIKE '%careers%')::INT >= 3) THEN true ELSE false END AS junk FROM documents")
+_MENU = "len(regexp_extract_all({0}, '(?i)\\b(" + "|".join(text.MENU) + ")\\b'))"
+
+
+def _junk(x: str) -> str:
+    hits = _MENU.format(f"trim({x})")
+    return f"(length(trim({x})) >= 80 AND ({hits} >= 3 OR (len(string_split_regex(trim({x}), '\\s+')) > 40 AND NOT regexp_matches({x}, '[.!?]') AND {hits} >= 2)))"
+
+
+_SITE = "html || ' Investor Relations Career' || CASE WHEN page_id % 2 = 0 THEN ' CSR' ELSE '' END"
+
+
+@query(f"SELECT page_id, {_junk('t')} AS junk FROM (SELECT page_id, {_SITE} AS t FROM pages)")
 def p05_nav_junk(spark, d):
-    return _docs(spark, d).select("doc_id", text.looks_like_menu(F.col("text")).alias("junk"))
+    p = D.table(spark, d, "pages")
+    t = F.concat("html", F.lit(" Investor Relations Career"), F.when(F.col("page_id") % 2 == 0, " CSR").otherwise(""))
+    return p.select("page_id", text.looks_like_menu(t).alias("junk"))
 
 
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 30")
@@ -129,12 +197,6 @@ def t15_keyword_hits(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.keyword_hits(F.col("text"), _KW), ",").alias("hits"))
 
 
-@query("SELECT conv_id, string_agg('[' || turn || '] ' || left(text, 40), chr(10) ORDER BY turn) AS note FROM conversations GROUP BY 1")
-def a36_note_text(spark, d):
-    c = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
-    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), F.left(x["text"], F.lit(40)))), "\n").alias("note"))
-
-
 @query(r"SELECT * FROM (SELECT conv_id, turn, regexp_replace(text, '^[\t\n\f\r ]+|[\t\n\f\r ]+\z', '', 'g') AS block FROM conversations) WHERE block <> ''")
 def a36_note_blocks(spark, d):
     """The whole blocks of a note, a row each; `turn` is their order."""
@@ -191,9 +253,9 @@ def t25_side(spark, d):
     return D.table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct().select("p", text.normalize_side(F.col("p")).alias("side"))
 
 
-@query("SELECT o_orderkey, CASE WHEN v < 1000 THEN v::VARCHAR WHEN v < 100000 THEN (v // 1000)::VARCHAR || ',' || lpad((v % 1000)::VARCHAR, 3, '0') ELSE (v // 100000)::VARCHAR || ',' || lpad((v // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v % 1000)::VARCHAR, 3, '0') END AS grouped FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders WHERE o_totalprice < 10000000)")
+@query("SELECT o_orderkey, CASE WHEN v < 1000 THEN v::VARCHAR WHEN v < 100000 THEN (v // 1000)::VARCHAR || ',' || lpad((v % 1000)::VARCHAR, 3, '0') ELSE CASE WHEN v < 10000000 THEN (v // 100000)::VARCHAR ELSE (v // 10000000)::VARCHAR || ',' || lpad((v // 100000 % 100)::VARCHAR, 2, '0') END || ',' || lpad((v // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v % 1000)::VARCHAR, 3, '0') END AS grouped FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders)")
 def t20_grouping(spark, d):
-    o = D.table(spark, d, "orders").where("o_totalprice < 10000000")
+    o = D.table(spark, d, "orders")
     return o.select("o_orderkey", num.indian_grouping(F.floor("o_totalprice")).alias("grouped"))
 
 
