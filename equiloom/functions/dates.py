@@ -40,3 +40,19 @@ def held_days(opened: Column, end: Column, zone: str = "Asia/Kolkata") -> Column
 def fresh(ts: Column, as_of: Column, hours: float) -> Column:
     """Younger than so many hours at an explicit time."""
     return (F.unix_timestamp(as_of) - F.unix_timestamp(ts)) < hours * 3600
+
+
+def quarter_end_iso(x: Column) -> Column:
+    """yyyy-MM-dd of d-MMM-yyyy in any case, spaces ignored; others are null."""
+    raw = F.initcap(F.lower(F.regexp_replace(x, "\\s+", "")))
+    dashed = F.regexp_extract(F.lower(raw), "^(\\d{1,2})-([a-z]{3})-(\\d{4})$", 2)
+    day = F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(raw, "^(\\d{1,2})-", 1), F.initcap(dashed), F.right(raw, F.lit(4))), F.lit("d-MMM-yyyy"))
+    return F.when(dashed != "", F.date_format(day, "yyyy-MM-dd"))
+
+
+def broadcast_ms(x: Column) -> Column:
+    """Milliseconds of dd-MMM-yyyy HH:mm:ss in UTC; 0 for others."""
+    raw = F.lower(F.trim(x))
+    month = F.initcap(F.regexp_extract(raw, "^\\d{2}-([a-z]{3})-\\d{4}\\s+\\d{2}:\\d{2}:\\d{2}$", 1))
+    at = F.try_to_timestamp(F.concat(F.substring(raw, 1, 3), month, F.regexp_replace(F.substring(raw, 7, 30), "\\s+", " ")), F.lit("dd-MMM-yyyy HH:mm:ss"))
+    return F.coalesce(F.when(month != "", F.unix_millis(at)), F.lit(0).cast("long"))

@@ -105,3 +105,8 @@ def indian_grouping(x: Column) -> Column:
     tail = F.right(digits, F.lit(3))
     body = F.when(F.length(digits) > 3, F.concat(head, F.lit(","), tail)).otherwise(digits)
     return F.when(x < 0, F.concat(F.lit("-"), body)).otherwise(body)
+
+
+def first_number(*xs: Column) -> Column:
+    """The first of the texts that reads as a number."""
+    return F.coalesce(*[parse_num(x) for x in xs])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from equiloom.plans import base, company, flows, market, more, texts
+from equiloom.plans import base, company, flows, lists, market, more, texts
 
 
 def queries() -> dict:
-    assert company and flows and market and more and texts
+    assert company and flows and lists and market and more and texts
     return dict(base.QUERIES)
 
 
