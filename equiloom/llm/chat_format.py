@@ -1,7 +1,7 @@
 """Chat formatting by minimum-cost role repair.
 
 A conversation is legal if an optional system turn comes first, then user and
-assistant alternate from user to assistant. Each given turn is kept, relabelled,
+assistant alternate, once at least, from user to assistant. Each given turn is kept, relabelled,
 or merged into the turn before, and empty turns may be inserted; dynamic
 programming over the last role emitted finds the cheapest way. Ties go to fewer
 turns put out, then to the earlier role of ROLES.
@@ -14,7 +14,7 @@ between its two end roles. No conversation is gathered in one task, nor rendered
 in one string: the result has a row for each given or inserted turn, whose
 `rendered` texts in order make up the conversation.
 
-Cases: a null or empty text is an empty turn; a role is matched in any case, a
+Cases: a null or empty text is an empty turn, a very long one a turn like any; a role is matched in any case, a
 null or unknown one may take any role at a lower cost; a null conv_id is a
 conversation; equal turn numbers are ordered by role and text, repeated rows are
 turns; an empty table gives an empty result; other columns are ignored.
