@@ -34,12 +34,20 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _place():
+    """The order of line items as one number of fixed width, which a hash
+    aggregation holds: time, order, line and part, one after another."""
+    wide = lambda c: c.cast("decimal(18,0)")
+    key = wide(F.col("l_orderkey")) * F.lit(10**10).cast("decimal(11,0)") + wide(F.col("l_linenumber")) * F.lit(10**8).cast("decimal(9,0)") + wide(F.col("l_partkey"))
+    return (wide(F.unix_micros(F.col("l_shipdate").cast("timestamp"))) * F.lit("1" + "0" * 20).cast("decimal(21,0)") + key).cast("decimal(38,0)")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single prices per supplier: line items with a total order."""
     return table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey").alias("o"),
+        _place().alias("o"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
         F.col("l_quantity").alias("q"),
     )
@@ -82,10 +90,10 @@ def seats(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFra
         o = o.where(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz"))
     pair = (
         li.where("l_quantity >= 46").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderpriority").alias("priority"))
+        .groupBy("o_custkey", "l_suppkey").agg(F.min(F.substring("o_orderpriority", 1, 1).try_cast("int")).alias("p"))
     )
-    p = F.substring("priority", 1, 1)
-    role = F.when(p == "1", "Chairperson").when(p == "2", "Managing Director").when(p == "3", "Independent Director").when(p == "4", "Whole-time Director").otherwise("Director")
+    p = F.col("p")
+    role = F.when(p == 1, "Chairperson").when(p == 2, "Managing Director").when(p == 3, "Independent Director").when(p == 4, "Whole-time Director").otherwise("Director")
     din = F.when(F.col("o_custkey") % 2 == 0, F.lpad(F.col("o_custkey").cast("string"), 8, "0"))
     return pair.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.coalesce(din, F.concat(F.lit("n:"), F.lower("c_name"))).alias("person_id"), din.alias("din"), F.col("c_name").alias("director"),
