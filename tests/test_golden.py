@@ -132,3 +132,31 @@ def test_stream(spark, tmp_path):
     assert [(r.ticker, r.event_type) for r in seen] == [("G", "role_changed")]
     events = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "a")], "ts timestamp, event_type string")
     assert signal_counts(events).count() == 1
+
+
+def test_loose_and(spark):
+    """Places of whole phrases, and the least distance of two different ones."""
+    blurb = "Copper here, copper again" + " x" * 100 + " wires, coppersmith and wires near copper"
+    far = text.loose_and_distance(F.lit(blurb), ["copper", "wires"])
+    assert one(spark, text.term_places(F.lit(blurb), "copper")) == [0, 13, blurb.rindex("copper")]
+    assert one(spark, far) == blurb.rindex("copper") - blurb.rindex("wires")
+    assert one(spark, text.loose_and_distance(F.lit("copper only"), ["copper", "wires"])) is None
+
+
+@pytest.mark.parametrize(
+    ("title", "name", "symbol", "want"),
+    [
+        ("Sarfaraz Khan in, Dhruv Jurel out for IND vs SL Tests", "Dhruv Consultancy Services Limited", "DHRUV", False),
+        ("Dhruv Consultancy wins NHAI road contract worth Rs 120 crore", "Dhruv Consultancy Services Limited", "DHRUV", True),
+        ("Atam Valves bags export order from Middle East", "Atam Valves", "ATAM", True),
+        ("IIIT professor develops ATAM dance teaching tool", "Atam Valves", "ATAM", False),
+    ],
+)
+def test_headlines(spark, title, name, symbol, want):
+    assert one(spark, text.headline_names(F.lit(title), F.lit(name), F.lit(symbol))) is want
+
+
+def test_money(spark):
+    for said, crore in (("12.5 Cr", 12.5), ("50 lac", 0.5), ("300k", 0.003), ("1,00,00,000", 1.0), ("", 0.0)):
+        assert one(spark, num.parse_value_cr(F.lit(said))) == crore
+    assert one(spark, num.log_weight(F.lit(0.0))) == 0.5
