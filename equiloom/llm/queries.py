@@ -76,6 +76,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -83,6 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from equiloom.llm import license_scan, source_mix, substring_dedup
+    from equiloom.llm import filter_audit, license_scan, source_mix, substring_dedup
 
-    return {"op1_substring_dedup": substring_dedup.oracle(), "op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle()}
+    return {"op1_substring_dedup": substring_dedup.oracle(), "op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle(), "op11_filter_audit": filter_audit.oracle()}
