@@ -82,6 +82,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from equiloom.llm.piece_text import tokenize
+
+    return tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
