@@ -82,6 +82,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equiloom.llm.hard_negatives import mine
+
+    return mine(_table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from equiloom.llm import filter_audit, license_scan, source_mix, substring_dedup
+    from equiloom.llm import filter_audit, hard_negatives, license_scan, source_mix, substring_dedup
 
-    return {"op1_substring_dedup": substring_dedup.oracle(), "op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle(), "op11_filter_audit": filter_audit.oracle()}
+    return {"op1_substring_dedup": substring_dedup.oracle(), "op7_license_scan": license_scan.oracle(), "op9_source_mix": source_mix.oracle(), "op11_filter_audit": filter_audit.oracle(), "op12_hard_negatives": hard_negatives.oracle()}
