@@ -1,47 +1,83 @@
-"""Theme matching over texts, and the audit of theme keywords."""
+"""Theme matching over texts, and the audit of theme keywords.
+
+A theme is {pattern, group, keywords, candidates, allow: sectors, allow_sub:
+sub-sectors, deny: (sector, sub-sector) pairs}. All patterns of all themes are
+read in one pass over each text (`phrases.scan`); gates, lists and counts are
+expressions on the numbers that come back.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiloom.functions import text
 from equiloom.operators.company import in_sector
+from equiloom.operators.phrases import FOUND, Phrases, holds, scan
 
 # Greatest market cap in crore of two groups of themes.
 GROUP_CAPS = {"Nanocap Champs": 500, "Listed Venture Capital": 6000}
 
+SHARES = 256  # of the rows of one keyword, for its first keys
+EXAMPLES, SAMPLE = 3, 8
+
 
 def cap_passes(group: str | None, mcap: Column) -> Column:
     """Unknown caps pass, and all of a group without a limit."""
     return F.lit(True) if group not in GROUP_CAPS else mcap.isNull() | (mcap <= GROUP_CAPS[group])
 
 
-def theme_match(column: str, theme: dict) -> Column:
-    """A theme is {pattern, group, allow: sectors, allow_sub: sub-sectors, deny:
-    (sector, sub-sector) pairs}."""
-    gate = in_sector(theme.get("allow", []), theme.get("allow_sub", []), theme.get("deny", []))
-    hit = (F.length(F.trim(F.col(column))) > 0) & text.matches_pattern(F.col(column), theme["pattern"])
-    return F.coalesce(hit & cap_passes(theme.get("group"), F.col("mcap_cr")) & gate, F.lit(False))
+def _gate(theme: dict) -> Column:
+    return in_sector(theme.get("allow", []), theme.get("allow_sub", []), theme.get("deny", []))
+
+
+def _matches(phrases: Phrases, theme: dict) -> Column:
+    return F.coalesce(holds(phrases, theme["pattern"]) & cap_passes(theme.get("group"), F.col("mcap_cr")) & _gate(theme), F.lit(False))
+
+
+def _others(df: DataFrame, column: str) -> list[str]:
+    return [c for c in df.columns if c != column]
 
 
 def theme_flags(df: DataFrame, column: str, themes: dict[str, dict]) -> DataFrame:
-    """A boolean column for each theme."""
-    return df.withColumns({f"theme_{k}": theme_match(column, t) for k, t in themes.items()})
+    """The columns but the text, and a boolean for each theme."""
+    phrases = Phrases([t["pattern"] for t in themes.values()])
+    return scan(df, column, phrases, *_others(df, column)).withColumns({f"theme_{k}": _matches(phrases, t) for k, t in themes.items()}).drop(*FOUND)
+
+
+def _named(numbers: Column, names: list[str]) -> Column:
+    table = F.array(*map(F.lit, names))
+    return F.transform(numbers, lambda i: F.get(table, i))
+
+
+def _numbers(ids) -> Column:
+    return F.array(*map(F.lit, ids)) if len(ids) else F.array().cast("array<int>")
 
 
 def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str = "") -> DataFrame:
-    """Rows of some theme or of the custom pattern, with the ids of their
-    themes, the clauses that matched and the phrases to highlight."""
-    hits = [(k, t["pattern"], theme_match(column, t)) for k, t in themes.items()]
-    ids = F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, _, ok in hits]))
-    some = [(p, ok) for _, p, ok in hits] + ([(custom, text.matches_pattern(F.col(column), custom))] if custom.strip() else [])
-    none = F.array().cast("array<string>")
-    union = lambda f: F.array_distinct(F.flatten(F.array(*[F.when(ok, f(F.col(column), p)).otherwise(none) for p, ok in some])))
-    matched = F.exists(F.array(*[ok for _, ok in some]), lambda x: x)
-    rows = df.where(matched).withColumns({"theme_ids": ids, "clauses": union(text.matched_clauses), "highlights": union(text.matched_terms)})
-    by_length = F.array_sort(F.transform("highlights", lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
-    return rows.withColumn("highlights", F.transform(by_length, lambda r: r["x"]))
+    """Rows of some theme or of the custom pattern, without the text, with the
+    ids of their themes, the clauses that matched and the phrases to highlight,
+    longest first."""
+    phrases = Phrases([*(t["pattern"] for t in themes.values()), *([custom] if custom.strip() else [])])
+    hits = [(k, t["pattern"], _matches(phrases, t)) for k, t in themes.items()]
+    hits += [(None, custom, holds(phrases, custom))] if custom.strip() else []
+    rows = scan(df, column, phrases, *_others(df, column)).where(reduce(lambda a, b: a | b, [ok for *_, ok in hits]))
+    none = F.array().cast("array<int>")
+    # Clauses in the patterns' order, of the patterns that match.
+    clauses = F.array_distinct(F.flatten(F.array(*[F.when(ok, F.filter(_numbers(phrases.of[p]), lambda c: F.array_contains("clauses", c))).otherwise(none) for _, p, ok in hits])))
+    terms = F.array(*[_numbers(c) for c in phrases.clauses])
+    lit = F.array_distinct(F.flatten(F.transform("which", lambda c: F.filter(F.get(terms, c), lambda t: F.array_contains("terms", t)))))
+    by_length = F.transform(F.array_sort(F.transform("lit", lambda t, i: F.struct((-F.length(F.get(F.array(*map(F.lit, phrases.terms)), t))).alias("n"), i.alias("i"), t.alias("t")))), lambda r: r["t"])
+    return (
+        rows.withColumn("theme_ids", F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, _, ok in hits if k is not None])))
+        .withColumn("which", clauses)
+        .withColumn("lit", lit)
+        .withColumn("highlights", _named(by_length, phrases.terms))
+        .drop("clauses")
+        .withColumn("clauses", _named(F.col("which"), phrases.names()))
+        .drop("which", "lit", "terms", "loose")
+    )
 
 
 def merge_portfolio(rows: DataFrame, universe: DataFrame, holdings: DataFrame, column: str, themes: dict[str, dict]) -> DataFrame:
@@ -50,30 +86,93 @@ def merge_portfolio(rows: DataFrame, universe: DataFrame, holdings: DataFrame, c
     return rows.unionByName(held.join(rows.select("ticker").distinct(), "ticker", "left_anti").select(*rows.columns))
 
 
-def keyword_audit(df: DataFrame, column: str, key: str, words: list[str], theme: dict, loose_over: int = 140) -> DataFrame:
-    """Per keyword of a theme: hits, those that the theme's gate lets through,
-    those whose phrases lie far apart, the first three keys, and whether it is
-    never or seldom hit. A row becomes as many as the keywords it holds; the
-    first keys are taken by shares of the rows before they meet."""
-    held = []
-    for w in words:
-        clauses = text.parse_pattern(w)
-        loose = text.loose_and_distance(F.col(column), clauses[0]) > loose_over if len(clauses) == 1 and len(clauses[0]) > 1 else F.lit(False)
-        held.append(F.when(text.matches_pattern(F.col(column), w), F.struct(F.lit(w).alias("keyword"), F.coalesce(loose, F.lit(False)).alias("loose"))))
-    rows = df.select(key, F.explode(F.array_compact(F.array(*held))).alias("h"), theme_match(column, theme).alias("gated")).select(key, "h.keyword", "h.loose", "gated")
-    counts = rows.groupBy("keyword").agg(F.count("*").alias("hits"), F.count_if("gated").alias("gated"), F.count_if("loose").alias("loose"))
-    first = rows.select("keyword", key)
-    for part in (["keyword", F.pmod(F.xxhash64(key), F.lit(64))], ["keyword"]):
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where("r <= 3").drop("r")
-    first = first.groupBy("keyword").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("examples"))  # three at most
-    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
+def _entries(themes: dict[str, dict]) -> list[tuple[str, str, str, int]]:
+    """(theme, kind, pattern, place): a theme's own pattern, its keywords, and
+    its candidates that are no keywords."""
+    out = []
+    for k, t in themes.items():
+        known = {w.lower() for w in t.get("keywords", [])}
+        out.append((k, "theme", t["pattern"], 0))
+        out += [(k, "keyword", w, i) for i, w in enumerate(t.get("keywords", []))]
+        out += [(k, "candidate", w, i) for i, w in enumerate(t.get("candidates", [])) if w.lower() not in known]
+    return out
+
+
+def keyword_hits(df: DataFrame, column: str, key: str, themes: dict[str, dict], loose_over: int = 140) -> DataFrame:
+    """A row (entry, key, gated, loose) for each row of the table and each
+    pattern that matches it: whether the theme lets the row through, caps set
+    aside, and whether the phrases of a single clause lie far apart."""
+    entries = _entries(themes)
+    phrases = Phrases([e[2] for e in entries], loose_over)
+    by_clause: list[list[int]] = [[] for _ in phrases.clauses]
+    single: list[list[int]] = [[] for _ in phrases.clauses]
+    for i, (_, _, p, _) in enumerate(entries):
+        for c in set(phrases.of[p]):
+            by_clause[c].append(i)
+        if len(phrases.of[p]) == 1:
+            single[phrases.of[p][0]].append(i)
+    reach = lambda ids, table: F.array_distinct(F.flatten(F.transform(ids, lambda c: F.get(F.array(*map(_numbers, table)), c))))
+    ids = list(themes)
+    own = [ids.index(e[0]) for e in entries]
+    open_ = F.array_compact(F.array(*[F.when(F.coalesce(_gate(t) & holds(phrases, t["pattern"]), F.lit(False)), F.lit(i)) for i, t in enumerate(themes.values())]))
+    rows = scan(df, column, phrases, key, "sector", "sub_sector").where(F.size("clauses") > 0)
+    rows = rows.select(key, reach(F.col("clauses"), by_clause).alias("e"), reach(F.col("loose"), single).alias("far"), open_.alias("open"))
+    return rows.select(key, "far", "open", F.explode("e").alias("entry")).select(
+        "entry", key, F.array_contains("open", F.get(F.array(*map(F.lit, own)), F.col("entry"))).alias("gated"), F.array_contains("far", F.col("entry")).alias("loose")
+    )
+
+
+def audit(df: DataFrame, column: str, key: str, themes: dict[str, dict], loose_over: int = 140) -> DataFrame:
+    """Per pattern of a theme (kind, pattern, place): hits, those that the theme
+    lets through, those whose phrases lie far apart, the first three keys (of a
+    theme itself the first eight that are let through), and whether it is never
+    or seldom hit. Counts and first keys are taken in shares of a pattern's rows
+    before these meet."""
+    entries = _entries(themes)
+    share = Window.partitionBy("entry", F.pmod(F.xxhash64(key), F.lit(SHARES)), "shown")
+    kinds = F.array(*[F.lit(e[1]) for e in entries])
+    shown = (F.get(kinds, F.col("entry")) != "theme") | F.col("gated")
+    part = (
+        keyword_hits(df, column, key, themes, loose_over)
+        .withColumn("shown", shown)
+        .select("entry", key, "shown", F.row_number().over(share.orderBy(key)).alias("r"), F.count("*").over(share).alias("n"), F.count_if("gated").over(share).alias("g"), F.count_if("loose").over(share).alias("l"))
+        .where(F.col("r") <= SAMPLE)
+    )
+    once = lambda c: F.sum(F.when(F.col("r") == 1, F.col(c)))
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("shown"), F.col(key)))), 1, SAMPLE)  # SHARES * SAMPLE at most
+    counts = part.groupBy("entry").agg(once("n").alias("hits"), once("g").alias("gated"), once("l").alias("loose"), first.alias("first"))
+    every = df.sparkSession.createDataFrame([(i, *e) for i, e in enumerate(entries)], "entry int, theme string, kind string, pattern string, place int")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    size = F.when(F.col("kind") == "theme", SAMPLE).otherwise(EXAMPLES)
     tag = F.when(F.coalesce("hits", F.lit(0)) == 0, "ZERO").when(F.col("hits") < 3, "low").otherwise("ok")
-    return every.join(counts, "keyword", "left").join(first, "keyword", "left").select("keyword", n("hits"), n("gated"), n("loose"), F.coalesce("examples", F.lit("")).alias("examples"), tag.alias("tag"))
-
-
-def mine(df: DataFrame, column: str, known: list[str], least: int = 3, top: int = 8) -> DataFrame:
-    """Frequent words that are no keywords yet."""
-    w = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit("([a-z]{4,})"), F.lit(1)))).alias("phrase"))
-    c = w.groupBy("phrase").agg(F.count("*").alias("hits")).where((F.col("hits") >= least) & ~F.col("phrase").isin(*known))
+    examples = F.coalesce(F.array_join(F.slice("first", F.lit(1), size), ","), F.lit(""))
+    return every.join(counts, "entry", "left").select("theme", "kind", "pattern", "place", n("hits"), n("gated"), n("loose"), examples.alias("examples"), tag.alias("tag"))
+
+
+def audit_report(audited: DataFrame) -> DataFrame:
+    """Per theme: matches let through and their sample, keywords never and
+    seldom hit, in order, and how often its phrases lay far apart."""
+    keyword, theme = F.col("kind") == "keyword", F.col("kind") == "theme"
+    listed = lambda tag: F.transform(F.array_sort(F.collect_list(F.when(keyword & (F.col("tag") == tag), F.struct("place", "pattern")))), lambda r: r["pattern"])
+    return audited.groupBy("theme").agg(
+        F.max(F.when(theme, F.col("gated"))).alias("gated"), F.max(F.when(theme, F.col("examples"))).alias("sample"), F.count_if(keyword).alias("keywords"),
+        F.array_join(listed("ZERO"), ",").alias("zero_hit"), F.array_join(listed("low"), ",").alias("low_hit"), F.coalesce(F.sum(F.when(keyword, F.col("loose"))), F.lit(0)).alias("loose"),
+    )
+
+
+def candidates(audited: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
+    """Per theme its candidates with the most hits, three at least; ties in the
+    order given."""
+    order = Window.partitionBy("theme").orderBy(F.desc("hits"), "place")
+    return audited.where((F.col("kind") == "candidate") & (F.col("hits") >= least)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("theme", "rank", "pattern", "hits", "examples")
+
+
+def mine(df: DataFrame, column: str, key: str, known: list[str], longest: int = 1, least: int = 3, top: int = 8) -> DataFrame:
+    """Frequent runs of up to `longest` words of four letters or more that are
+    no keywords yet, each counted once a row."""
+    words = F.regexp_extract_all(F.lower(column), F.lit("([a-z]{4,})"), F.lit(1))
+    run = lambda n: F.zip_with(run(n - 1), F.slice("w", n, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)) if n > 1 else F.col("w")
+    whole = lambda n: F.slice(run(n), F.lit(1), F.greatest(F.lit(0), F.size("w") - (n - 1)))
+    rows = df.select(key, words.alias("w")).select(key, F.explode(F.flatten(F.array(*[whole(n + 1) for n in range(longest)]))).alias("phrase"))
+    c = rows.distinct().groupBy("phrase").agg(F.count("*").alias("hits")).where((F.col("hits") >= least) & ~F.col("phrase").isin(*known))
     return c.orderBy(F.desc("hits"), "phrase").limit(top)

@@ -88,20 +88,21 @@ def m12_loose_and(spark, d):
 
 
 _THEMES = {
-    "license": {"pattern": "license|licensed", "allow": ["en", "fr"], "allow_sub": ["src2", "src7"], "deny": [("en", "src1")], "group": "Nanocap Champs"},
-    "tokens": {"pattern": "token|secret", "deny": [("de", "src3")], "group": "Listed Venture Capital"},
-    "common": {"pattern": "the+and+of", "allow": ["en"], "group": "Other"},
-}
+    "license": {"pattern": "license|licensed", "allow": ["en", "fr"], "allow_sub": ["src2", "src7"], "deny": [("en", "src1")], "group": "Nanocap Champs",
+                "keywords": ["license", "licensed", "token", "secret", "that the", "zebra", "of the", "MIT", "that+with+license"], "candidates": ["License", "permission", "rights reserved", "MIT License", "und der", "for the", "zebra", "unicorn"]},
+    "tokens": {"pattern": "token|secret", "deny": [("de", "src3")], "group": "Listed Venture Capital", "keywords": ["token", "secret", "API key", "pass word"], "candidates": ["key", "password", "email"]},
+    "common": {"pattern": "the+and+of", "allow": ["en"], "group": "Other", "keywords": ["the+and+of", "loan|credit"]},
+}
 
 
-def _match(t: dict) -> str:
+def _match(t: dict, capped: bool = True) -> str:
     one = lambda xs: ", ".join(f"'{x}'" for x in xs)
     gate = "true"
     if t.get("allow") or t.get("allow_sub"):
         deny = " OR ".join(f"(lang = '{a}' AND source = '{b}')" for a, b in t.get("deny", [])) or "false"
         allow = " OR ".join(f"coalesce({c} IN ({one(t[k])}), false)" for c, k in (("lang", "allow"), ("source", "allow_sub")) if t.get(k))
         gate = f"NOT coalesce({deny}, false) AND ({allow})"
-    cap = TH.GROUP_CAPS.get(t.get("group"))
+    cap = TH.GROUP_CAPS.get(t.get("group")) if capped else None
     small = f"coalesce(n_chars / 4 <= {cap}, true)" if cap else "true"
     return f"coalesce(length(trim(text)) > 0 AND {_pattern('text', t['pattern'])} AND {small} AND {gate}, false)"
 
@@ -120,31 +121,52 @@ def j23_theme_ids(spark, d):
     return TH.theme_rows(_docs(spark, d), "text", _THEMES).select("doc_id", F.array_join("theme_ids", ",").alias("themes"))
 
 
-_WORDS = ["license", "licensed", "token", "secret", "that the", "zebra", "of the", "MIT", "that+with+license"]
+def _hits(theme: str, kind: str, p: str, place: int) -> str:
+    clauses, far = text.parse_pattern(p), "false"
+    if len(clauses) == 1 and len(clauses[0]) > 1:
+        t = clauses[0]
+        far = "coalesce(least(" + ", ".join(_gap(_places("text", a), _places("text", b)) for i, a in enumerate(t) for b in t[i + 1 :]) + ") > 20, false)"
+    return f"SELECT '{theme}' AS theme, '{kind}' AS kind, '{p}' AS pattern, {place} AS place, doc_id, {_match(_THEMES[theme], False)} AS gated, {far} AS loose FROM documents WHERE {_pattern('text', p)}"
 
 
-def _audit(w: str) -> str:
-    terms = text.parse_pattern(w)[0]
-    far = "false"
-    if len(terms) > 1:
-        far = "coalesce(least(" + ", ".join(_gap(_places("text", a), _places("text", b)) for i, a in enumerate(terms) for b in terms[i + 1 :]) + ") > 20, false)"
-    return f"SELECT '{w}' AS keyword, doc_id, {_match(_THEMES['license'])} AS gated, {far} AS loose FROM documents WHERE {_pattern('text', w)}"
+_ENTRIES = TH._entries(_THEMES)
+_AUDIT = f"""h AS ({" UNION ALL ".join(_hits(*e) for e in _ENTRIES)}),
+w AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in _ENTRIES)}) AS x(theme, kind, pattern, place)),
+f AS (SELECT theme, kind, pattern, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS examples FROM (SELECT * FROM h WHERE kind <> 'theme' OR gated QUALIFY row_number() OVER (PARTITION BY theme, kind, pattern ORDER BY doc_id) <= CASE WHEN kind = 'theme' THEN 8 ELSE 3 END) GROUP BY ALL),
+c AS (SELECT theme, kind, pattern, count(*) AS hits, count(*) FILTER (WHERE gated) AS gated, count(*) FILTER (WHERE loose) AS loose FROM h GROUP BY ALL),
+a AS (SELECT theme, kind, pattern, place, coalesce(hits, 0) AS hits, coalesce(gated, 0) AS gated, coalesce(loose, 0) AS loose, coalesce(examples, '') AS examples, CASE WHEN hits IS NULL THEN 'ZERO' WHEN hits < 3 THEN 'low' ELSE 'ok' END AS tag
+  FROM w LEFT JOIN c USING (theme, kind, pattern) LEFT JOIN f USING (theme, kind, pattern))"""
 
 
-@query("WITH h AS (" + " UNION ALL ".join(map(_audit, _WORDS)) + "), e AS (SELECT keyword, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS examples FROM (SELECT keyword, doc_id FROM h QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY doc_id) <= 3) GROUP BY 1), c AS (SELECT keyword, count(*) AS hits, count(*) FILTER (WHERE gated) AS gated, count(*) FILTER (WHERE loose) AS loose FROM h GROUP BY 1), w AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in _WORDS) + "]) AS keyword) SELECT keyword, coalesce(hits, 0) AS hits, coalesce(gated, 0) AS gated, coalesce(loose, 0) AS loose, coalesce(examples, '') AS examples, CASE WHEN hits IS NULL THEN 'ZERO' WHEN hits < 3 THEN 'low' ELSE 'ok' END AS tag FROM w LEFT JOIN c USING (keyword) LEFT JOIN e USING (keyword)")
+def _audited(spark, d):
+    return TH.audit(_docs(spark, d), "text", "doc_id", _THEMES, 20)
+
+
+@query(f"WITH {_AUDIT} SELECT * FROM a")
 def a23_keyword_audit(spark, d):
-    return TH.keyword_audit(_docs(spark, d), "text", "doc_id", _WORDS, _THEMES["license"], 20)
+    return _audited(spark, d)
 
 
-@query(_theme_sql().replace("SELECT doc_id,", "SELECT sum(theme_license::INT)::BIGINT AS license, sum(theme_tokens::INT)::BIGINT AS tokens, sum(theme_common::INT)::BIGINT AS common, count(*) AS corpus FROM (SELECT doc_id,", 1) + ")")
+@query(f"WITH {_AUDIT} SELECT theme, max(gated) FILTER (WHERE kind = 'theme') AS gated, max(examples) FILTER (WHERE kind = 'theme') AS sample, count(*) FILTER (WHERE kind = 'keyword') AS keywords, coalesce(string_agg(pattern, ',' ORDER BY place) FILTER (WHERE kind = 'keyword' AND tag = 'ZERO'), '') AS zero_hit, coalesce(string_agg(pattern, ',' ORDER BY place) FILTER (WHERE kind = 'keyword' AND tag = 'low'), '') AS low_hit, (coalesce(sum(loose) FILTER (WHERE kind = 'keyword'), 0))::BIGINT AS loose FROM a GROUP BY theme")
 def a24_audit_report(spark, d):
-    t = TH.theme_flags(_docs(spark, d), "text", _THEMES)
-    return t.agg(*[F.count_if(f"theme_{k}").alias(k) for k in _THEMES], F.count("*").alias("corpus"))
+    return TH.audit_report(_audited(spark, d))
+
+
+@query("SELECT theme, pattern, doc_id FROM (" + " UNION ALL ".join(_hits(*e) for e in _ENTRIES if e[1] == "keyword") + ") WHERE loose")
+def a23_loose_keys(spark, d):
+    own = spark.createDataFrame([(i, e[0], e[2]) for i, e in enumerate(_ENTRIES) if e[1] == "keyword"], "entry int, theme string, pattern string")
+    hits = TH.keyword_hits(_docs(spark, d), "text", "doc_id", _THEMES, 20).where("loose")
+    return hits.join(F.broadcast(own), "entry").select("theme", "pattern", "doc_id")
+
+
+@query(f"WITH {_AUDIT} SELECT theme, row_number() OVER (PARTITION BY theme ORDER BY hits DESC, place)::INT AS rank, pattern, hits, examples FROM a WHERE kind = 'candidate' AND hits >= 3")
+def a34_candidates(spark, d):
+    return TH.candidates(_audited(spark, d))
 
 
-@query("SELECT phrase, count(*) AS hits FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS phrase FROM documents WHERE lang = 'en') WHERE phrase NOT IN ('that', 'with') GROUP BY 1 HAVING count(*) >= 3 ORDER BY hits DESC, phrase LIMIT 8")
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents), g AS (SELECT doc_id, w AS g FROM w UNION ALL SELECT doc_id, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] FROM w WHERE len(w) >= 2 UNION ALL SELECT doc_id, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] FROM w WHERE len(w) >= 3) SELECT phrase, count(*) AS hits FROM (SELECT DISTINCT doc_id, unnest(g) AS phrase FROM g) WHERE phrase NOT IN ('that', 'with') GROUP BY 1 HAVING count(*) >= 3 ORDER BY hits DESC, phrase LIMIT 8")
 def a34_mining(spark, d):
-    return TH.mine(_docs(spark, d).where("sector = 'en'"), "text", ["that", "with"])
+    return TH.mine(_docs(spark, d), "text", "doc_id", ["that", "with"], 3)
 
 
 _MENU = "len(regexp_extract_all({0}, '(?i)\\b(" + "|".join(text.MENU) + ")\\b'))"
