@@ -103,14 +103,6 @@ def prefer(df: DataFrame, flag: str) -> DataFrame:
     return df.crossJoin(F.broadcast(any_)).where(F.col(flag) | ~F.coalesce("_any", F.lit(False))).drop("_any")  # one row
 
 
-def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """A page, clamped to the last one."""
-    total = df.count()
-    last = max(1, -(-total // size))
-    number = min(max(1, number), last)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
-
-
 def stubs(tickers: DataFrame, master: DataFrame) -> DataFrame:
     """Null-padded rows for listed tickers absent from the master, appended."""
     missing = tickers.join(master, "ticker", "left_anti").dropDuplicates(["ticker"])

@@ -11,31 +11,6 @@ from equiloom.functions import text
 from equiloom.operators.company import first_per_key
 
 
-def scan_list(companies: DataFrame, kind: str, held: DataFrame | None = None) -> DataFrame:
-    """A scan's companies: All, NSE with its small-company board, a single
-    board, SME boards, or those of a list of tickers, stubs where absent."""
-    if kind == "All":
-        return companies
-    if kind == "SME":
-        return companies.where(F.col("market").rlike("\\bSME\\b"))
-    if kind == "NSE":
-        return companies.where(F.col("market").isin("NSE", "NSE SME"))
-    if held is None:
-        return companies.where(F.col("market") == kind)
-    tickers = held.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
-    kept = companies.join(tickers, "ticker", "left_semi")
-    return kept.unionByName(tickers.join(companies, "ticker", "left_anti"), allowMissingColumns=True)
-
-
-def chips(companies: DataFrame, lists: dict[str, DataFrame], sme: bool = False, green: Column | None = None) -> DataFrame:
-    """Companies that pass every chip that is on: each a list of tickers, a
-    small-company board, or all-green figures."""
-    out = companies.where(F.col("market").rlike("\\bSME\\b")) if sme else companies
-    if green is not None:
-        out = out.where(F.coalesce(green, F.lit(False)))
-    return reduce(lambda df, x: df.join(x.select("ticker").distinct(), "ticker", "left_semi"), lists.values(), out)
-
-
 def fill_sector(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """Sector and sub-sector of the class where the row's sector is blank or a
     dash; other rows keep theirs."""
@@ -64,8 +39,9 @@ def curated_order(summary: DataFrame, curated: dict[str, int]) -> list[Column]:
 
 
 def consensus_order() -> list[Column]:
-    """More investors, more new ones, greater value, then the symbol."""
-    return [F.desc("investors"), F.desc("new_count"), F.coalesce("total_value", F.lit(0.0)).desc(), F.asc("symbol")]
+    """More investors, more new ones, more that add, greater value, then the
+    symbol."""
+    return [F.desc("investors"), F.desc("new_count"), F.desc("increased_count"), F.coalesce("total_value", F.lit(0.0)).desc(), F.asc("symbol")]
 
 
 def collapse(rows: DataFrame, *keys: str) -> DataFrame:

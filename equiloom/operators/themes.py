@@ -55,14 +55,13 @@ def _numbers(ids) -> Column:
     return F.array(*map(F.lit, ids)) if len(ids) else F.array().cast("array<int>")
 
 
-def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str = "") -> DataFrame:
-    """Rows of some theme or of the custom pattern, without the text, with the
-    ids of their themes, the clauses that matched and the phrases to highlight,
-    longest first."""
+def theme_columns(df: DataFrame, column: str, themes: dict[str, dict], custom: str = "") -> DataFrame:
+    """Every row without the text, with `theme_hit` (whether some theme or the
+    custom pattern matches), the ids of its themes, the clauses that matched and
+    the phrases to highlight, longest first."""
     phrases = Phrases([*(t["pattern"] for t in themes.values()), *([custom] if custom.strip() else [])])
     hits = [(k, t["pattern"], _matches(phrases, t)) for k, t in themes.items()]
     hits += [(None, custom, holds(phrases, custom))] if custom.strip() else []
-    rows = scan(df, column, phrases, *_others(df, column)).where(reduce(lambda a, b: a | b, [ok for *_, ok in hits]))
     none = F.array().cast("array<int>")
     # Clauses in the patterns' order, of the patterns that match.
     clauses = F.array_distinct(F.flatten(F.array(*[F.when(ok, F.filter(_numbers(phrases.of[p]), lambda c: F.array_contains("clauses", c))).otherwise(none) for _, p, ok in hits])))
@@ -70,8 +69,8 @@ def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str
     lit = F.array_distinct(F.flatten(F.transform("which", lambda c: F.filter(F.get(terms, c), lambda t: F.array_contains("terms", t)))))
     by_length = F.transform(F.array_sort(F.transform("lit", lambda t, i: F.struct((-F.length(F.get(F.array(*map(F.lit, phrases.terms)), t))).alias("n"), i.alias("i"), t.alias("t")))), lambda r: r["t"])
     return (
-        rows.withColumn("theme_ids", F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, _, ok in hits if k is not None])))
-        .withColumn("which", clauses)
+        scan(df, column, phrases, *_others(df, column))
+        .withColumns({"theme_hit": reduce(lambda a, b: a | b, [ok for *_, ok in hits], F.lit(False)), "theme_ids": F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, _, ok in hits if k is not None])), "which": clauses})
         .withColumn("lit", lit)
         .withColumn("highlights", _named(by_length, phrases.terms))
         .drop("clauses")
@@ -80,6 +79,11 @@ def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str
     )
 
 
+def theme_rows(df: DataFrame, column: str, themes: dict[str, dict], custom: str = "") -> DataFrame:
+    """Those rows of `theme_columns` that match."""
+    return theme_columns(df, column, themes, custom).where("theme_hit").drop("theme_hit")
+
+
 def merge_portfolio(rows: DataFrame, universe: DataFrame, holdings: DataFrame, column: str, themes: dict[str, dict]) -> DataFrame:
     """Rows, and held companies of a theme that they lack."""
     held = theme_rows(universe.join(holdings.select("ticker").distinct(), "ticker", "left_semi"), column, themes)

@@ -99,21 +99,6 @@ def _signals(spark, d):
     return D.company(spark, d).select("*", (k % 3 == 0).alias("has_bb"), (k % 4 == 0).alias("has_tq"), (k % 5 == 1).alias("has_ema"))
 
 
-@query(W("company") + _SIG + " SELECT count(*) AS n, count(*) FILTER (WHERE has_bb) AS bb, count(*) FILTER (WHERE has_tq) AS tq, count(*) FILTER (WHERE has_ema) AS ema, count(*) FILTER (WHERE has_bb AND has_tq) AS bb_tq, count(*) FILTER (WHERE has_bb OR has_tq OR has_ema) AS any_signal FROM sig WHERE market IN ('NSE', 'NSE SME')")
-def a03_facets(spark, d):
-    s = _signals(spark, d).where(C.market_filter("NSE", True))
-    n = lambda c, a: F.count_if(c).alias(a)
-    bb, tq, ema = (F.col(c) for c in ("has_bb", "has_tq", "has_ema"))
-    return s.agg(F.count("*").alias("n"), n(bb, "bb"), n(tq, "tq"), n(ema, "ema"), n(bb & tq, "bb_tq"), n(bb | tq | ema, "any_signal"))
-
-
-@query(W("company") + _SIG + ", hit AS (SELECT ticker, name, coalesce(mcap_cr, 0) AS sort_key FROM sig WHERE market = 'NSE' AND (has_bb OR has_tq)), ranked AS (SELECT *, row_number() OVER (ORDER BY sort_key DESC, ticker) - 1 AS i, count(*) OVER () AS n FROM hit) SELECT ticker, name, sort_key FROM ranked WHERE i // 10 = least(1, (n - 1) // 10)")
-def o01_screener_page(spark, d):
-    s = _signals(spark, d).where(C.market_filter("NSE") & C.signal_filter(True, True, False, False))
-    s = s.select("ticker", "name", F.coalesce("mcap_cr", F.lit(0.0)).alias("sort_key"))
-    return C.page(s, [F.desc("sort_key"), "ticker"], 2, 10)
-
-
 @query(W("company") + _SIG + " SELECT ticker FROM sig WHERE (has_bb AND has_tq AND has_ema) OR NOT (SELECT coalesce(bool_or(has_bb AND has_tq AND has_ema), false) FROM sig)")
 def f15_prefer(spark, d):
     s = _signals(spark, d).withColumn("f", C.signal_filter(True, True, True, True))

@@ -18,19 +18,6 @@ from equiloom.sources.domain import with_sql as W
 _COMPANY = W("company")
 
 
-@query(_COMPANY + ", f AS (SELECT ticker FROM company WHERE k % 6 = 0 UNION SELECT 'X' || k FROM company WHERE k % 50 = 0) SELECT f.ticker, c.name FROM f LEFT JOIN company c USING (ticker)")
-def f02_scan_list(spark, d):
-    c = D.company(spark, d)
-    held = c.where("k % 6 = 0").select("ticker").unionByName(c.where("k % 50 = 0").select(F.concat(F.lit("x"), F.col("k").cast("string")).alias("ticker")))
-    return L.scan_list(c, "fund", held).select("ticker", "name")
-
-
-@query(_COMPANY + " SELECT ticker FROM company WHERE market = 'NSE SME' AND k % 2 = 0 AND k % 3 = 0 AND mcap_cr > 50")
-def f16_chips(spark, d):
-    c = D.company(spark, d)
-    return L.chips(c, {"hold": c.where("k % 2 = 0"), "edge": c.where("k % 3 = 0")}, sme=True, green=F.col("mcap_cr") > 50).select("ticker")
-
-
 @query(_COMPANY + ", r AS (SELECT ticker AS symbol, CASE WHEN k % 3 = 0 THEN '—' WHEN k % 3 = 1 THEN 'Own' END AS sector, CAST(NULL AS VARCHAR) AS sub_sector FROM company), c AS (SELECT ticker, sector, sub_sector FROM company WHERE k % 4 <> 0) SELECT symbol, CASE WHEN coalesce(trim(r.sector), '') IN ('', '—') AND c.ticker IS NOT NULL THEN coalesce(c.sector, r.sector) ELSE r.sector END AS sector, CASE WHEN coalesce(trim(r.sector), '') IN ('', '—') AND c.ticker IS NOT NULL THEN coalesce(c.sub_sector, r.sub_sector) ELSE r.sub_sector END AS sub_sector FROM r LEFT JOIN c ON c.ticker = r.symbol")
 def j17_fill_sector(spark, d):
     c, k = D.company(spark, d), F.col("k")
@@ -85,12 +72,12 @@ def a21_greatest_row(spark, d):
     return L.greatest_rows(_held(spark, d), ["symbol"], "value", "investor").select("symbol", "investor", "value")
 
 
-@query(_H + ", c AS (SELECT symbol, count(DISTINCT investor) AS investors, count(*) FILTER (WHERE change_type = 'new') AS new_count, sum(value::DECIMAL(18,2))::DOUBLE AS total_value FROM hp GROUP BY symbol) SELECT symbol, investors, new_count, row_number() OVER (ORDER BY investors DESC, new_count DESC, total_value DESC, symbol) AS place FROM c WHERE investors >= 2 QUALIFY place <= 25")
+@query(_H + ", c AS (SELECT symbol, count(DISTINCT investor) AS investors, count(*) FILTER (WHERE change_type = 'new') AS new_count, count(*) FILTER (WHERE change_type = 'increased') AS increased_count, sum(value::DECIMAL(18,2))::DOUBLE AS total_value FROM hp GROUP BY symbol) SELECT symbol, investors, new_count, increased_count, row_number() OVER (ORDER BY investors DESC, new_count DESC, increased_count DESC, total_value DESC, symbol) AS place FROM c WHERE investors >= 2 QUALIFY place <= 25")
 def o06_consensus_order(spark, d):
     from pyspark.sql import Window
 
     top = H.consensus(_held(spark, d)).orderBy(*L.consensus_order()).limit(25)  # a report's length
-    return top.select("symbol", "investors", "new_count", F.row_number().over(Window.orderBy(*L.consensus_order())).cast("long").alias("place"))
+    return top.select("symbol", "investors", "new_count", "increased_count", F.row_number().over(Window.orderBy(*L.consensus_order())).cast("long").alias("place"))
 
 
 _CURATED = {"MACHINERY-3": 0, "AUTOMOBILE-1": 1}

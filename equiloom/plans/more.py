@@ -263,11 +263,21 @@ def t12_designation(spark, d):
     return D.table(spark, d, "customer").select("c_custkey", text.designation_of(F.when(m == 1, "Chairperson").otherwise("NA"), seg, F.lower(seg)).alias("designation"))
 
 
-@query(W("company") + """ SELECT ticker, '"' || lower(name) || '" (stock OR shares OR NSE)' AS query FROM company""")
+@query(W("company") + """ SELECT ticker, CASE k % 4 WHEN 0 THEN '"' || name || '" (stock OR shares OR NSE)' WHEN 1 THEN '("Acme" OR LONG' || k || ') (stock OR shares OR NSE)'
+ WHEN 2 THEN CASE WHEN length(ticker) >= 6 THEN '("' || ticker || '" OR ' || ticker || ') (stock OR shares OR NSE)' ELSE '"' || ticker || '" (stock OR shares OR NSE OR SME OR crore)' END
+ ELSE '"solar power grid works ' || k || '" (stock OR shares OR NSE OR order OR revenue)' END AS query FROM company""")
 def t24_news_query(spark, d):
-    """A name of one telling word has no phrase of two."""
-    c = D.company(spark, d)
-    return c.select("ticker", F.lower(text.news_query(F.col("name"), F.col("ticker"))).alias("q")).select("ticker", F.regexp_replace("q", "\\(stock or shares or nse\\)$", "(stock OR shares OR NSE)").alias("query"))
+    c, k, n = D.company(spark, d), F.col("k") % 4, F.col("k").cast("string")
+    name = F.when(k == 0, F.col("name")).when(k == 1, F.lit('"Acme"')).when(k == 3, F.concat(F.lit('Solar Power "Grid" Works '), n))
+    symbol = F.when(k == 1, F.concat(F.lit("Long"), n, F.lit("-SM.NS"))).otherwise(F.concat("ticker", F.lit(".NS")))
+    return c.select("ticker", text.news_query(name, symbol).alias("query"))
+
+
+@query("SELECT DISTINCT p_type, CASE WHEN p_type LIKE '%TIN%' THEN 'Executive' WHEN p_type LIKE '%BRASS%' THEN 'Independent' ELSE '' END AS category FROM part")
+def t11_written_category(spark, d):
+    p = F.col("p_type")
+    said = F.when(p.contains("TIN"), F.concat(F.lit("CTO "), p)).when(p.contains("BRASS"), F.concat(F.lit("independent managing "), p)).otherwise(F.lit("MD in charge"))
+    return D.table(spark, d, "part").select("p_type", text.infer_category(said, True).alias("category")).distinct()
 
 
 @query("SELECT o_orderkey, o_custkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DOUBLE AS invested FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

@@ -31,6 +31,14 @@ def one(spark, column):
         (lambda: num.indian_grouping(F.lit(1234567)), "12,34,567"),
         (lambda: text.norm_din(F.lit("12-34")), "00001234"),
         (lambda: text.infer_category(F.lit("Non-Executive Director")), "Executive"),
+        (lambda: text.infer_category(F.lit("CFO")), ""),
+        (lambda: text.infer_category(F.lit("CFO"), True), "Executive"),
+        (lambda: text.infer_category(F.lit("MD"), True), ""),
+        (lambda: text.news_query(F.lit('Acme "X"'), F.lit("acmelt-sm.ns")), '("Acme X" OR ACMELT) (stock OR shares OR NSE)'),
+        (lambda: text.news_query(F.lit("Acme"), F.lit("ACM.BO")), '"Acme" (stock OR shares OR NSE OR SME OR crore)'),
+        (lambda: text.news_query(F.lit(None).cast("string"), F.lit("ACM.BO")), '"ACM" (stock OR shares OR NSE OR SME OR crore)'),
+        (lambda: text.news_query(F.lit(""), F.lit("")), ""),
+        (lambda: text.news_query(F.lit("Tata Motors Limited"), F.lit("TATAMOTORS.NS")), '"tata motors limited" (stock OR shares OR NSE OR order OR revenue)'),
         (lambda: text.csv_escape(F.lit('a"b')), '"a""b"'),
         (lambda: dates.trading_friday(F.lit("2024-03-03").cast("date")), dt.date(2024, 3, 8)),
         (lambda: dates.trading_friday(F.lit("2024-03-02").cast("date")), dt.date(2024, 3, 1)),
