@@ -263,13 +263,13 @@ def t12_designation(spark, d):
     return D.table(spark, d, "customer").select("c_custkey", text.designation_of(F.when(m == 1, "Chairperson").otherwise("NA"), seg, F.lower(seg)).alias("designation"))
 
 
-@query(W("company") + """ SELECT ticker, CASE k % 4 WHEN 0 THEN '"' || name || '" (stock OR shares OR NSE)' WHEN 1 THEN '("Acme" OR LONG' || k || ') (stock OR shares OR NSE)'
+@query(W("company") + """ SELECT ticker, CASE k % 4 WHEN 0 THEN '"' || name || '" (stock OR shares OR NSE)' WHEN 1 THEN '("Acme" OR LONGER' || k || ') (stock OR shares OR NSE)'
  WHEN 2 THEN CASE WHEN length(ticker) >= 6 THEN '("' || ticker || '" OR ' || ticker || ') (stock OR shares OR NSE)' ELSE '"' || ticker || '" (stock OR shares OR NSE OR SME OR crore)' END
  ELSE '"solar power grid works ' || k || '" (stock OR shares OR NSE OR order OR revenue)' END AS query FROM company""")
 def t24_news_query(spark, d):
     c, k, n = D.company(spark, d), F.col("k") % 4, F.col("k").cast("string")
     name = F.when(k == 0, F.col("name")).when(k == 1, F.lit('"Acme"')).when(k == 3, F.concat(F.lit('Solar Power "Grid" Works '), n))
-    symbol = F.when(k == 1, F.concat(F.lit("Long"), n, F.lit("-SM.NS"))).otherwise(F.concat("ticker", F.lit(".NS")))
+    symbol = F.when(k == 1, F.concat(F.lit("Longer"), n, F.lit("-SM.NS"))).otherwise(F.concat("ticker", F.lit(".NS")))
     return c.select("ticker", text.news_query(name, symbol).alias("query"))
 
 
