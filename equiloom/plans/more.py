@@ -14,7 +14,6 @@ from equiloom.plans.base import query
 from equiloom.plans.company import _ROWS
 from equiloom.plans.market import _VAL, _YOY, _r
 from equiloom.sources import domain as D
-from equiloom.sources import parsers as P
 from equiloom.sources.domain import with_sql as W
 
 
@@ -57,15 +56,6 @@ def s36_quote_merge(spark, d):
     return e.select("*", F.coalesce("click_value", "any_value").alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('A. Alder', '00001234', 'Chairperson'), ('B. Birch', '00005678', 'Director')) v(director, din, designation)")
-def s30_board_table(spark, d):
-    """Rows of an HTML board table, found by its header."""
-    html = "<table><tr><th>Sr</th><th>Name of the Director</th><th>DIN</th><th>Designation</th></tr><tr><td>1</td><td><b>A. Alder</b></td><td>1234</td><td>Chairperson</td></tr><tr><td>2</td><td>B. Birch</td><td>5678</td><td>Director</td></tr></table>"
-    r = spark.range(1).select(F.explode(P.table_rows(F.lit(html))).alias("c"))
-    head = F.exists("c", lambda x: F.lower(x) == "din")
-    return r.where(~head & (F.size("c") >= 4)).select(F.get("c", F.lit(1)).alias("director"), text.norm_din(F.get("c", F.lit(2))).alias("din"), F.get("c", F.lit(3)).alias("designation"))
-
-
 _MENU_TEXT = "About Us Investor Relations Board of Directors Career and a line of further words to make it long enough"
 
 
@@ -232,24 +222,6 @@ def j10_aligned(spark, d):
     return a.crossJoin(F.broadcast(top)).select("symbol", "n", "last_date", (F.col("last_date") == F.col("top")).alias("current"))  # one row
 
 
-@query("SELECT * FROM (VALUES ('Alder Fund', 1.5::DOUBLE), ('Birch', 2.25::DOUBLE)) v(holder_name, pct)")
-def s34_json_walk(spark, d):
-    doc = '{"a":[{"x":{"holder_name":"Alder Fund","pct":1.5}},{"y":1}],"b":{"c":{"holder_name":"Birch","pct":2.25},"d":{"name":"no"}}}'
-    return P.json_objects(spark.range(1).select(F.lit(doc).alias("v")), "v", "holder_name", "holder_name string, pct double")
-
-
-@query("SELECT * FROM (VALUES ('ABC', 'Abc Ltd', 12.5::DOUBLE), ('XYZ', 'Xyz', NULL)) v(ticker, name, mcap_cr)")
-def s35_listings(spark, d):
-    doc = '[{"scrip_id":"abc","scrip_name":"Abc Ltd","status":"Active","grp":"M ","mcap":12.5},{"scrip_id":"ABC","scrip_name":"Abc Ltd","status":"Active","grp":"MT","mcap":0},{"scrip_id":"XYZ","scrip_name":"Xyz","status":"Active","grp":"M","mcap":0},{"scrip_id":"OLD","scrip_name":"Old","status":"Delisted","grp":"M","mcap":9}]'
-    return P.listings(spark.range(1).select(F.lit(doc).alias("v")), "v")
-
-
-@query("SELECT * FROM (VALUES (DATE '2024-03-31', 'b.xml', true), (DATE '2023-12-31', 'c.xml', false)) v(period_end, xbrl, consolidated)")
-def s41_filings(spark, d):
-    doc = '[{"toDate":"31-Mar-2024","consolidated":"Non-Consolidated","xbrl":"a.xml"},{"toDate":"31-Mar-2024","consolidated":"Consolidated","xbrl":"b.xml"},{"toDate":"31-Dec-2023","consolidated":"Standalone","xbrl":"c.xml"},{"toDate":"30-Sep-2023","consolidated":"Consolidated","xbrl":"-"}]'
-    return P.filings(spark.range(1).select(F.lit(doc).alias("v")), "v")
-
-
 @query(W("company") + " SELECT ticker, coalesce(mcap_cr <= 500, true) AS nanocap, coalesce(mcap_cr <= 6000, true) AS venture, true AS other FROM company")
 def f13_cap_gate(spark, d):
     m = F.col("mcap_cr")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from equiloom.plans import base, company, flows, lists, market, more, screener, texts
+from equiloom.plans import base, company, flows, lists, market, more, parsers, screener, texts
 
 
 def queries() -> dict:
-    assert company and flows and lists and market and more and screener and texts
+    assert company and flows and lists and market and more and parsers and screener and texts
     return dict(base.QUERIES)
 
 

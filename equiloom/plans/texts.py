@@ -8,7 +8,6 @@ from equiloom.functions import num, text
 from equiloom.operators import themes as TH
 from equiloom.plans.base import query
 from equiloom.sources import domain as D
-from equiloom.sources import parsers as P
 from equiloom.sources.domain import with_sql as W
 
 
@@ -250,12 +249,6 @@ def t13_strip_tags(spark, d):
     return p.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1))::INT AS paragraphs, len(regexp_extract_all(html, '(?is)<a\s[^>]*href=', 0))::INT AS links FROM pages")
-def s32_row_extract(spark, d):
-    part = lambda r, i: F.size(F.regexp_extract_all("html", F.lit(r), F.lit(i)))
-    return D.table(spark, d, "pages").select("page_id", part("(?is)<p[^>]*>(.*?)</p>", 1).alias("paragraphs"), part("(?is)<a\\s[^>]*href=", 0).alias("links"))
-
-
 # --- names ---
 
 
@@ -279,41 +272,3 @@ def t25_side(spark, d):
 def t20_grouping(spark, d):
     o = D.table(spark, d, "orders")
     return o.select("o_orderkey", num.indian_grouping(F.floor("o_totalprice")).alias("grouped"))
-
-
-# --- parsers over inline text ---
-
-
-def _inline(spark, value: str):
-    return spark.range(1).select(F.lit(value).alias("v"))
-
-
-@query("SELECT * FROM (VALUES (DATE '2024-03-05', 'ABC', 'ALDER, FUND', 'BUY', 1200.0::DOUBLE, 10.5::DOUBLE), (DATE '2024-03-06', 'XYZ', 'BIRCH', 'SELL', 50.0::DOUBLE, NULL::DOUBLE)) v(trade_date, symbol, client, side, quantity, price)")
-def s23_deal_csv(spark, d):
-    lines = ['05-Mar-2024,ABC.NS,"ABC, LTD","ALDER, FUND",B,"1,200",10.5', "06/03/2024,NSE:XYZ,XYZ,BIRCH,SELL,50,-"]
-    return P.csv_deals(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in lines])).alias("v")), "v")
-
-
-_XBRL = "<x:xbrl><x:context id='OneD'><x:period><x:endDate>2024-03-31</x:endDate></x:period></x:context><x:context id='FourD'><x:period><x:endDate>2024-03-31</x:endDate></x:period></x:context><f:RevenueFromOperations contextRef='OneD'>483620000</f:RevenueFromOperations><f:ProfitLossForPeriod contextRef='OneD'>41703000</f:ProfitLossForPeriod><f:BasicEarningsLossPerShare contextRef='OneD'>3.17</f:BasicEarningsLossPerShare><f:RevenueFromOperations contextRef='FourD'>1011029000</f:RevenueFromOperations></x:xbrl>"
-
-
-@query("SELECT * FROM (VALUES ('OneD', DATE '2024-03-31', 483620000.0::DOUBLE, 41703000.0::DOUBLE, 3.17::DOUBLE), ('FourD', DATE '2024-03-31', 1011029000.0::DOUBLE, NULL, NULL)) v(context, period_end, revenue, net_income, eps)")
-def s28_xbrl(spark, d):
-    return P.xbrl_quarters(_inline(spark, _XBRL), "v")
-
-
-@query("SELECT * FROM (VALUES ('Alder wins order', 'https://a.example', TIMESTAMP '2024-03-05 10:00:00'), ('Birch falls', 'https://b.example', TIMESTAMP '2024-03-06 11:30:00')) v(title, link, published)")
-def s33_feed(spark, d):
-    feed = "<rss><channel><item><title>Alder wins order</title><link>https://a.example</link><pubDate>05 Mar 2024 10:00:00</pubDate></item><item><title>Birch falls</title><link>https://b.example</link><pubDate>06 Mar 2024 11:30:00</pubDate></item></channel></rss>"
-    return P.feed_items(_inline(spark, feed), "v").withColumn("published", F.col("published").cast("timestamp_ntz"))
-
-
-@query("SELECT * FROM (VALUES ('ABC', '00001234', 'A. Alder', 'Independent Director', 'Independent'), ('ABC', 'n:b birch', 'Mr. B. Birch', 'Managing Director', 'Executive')) v(ticker, person_id, director, designation, category)")
-def s31_board_json(spark, d):
-    doc = '{"symbol":"ABC.NS","data":[{"name":"A. Alder","din":"1234","designation":"Independent Director","status":"Active"},{"name":"Mr. B. Birch","designation":"Managing Director"},{"name":"C","din":"9","designation":"Director","status":"Cessation"}]}'
-    return P.board_json(_inline(spark, doc), "v")
-
-
-@query("SELECT * FROM (VALUES (DATE '2024-03-31', 100.0::DOUBLE, 12.5::DOUBLE, 8.0::DOUBLE), (DATE '2024-02-28', 90.0::DOUBLE, 9.0::DOUBLE, 7.0::DOUBLE)) v(period_end, revenue, ebit, net_income)")
-def s29_results_json(spark, d):
-    return P.results_json(_inline(spark, '{"d":"{\\"periods\\":[\\"Mar-24\\",\\"Feb-24\\"],\\"sales\\":[100,90],\\"opm\\":[12.5,10],\\"np\\":[8,7]}"}'), "v")

@@ -8,34 +8,11 @@ from pyspark.sql import functions as F
 from equiloom.functions import dates, num, text
 
 
-def csv_deals(df: DataFrame, column: str) -> DataFrame:
-    """Deal lines `date,symbol,"name",client,side,qty,price`; stray `,,` and
-    `,LTD` are mended first."""
-    clean = F.regexp_replace(F.regexp_replace(column, ",,+", ","), ",LTD", " LTD")
-    s = df.select(F.from_csv(clean, "d string, symbol string, name string, client string, side string, qty string, price string", {"quote": '"', "escape": '"'}).alias("r"))
-    return s.select(
-        dates.parse_trade_date(F.col("r.d")).alias("trade_date"), text.bare_symbol(F.col("r.symbol")).alias("symbol"), F.trim("r.client").alias("client"),
-        text.normalize_side(F.col("r.side")).alias("side"), num.parse_num(F.col("r.qty")).alias("quantity"), num.parse_num(F.col("r.price")).alias("price"),
-    )
-
-
-def xbrl_quarters(df: DataFrame, column: str) -> DataFrame:
-    """Facts of the contexts OneD (quarter) and FourD (year to date)."""
-    x = F.regexp_replace(column, "<(/?)[A-Za-z0-9-]+:", "<$1")
-    fact = lambda tag, ctx: F.xpath_string(x, F.lit(f"//{tag}[@contextRef='{ctx}']/text()")).try_cast("double")
-    rows = [
-        F.struct(F.lit(c).alias("context"), F.xpath_string(x, F.lit(f"//context[@id='{c}']/period/endDate/text()")).try_cast("date").alias("period_end"),
-                 fact("RevenueFromOperations", c).alias("revenue"), fact("ProfitLossForPeriod", c).alias("net_income"), fact("BasicEarningsLossPerShare", c).alias("eps"))
-        for c in ("OneD", "FourD")
-    ]
-    return df.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("revenue is not null or net_income is not null")
-
-
-def feed_items(df: DataFrame, column: str, most: int = 20) -> DataFrame:
+def feed_items(df: DataFrame, column: str, *keep: str, most: int = 20) -> DataFrame:
     """title, link and date of a feed's items, the first of them."""
     get = lambda tag: F.xpath(F.col(column), F.lit(f"//item/{tag}/text()"))
     items = F.slice(F.arrays_zip(get("title").alias("title"), get("link").alias("link"), get("pubDate").alias("published")), 1, most)
-    return df.select(F.explode(items).alias("i")).select(F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.to_timestamp("i.published", "dd MMM yyyy HH:mm:ss").alias("published"))
+    return df.select(*keep, F.explode(items).alias("i")).select(*keep, F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.to_timestamp("i.published", "dd MMM yyyy HH:mm:ss").alias("published"))
 
 
 def board_json(df: DataFrame, column: str) -> DataFrame:
@@ -46,24 +23,12 @@ def board_json(df: DataFrame, column: str) -> DataFrame:
     return d.where(~gone).select(text.bare_symbol(F.col("symbol")).alias("ticker"), text.person_id(F.col("d.din"), F.col("d.name")).alias("person_id"), F.col("d.name").alias("director"), F.col("d.designation").alias("designation"), text.infer_category(F.col("d.designation")).alias("category"))
 
 
-def results_json(df: DataFrame, column: str) -> DataFrame:
+def results_json(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """Result columns v1..v3 of JSON within JSON, by period; EBIT is revenue
     times the operating margin."""
     inner = F.from_json(F.get_json_object(column, "$.d"), "struct<periods:array<string>, sales:array<double>, opm:array<double>, np:array<double>>")
-    z = df.select(inner.alias("j")).select(F.explode(F.arrays_zip(F.col("j.periods").alias("p"), F.col("j.sales").alias("s"), F.col("j.opm").alias("o"), F.col("j.np").alias("n"))).alias("z"))
-    return z.select(dates.period_end(F.col("z.p")).alias("period_end"), F.col("z.s").alias("revenue"), num.js_round(F.col("z.s") * F.col("z.o") / 100, 2).alias("ebit"), F.col("z.n").alias("net_income"))
-
-
-def table_rows(html: Column) -> Column:
-    """Cells of the rows of an HTML table, tags stripped."""
-    rows = F.regexp_extract_all(html, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "\\s+", " "))))
-
-
-def json_objects(df: DataFrame, column: str, key: str, schema: str) -> DataFrame:
-    """The innermost objects of a document, at any depth, that hold a key."""
-    found = F.filter(F.regexp_extract_all(F.col(column), F.lit("(\\{[^{}]*\\})"), F.lit(1)), lambda x: F.get_json_object(x, f"$.{key}").isNotNull())
-    return df.select(F.explode(found).alias("o")).select(F.from_json("o", schema).alias("o")).select("o.*")
+    z = df.select(*keep, inner.alias("j")).select(*keep, F.explode(F.arrays_zip(F.col("j.periods").alias("p"), F.col("j.sales").alias("s"), F.col("j.opm").alias("o"), F.col("j.np").alias("n"))).alias("z"))
+    return z.select(*keep, dates.period_end(F.col("z.p")).alias("period_end"), F.col("z.s").alias("revenue"), num.js_round(F.col("z.s") * F.col("z.o") / 100, 2).alias("ebit"), F.col("z.n").alias("net_income"))
 
 
 def listings(df: DataFrame, column: str) -> DataFrame:
@@ -73,11 +38,30 @@ def listings(df: DataFrame, column: str) -> DataFrame:
     return r.groupBy(F.upper("scrip_id").alias("ticker")).agg(F.min("scrip_name").alias("name"), F.max(F.when(F.col("mcap") > 0, F.col("mcap"))).alias("mcap_cr"))
 
 
-def filings(df: DataFrame, column: str) -> DataFrame:
-    """Filings with a machine-readable document, latest first; of a period the
-    consolidated one is preferred."""
-    schema = "array<struct<toDate:string, consolidated:string, xbrl:string, broadcast:string>>"
-    r = df.select(F.explode(F.from_json(column, schema)).alias("r")).select("r.*").where("xbrl is not null and xbrl like '%.xml'")
-    whole = ~F.lower("consolidated").rlike("non|stand")
-    g = r.select(dates.parse_trade_date(F.col("toDate")).alias("period_end"), whole.alias("whole"), "xbrl").groupBy("period_end")
-    return g.agg(F.max_by("xbrl", F.struct(F.col("whole"), F.col("xbrl"))).alias("xbrl"), F.max("whole").alias("consolidated")).orderBy(F.desc("period_end"))
+def integrated_filings(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Filings of a list, or of one under `data`, that have a document of the
+    integrated kind and a quarter's end: (period_end, xbrl, consolidated, place
+    in the list)."""
+    schema = "array<struct<qe_Date:string, consolidated:string, xbrl:string>>"
+    whole = F.when(F.trim(column).startswith("["), F.from_json(column, schema)).otherwise(F.from_json(F.get_json_object(column, "$.data"), schema))
+    r = df.select(*keep, F.posexplode(whole).alias("place", "r")).select(*keep, "place", "r.*")
+    said = F.lower(F.coalesce("consolidated", F.lit("")))
+    end = dates.quarter_end_iso(F.col("qe_Date")).cast("date")
+    return r.where(F.trim("xbrl").startswith("http") & F.upper("xbrl").contains("INDAS")).select(*keep, end.alias("period_end"), F.trim("xbrl").alias("xbrl"), (~(said.contains("non") | said.contains("stand"))).alias("consolidated"), "place").where("period_end is not null")
+
+
+def corporate_filings(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Filings of the older kind: (period_end, from_date, xbrl, consolidated,
+    half: of half a year, broadcast_ms)."""
+    schema = "array<struct<toDate:string, fromDate:string, consolidated:string, xbrl:string, relatingTo:string, period:string, broadCastDate:string, exchdisstime:string>>"
+    r = df.select(*keep, F.explode(F.from_json(column, schema)).alias("r")).select(*keep, "r.*").where(F.trim("xbrl").startswith("http"))
+    said, day = F.lower(F.coalesce("consolidated", F.lit(""))), lambda c: dates.quarter_end_iso(F.col(c)).cast("date")
+    half = F.lower(F.concat_ws(" ", "relatingTo", "period")).contains("half")
+    sent = dates.broadcast_ms(F.coalesce(F.nullif("broadCastDate", F.lit("")), "exchdisstime"))
+    return r.select(*keep, day("toDate").alias("period_end"), day("fromDate").alias("from_date"), F.trim("xbrl").alias("xbrl"), (~(said.contains("non") | said.contains("stand"))).alias("consolidated"), half.alias("half"), sent.alias("broadcast_ms")).where("period_end is not null")
+
+
+def pick_filings(filings: DataFrame, *keys: str) -> DataFrame:
+    """Of a quarter the consolidated filing, or else the first of the list."""
+    best = F.min_by(F.struct("xbrl", "consolidated"), F.struct(~F.col("consolidated"), "place"))
+    return filings.groupBy(*keys, "period_end").agg(best.alias("b")).select(*keys, "period_end", "b.xbrl", "b.consolidated")
