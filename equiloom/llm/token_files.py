@@ -32,8 +32,9 @@ from equiloom.llm.mixing_coder import BLOCK, decode, encode, prior
 from equiloom.llm.piece_encoder import Encoder
 
 CHUNK_IDS = 2 << 20
-MAGIC = b"CMR2"
-_HEAD = "<5Q6I"
+MAGIC = b"CMR3"
+_HEAD = "<5Q7I"
+_SUM = "<I"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
 
 
@@ -44,40 +45,57 @@ def _encoder(path: str) -> Encoder:
 
 
 def pack(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A container: header, documents' keys (the first `nulls` are null) and
-    counts, order 0, block sizes and checksums, then the blocks' codes. Blocks
-    are shorter where there are few ids, so that many move at once; the last is
-    filled up with the commonest id."""
+    """A container: a checksum of header and tables; header; documents' keys
+    (the first `nulls` are null) and counts, order 0, block sizes and checksums
+    of the blocks' ids and codes; then the codes. Blocks are shorter where there
+    are few ids, so that many move at once; the last is filled up with the
+    commonest id."""
     block = int(min(BLOCK, max(64, -(-len(ids) // 1024))))
     n = -(-len(ids) // block)
     known, share = prior(ids) if n else (ids, ids.astype(np.uint32))
     rows = np.full(n * block, known[share.argmax()] if n else 0, np.uint16)
     rows[: len(ids)] = ids
-    codes = encode(rows.reshape(n, block), known, share) if n else []
-    sums = np.array([zlib.crc32(c) for c in codes], np.uint32)
-    tables = [C.spread(keys.astype(np.int64)), C.spread(counts.astype(np.uint32)), C.spread(C.steps(known)), C.spread(share), C.spread(np.array([len(c) for c in codes], np.uint32)), sums.tobytes()]
-    head = MAGIC + struct.pack(_HEAD, len(keys), nulls, len(ids), n, block, *map(len, tables))
-    return head + b"".join(tables) + b"".join(codes)
+    rows = rows.reshape(n, block)
+    codes = encode(rows, known, share) if n else []
+    tables = [C.spread(keys.astype(np.int64)), C.spread(counts.astype(np.uint32)), C.spread(C.steps(known)), C.spread(share), C.spread(np.array([len(c) for c in codes], np.uint32)), _sums(rows).tobytes(), np.array([zlib.crc32(c) for c in codes], np.uint32).tobytes()]
+    head = struct.pack(_HEAD, len(keys), nulls, len(ids), n, block, *map(len, tables)) + b"".join(tables)
+    return MAGIC + struct.pack(_SUM, zlib.crc32(head)) + head + b"".join(codes)
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(np.ascontiguousarray(r).astype("<u2", copy=False)) for r in rows], np.uint32)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """What `pack` was given; a damaged container raises ValueError."""
-    if data[:4] != MAGIC:
+    """What `pack` was given; a damaged container raises ValueError. Header and
+    tables are believed once their checksum holds, a code once its own does, and
+    its block once the ids' does."""
+    at = len(MAGIC) + struct.calcsize(_SUM)
+    begin = at + struct.calcsize(_HEAD)
+    if data[: len(MAGIC)] != MAGIC or len(data) < begin:
         raise ValueError("not a token container")
-    _, nulls, n_ids, n, block, *lengths = struct.unpack_from(_HEAD, data, 4)
-    at = 4 + struct.calcsize(_HEAD)
-    tables = []
+    _, nulls, n_ids, n, block, *lengths = struct.unpack_from(_HEAD, data, at)
+    codes_at = begin + sum(lengths)
+    if struct.unpack_from(_SUM, data, len(MAGIC))[0] != zlib.crc32(memoryview(data)[at:codes_at]):
+        raise ValueError("the header's checksum differs")
+    tables, at = [], begin
     for size in lengths:
         tables.append(data[at : at + size])
         at += size
     keys, counts = C.gather(tables[0], np.int64), C.gather(tables[1], np.uint32)
     known, share = np.cumsum(C.gather(tables[2], np.uint16), dtype=np.uint16), C.gather(tables[3], np.uint32)
-    ends = at + np.cumsum(C.gather(tables[4], np.uint32).astype(np.int64))
-    codes = [data[a:z] for a, z in zip(np.append(at, ends[:-1]).tolist(), ends.tolist(), strict=True)] if n else []
-    if any(zlib.crc32(c) != s for c, s in zip(codes, np.frombuffer(tables[5], np.uint32), strict=True)):
+    ends = codes_at + np.cumsum(C.gather(tables[4], np.uint32).astype(np.int64))
+    if len(data) != (ends[-1] if n else codes_at):
+        raise ValueError("the container's length differs")
+    if not n:
+        return keys, nulls, counts, np.empty(0, np.uint16)
+    codes = [data[a:z] for a, z in zip(np.append(codes_at, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+    if any(zlib.crc32(c) != x for c, x in zip(codes, np.frombuffer(tables[6], np.uint32).tolist(), strict=True)):
+        raise ValueError("a code's checksum differs")
+    rows = decode(codes, block, known, share)
+    if (_sums(rows) != np.frombuffer(tables[5], np.uint32)).any():
         raise ValueError("a block's checksum differs")
-    ids = decode(codes, block, known, share).ravel()[:n_ids] if n else np.empty(0, np.uint16)
-    return keys, nulls, counts, ids
+    return keys, nulls, counts, rows.ravel()[:n_ids]
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) -> None:
