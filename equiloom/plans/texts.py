@@ -249,6 +249,31 @@ def t13_strip_tags(spark, d):
     return p.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
+_LIT = ["that", "the", "license", "MIT", "that the"]
+_LIT_RE = r"\b(that[\s\x{00a0}]+the|license|that|the)\b"
+
+
+@query(f"SELECT doc_id, len(p) - 1 AS hits, (list_sum([length(x) FOR x IN p]) + list_sum([length(x) FOR x IN regexp_extract_all(text, '(?i){_LIT_RE}')]))::BIGINT AS n, coalesce(list_sum([length(x) FOR x IN regexp_extract_all(text, '(?i){_LIT_RE}')]), 0)::BIGINT AS lit FROM (SELECT doc_id, text, string_split_regex(text, '(?i){_LIT_RE}') AS p FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'MIT') AND NOT regexp_matches(text, '(?i)-(license|that|the)\\b')) WHERE len(p) > 1")
+def t21_segments(spark, d):
+    """Texts in pieces: together they are the text again."""
+    docs = D.table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("MIT") & ~F.col("text").rlike("(?i)-(license|that|the)\\b"))
+    x = docs.select("doc_id", "text", text.segments(F.col("text"), _LIT).alias("s")).where(F.exists("s", lambda p: p["hit"]))
+    count = lambda ok: F.aggregate("s", F.lit(0).cast("long"), lambda a, p: a + F.when(ok(p), F.length(p["text"])).otherwise(0))
+    whole = F.array_join(F.transform("s", lambda p: p["text"]), "") == F.col("text")
+    return x.where(whole).select("doc_id", F.size(F.filter("s", lambda p: p["hit"])).cast("long").alias("hits"), count(lambda p: F.lit(True)).alias("n"), count(lambda p: p["hit"]).alias("lit"))
+
+
+@query("WITH x AS (SELECT o_orderkey, o_totalprice AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '777777.25' ELSE '-3,777777.25' END AS odd FROM x")
+def t22_untraceable(spark, d):
+    """Sentences with an order's total as it is or rounded, and some with
+    figures of their own; the evidence nests and has digits in strings."""
+    o, k = D.table(spark, d, "orders"), F.col("o_orderkey") % 3
+    shown = F.when(k == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(k == 1, num.js_round(F.col("o_totalprice"), 1).cast("decimal(18,1)").cast("string")).otherwise(num.js_round(F.col("o_totalprice"), 0).cast("long").cast("string"))
+    said = F.concat(F.lit("Total "), shown, F.lit(" scores 87 of 100, -2 in all"), F.when(k == 2, " and -3").otherwise(""), F.when(k > 0, ", 777777.25 and 777777.25").otherwise(""))
+    evidence = F.to_json(F.struct(F.lit('no "777777.25" here').alias("note"), F.array(F.struct(F.struct(F.col("o_totalprice").cast("double").alias("v")).alias("deep"))).alias("list")))
+    return o.select("o_orderkey", F.array_join(text.untraceable(said, evidence), ",").alias("odd"))
+
+
 # --- names ---
 
 
