@@ -53,8 +53,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bars(t: DataFrame, *keys: str) -> DataFrame:
-    day = F.to_date(F.date_trunc("week", F.col("ts").cast("timestamp"))).alias("date")
+def _bars(t: DataFrame, *keys: str, unit: str = "week") -> DataFrame:
+    day = F.to_date(F.date_trunc(unit, F.col("ts").cast("timestamp"))).alias("date")
     return t.groupBy(*keys, day).agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"),
         F.sum(F.col("q").cast("decimal(38,2)")).cast("double").alias("volume"),
@@ -66,6 +66,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(trades(spark, sf_dir), "symbol")
 
 
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars (symbol, date, open, high, low, close, volume)."""
+    return _bars(trades(spark, sf_dir), "symbol", unit="day")
+
+
+def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the whole market, as one symbol."""
+    return _bars(trades(spark, sf_dir), unit="day").select(F.lit("MARKET").alias("symbol"), "*")
+
+
 def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of the whole market."""
     return _bars(trades(spark, sf_dir))
@@ -155,6 +165,8 @@ SQL = {
     "trades": _TRADES,
     "bars": f"SELECT symbol, {_BAR} GROUP BY ALL",
     "bench": f"SELECT {_BAR} GROUP BY ALL",
+    "daily": f"SELECT symbol, {_BAR.replace("'week'", "'day'")} GROUP BY ALL",
+    "bench_daily": f"SELECT 'MARKET' AS symbol, {_BAR.replace("'week'", "'day'")} GROUP BY ALL",
     "quarters": """SELECT ticker, period_end, revenue, revenue - units * 1000 AS net_income, (revenue - units * 1000) / units AS eps FROM (
  SELECT 'S' || l_suppkey AS ticker, last_day((date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE) AS period_end,
  sum(l_extendedprice::DECIMAL(18,4) * (1 - l_discount::DECIMAL(8,4)))::DOUBLE AS revenue, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS units FROM lineitem GROUP BY ALL)""",
@@ -169,7 +181,7 @@ SQL = {
  sum(CASE WHEN o_orderdate < TIMESTAMP '1998-07-01' THEN l_quantity::DECIMAL(18,2) ELSE 0 END)::DOUBLE AS before, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS value
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)""",
 }
-_NEEDS = {"bars": ["trades"], "bench": ["trades"]}
+_NEEDS = {"bars": ["trades"], "bench": ["trades"], "daily": ["trades"], "bench_daily": ["trades"]}
 
 
 def with_sql(*names: str) -> str:
