@@ -87,3 +87,45 @@ def judge(p: DataFrame, fire_at: int = 7) -> DataFrame:
     base = num.clamp(num.js_round(4 + net / 15), 1, 10)
     conf = F.when(verdict == "BUY", F.greatest(base, F.lit(7.0))).otherwise(F.least(base, F.lit(6.0))).cast("int")
     return p.select("*", verdict.alias("verdict"), conf.alias("confidence"), F.when(net > 0, "bull").when(net < 0, "bear").otherwise("tie").alias("winner"), ((verdict == "BUY") & (conf >= fire_at)).alias("fired"))
+
+
+# What a distress flag is called.
+FLAG_LABELS = {
+    "seed": "Seed monitor", "neg_eps_yoy": "EPS ↓ YoY", "neg_np_yoy": "Profit ↓ YoY", "stressed_pe": "Stressed P/E", "drawdown": "52w drawdown", "sales_pressure": "Sales pressure",
+    "surveillance": "ASM/GSM", "sales_gt_eps": "Sales > EPS (turn)", "bounce": "Off lows", "cheap_pe": "Cheap P/E", "small_cap": "≤₹500 Cr",
+}
+
+
+def flag_labels(flags: Column) -> Column:
+    """Labels of an array of flags; a flag without one is its own."""
+    table = F.create_map(*[F.lit(x) for k, v in FLAG_LABELS.items() for x in (k, v)])
+    return F.transform(flags, lambda f: F.coalesce(F.try_element_at(table, f), f))
+
+
+def distress_list(companies: DataFrame, kind: str, seeds: DataFrame, holdings: DataFrame) -> DataFrame:
+    """Companies of a list: `seeds`, seeds that are held, or a whole market
+    (`nse`, `nse-sme`)."""
+    market = {"nse": "NSE", "nse-sme": "NSE SME"}.get(kind)
+    if market:
+        return companies.where(F.col("market") == market)
+    upper = lambda df: df.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    wanted = upper(seeds)
+    wanted = wanted.join(upper(holdings), "ticker", "left_semi") if kind == "holdings" else wanted
+    return companies.join(wanted, "ticker", "left_semi")
+
+
+def distress_rows(scored: DataFrame, holdings: DataFrame, companies: DataFrame, seeds: DataFrame, funds: DataFrame) -> DataFrame:
+    """Scored companies (ticker, distress_score, distress_flags: an array, price,
+    mcap_cr and other figures) with the holding's name and sector before the
+    company's, the company's price and cap where the score has none, and whether
+    they are held, seeds, or in a fund's list (ticker, list)."""
+    h = holdings.select("ticker", F.col("name").alias("h_name"), F.col("market").alias("h_market"), F.col("sector").alias("h_sector")).dropDuplicates(["ticker"]).withColumn("held", F.lit(True))
+    c = companies.select("ticker", F.col("name").alias("c_name"), F.col("market").alias("c_market"), F.col("sector").alias("c_sector"), "website", F.col("mcap_cr").alias("c_mcap"), F.col("price").alias("c_price"))
+    s = seeds.select("ticker").distinct().withColumn("seeded", F.lit(True))
+    f = funds.groupBy("ticker").agg(F.array_sort(F.collect_set("list")).alias("fund_lists"))
+    j = scored.join(h, "ticker", "left").join(c, "ticker", "left").join(s, "ticker", "left").join(f, "ticker", "left")
+    return j.withColumns({
+        "name": F.coalesce("h_name", "c_name"), "market": F.coalesce("c_market", "h_market", F.lit("NSE")), "sector": F.coalesce("h_sector", "c_sector"),
+        "has_hold": F.col("held").isNotNull(), "has_distress": F.col("seeded").isNotNull(), "fund_lists": F.coalesce("fund_lists", F.array().cast("array<string>")),
+        "flag_labels": flag_labels(F.col("distress_flags")), "mcap_cr": F.coalesce("mcap_cr", "c_mcap"), "price": F.coalesce("price", "c_price"),
+    }).drop("h_name", "h_market", "h_sector", "held", "c_name", "c_market", "c_sector", "c_mcap", "c_price", "seeded")

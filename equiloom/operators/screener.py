@@ -203,3 +203,25 @@ def _gap(g: str) -> Column:
 def page_json(response: DataFrame) -> DataFrame:
     """The response as one JSON text."""
     return response.select(F.to_json(F.struct(*response.columns)).alias("json"))
+
+
+def missing_rows(rows: DataFrame, market: str, kind: str) -> DataFrame:
+    """Companies of a market, and of the funds' lists wherever they trade, that
+    have a gap. `rows` is a universe."""
+    here = (~has("stub") if market == "All" else ~has("stub") & (F.col("market") == market)) | _any(map(has, FUNDS))
+    return rows.where(F.coalesce(here, F.lit(False)) & gap_filter(kind))
+
+
+def export_lines(rows: DataFrame, full: bool, web: Column, screener: Column, chart: Column) -> DataFrame:
+    """A line of CSV for each row, its heading first; `place` orders them by
+    name and code. Links are given, as columns of the rows."""
+    one = lambda c: F.when(c, "1").otherwise("0")
+    text_of = lambda c: text.csv_escape(c.cast("string"))
+    if full:
+        heads = ("ticker", "name", "market", "sector", "sub_sector", "price", "mcap_cr", "website", *(f"missing_{g}" for g in GAPS), "screener", "tradingview")
+        cells = [*map(F.col, heads[:7]), web, *[one(F.col(f"gap_{g}")) for g in GAPS], screener, chart]
+    else:
+        heads, cells = ("company name", "symbol", "website"), [F.col("name"), F.col("ticker"), web]
+    lines = rows.select(F.lit(1).alias("place"), F.lower("name").alias("by_name"), F.col("ticker").alias("by_ticker"), F.concat_ws(",", *[F.coalesce(text_of(c), F.lit("")) for c in cells]).alias("line"))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit("").alias("by_name"), F.lit("").alias("by_ticker"), F.lit(",".join(heads)).alias("line"))
+    return head.unionByName(lines).orderBy("place", "by_name", "by_ticker")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from equiloom.plans import base, company, flows, gov_map, history, lists, market, more, parsers, screener, texts
+from equiloom.plans import base, candidates, company, flows, gov_map, history, lists, market, more, parsers, screener, texts
 
 
 def queries() -> dict:
-    assert company and flows and gov_map and history and lists and market and more and parsers and screener and texts
+    assert candidates and company and flows and gov_map and history and lists and market and more and parsers and screener and texts
     return dict(base.QUERIES)
 
 
