@@ -34,22 +34,43 @@ def panel(q: DataFrame, n: int = 5) -> DataFrame:
     return g.select("ticker", list_(lambda x: F.date_format(x["period_end"], "MMM yyyy")).alias("labels"), cell("sales"), cell("np"), cell("eps"))
 
 
+def recent(q: DataFrame, n: int = 5) -> DataFrame:
+    """Per ticker its last quarters, the latest first, as one array."""
+    p = last_quarters(q, n)
+    return p.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("back", "period_end", "revenue", "net_income", "eps"))).alias("quarters"))
+
+
+def _yoy(out: dict[str, str]) -> list[Column]:
+    """Changes of the latest quarter against the same month a year before."""
+    now = F.get("quarters", F.lit(0))
+    old = F.get(F.filter("quarters", lambda x: F.last_day(F.add_months(x["period_end"], 12)) == now["period_end"]), F.lit(0))
+    return [num.yoy_pct(now[c], old[c]).alias(a) for c, a in out.items()]
+
+
+def _multiples(price: Column) -> list[Column]:
+    """Forward PE on four times the last known EPS, trailing on the last four."""
+    last = F.get(F.filter("quarters", lambda x: x["eps"].isNotNull()), F.lit(0))["eps"]
+    four = F.filter(F.slice("quarters", 1, 4), lambda x: x["eps"].isNotNull())
+    total = F.aggregate(four, F.lit(0).cast("decimal(38,6)"), lambda a, x: (a + num.js_round(x["eps"], 6).cast("decimal(28,6)")).cast("decimal(38,6)")).cast("double")
+    return [num.forward_pe(price, last).alias("forward_pe"), num.trailing_pe(price, F.when(F.size(four) == 4, total)).alias("trailing_pe")]
+
+
+CHANGES = {"eps": "eps_yoy", "revenue": "sales_yoy", "net_income": "np_yoy"}
+
+
 def yoy(q: DataFrame, n: int = 5) -> DataFrame:
     """The latest quarter of the panel against the same month a year before."""
-    p = last_quarters(q, n)
-    now = p.where("back = 1").select("ticker", "period_end", *[F.col(c) for c in ("revenue", "net_income", "eps")])
-    old = p.select("ticker", F.last_day(F.add_months("period_end", 12)).alias("period_end"), *[F.col(c).alias(f"{c}_0") for c in ("revenue", "net_income", "eps")])
-    j = now.join(old, ["ticker", "period_end"], "left")
-    pct = lambda c, a: num.yoy_pct(F.col(c), F.col(f"{c}_0")).alias(a)
-    return j.select("ticker", pct("eps", "eps_yoy"), pct("revenue", "sales_yoy"), pct("net_income", "np_yoy"))
+    return recent(q, n).select("ticker", *_yoy(CHANGES))
 
 
 def valuation(q: DataFrame, prices: DataFrame) -> DataFrame:
-    """Forward PE on four times the last known EPS, trailing on the last four."""
-    p = last_quarters(q, 5)
-    e = p.groupBy("ticker").agg(F.min_by("eps", F.when(F.col("eps").isNotNull(), F.col("back"))).alias("eps"), F.sum(F.when(F.col("back") <= 4, num.js_round(F.col("eps"), 6).cast("decimal(38,6)"))).cast("double").alias("eps4"), F.count(F.when(F.col("back") <= 4, F.col("eps"))).alias("n4"))
-    j = e.join(prices, "ticker")
-    return j.select("ticker", num.forward_pe(F.col("price"), F.col("eps")).alias("forward_pe"), num.trailing_pe(F.col("price"), F.when(F.col("n4") == 4, F.col("eps4"))).alias("trailing_pe"))
+    """Forward and trailing PE at a price."""
+    return recent(q).join(prices, "ticker").select("ticker", *_multiples(F.col("price")))
+
+
+def figures(q: DataFrame, prices: DataFrame) -> DataFrame:
+    """Changes and multiples from one panel; multiples are null without a price."""
+    return recent(q).join(prices.select("ticker", "price"), "ticker", "left").select("ticker", *_yoy(CHANGES), *_multiples(F.col("price")))
 
 
 def all_green() -> Column:

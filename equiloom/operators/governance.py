@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloom.functions import num
@@ -27,8 +27,8 @@ def din_backed(person_id: Column, din: Column) -> Column:
 
 def multi_board(seats: DataFrame, least: int = 2) -> DataFrame:
     """Seats of the directors on so many boards or more."""
-    many = seats.groupBy("person_id").agg(F.countDistinct("ticker").alias("n")).where(F.col("n") >= least).select("person_id")
-    return seats.join(many, "person_id", "left_semi")
+    boards = F.size(F.collect_set("ticker").over(Window.partitionBy("person_id")))  # a person's boards: bounded
+    return seats.withColumn("_n", boards).where(F.col("_n") >= least).drop("_n")
 
 
 def seat_rows(seats: DataFrame, companies: DataFrame) -> DataFrame:

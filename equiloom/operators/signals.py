@@ -25,11 +25,13 @@ def trend_quality(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     score of four parts of 25 at most."""
     w = I.by_symbol()
     a = I.atr(I.aligned(bars, benchmark)).drop("tr")
-    trend = I.series(a).select("symbol", I.last_supertrend(F.col("bars")).alias("st"))
     x = I.adx(I.rsi(a, 21), 13).drop("tr")
     x = x.select("*", I.relative_strength(52).alias("rs52"), I.relative_strength(13).alias("rs13"), I.rolling_mean(F.col("close"), 13).alias("sma13"), I.rolling_mean(F.col("volume"), 13).alias("vol13"))
     x = x.select("*", F.lag("rs52").over(w).alias("p52"), F.lag("rs13").over(w).alias("p13"))
-    last = I.last_row(x).join(trend, "symbol")
+    # A symbol's last row and its bars for the fold, from the same sorted rows.
+    row = F.struct("date", "close", "volume", "rsi", "adx", "di_plus", "di_minus", "rs52", "rs13", "sma13", "vol13", "p52", "p13")
+    both = x.groupBy("symbol").agg(F.max_by(row, "date").alias("r"), F.array_sort(F.collect_list(F.struct("date", "high", "low", "close", "atr"))).alias("bars"))
+    last = both.select("symbol", "r.*", I.last_supertrend(F.col("bars")).alias("st"))
     gates = (
         (F.col("rsi") > 55) & (F.col("close") > F.col("st.line")) & (F.col("adx") > 20) & (F.col("di_plus") > F.col("di_minus"))
         & (F.col("close") > F.col("sma13")) & (F.col("volume") > F.col("vol13")) & (F.col("rs52") > 0) & (F.col("rs13") > 0)

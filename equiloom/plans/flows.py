@@ -170,7 +170,7 @@ def _distress_input(spark, d):
 
     q, c = D.quarters(spark, d), D.company(spark, d)
     f = S.features(D.bars(spark, d)).withColumnRenamed("symbol", "ticker")
-    j = f.join(c.select("ticker", "mcap_cr", "k"), "ticker").join(Q.yoy(q), "ticker", "left").join(Q.valuation(q, c.select("ticker", "price")), "ticker", "left")
+    j = f.join(c.select("ticker", "mcap_cr", "k"), "ticker").join(Q.figures(q, c), "ticker", "left")
     k = F.col("k")
     return j.select(
         "ticker", (k % 17 == 0).alias("seed"), F.col("pct_from_high").alias("drawdown_pct"), "bounce_pct", F.col("return_3m").alias("returns_pct"), "eps_yoy", "sales_yoy",

@@ -233,7 +233,7 @@ def m08_forward_pe(spark, d):
 @query(W("quarters", "company") + _YOY + _VAL + " SELECT ticker, coalesce(forward_pe > 0 AND forward_pe <= 20 AND eps_yoy > 0 AND sales_yoy > 0, false) AS all_green FROM val JOIN yoy USING (ticker)")
 def f17_all_green(spark, d):
     q = D.quarters(spark, d)
-    return Q.valuation(q, D.company(spark, d).select("ticker", "price")).join(Q.yoy(q), "ticker").select("ticker", Q.all_green().alias("all_green"))
+    return Q.figures(q, D.company(spark, d)).select("ticker", Q.all_green().alias("all_green"))
 
 
 @query(W("quarters") + f" SELECT ticker, period_end, CASE WHEN lag(revenue) OVER w IS NULL THEN 'na' WHEN revenue > lag(revenue) OVER w THEN 'up' WHEN revenue < lag(revenue) OVER w THEN 'down' ELSE 'flat' END AS direction FROM quarters WINDOW w AS (PARTITION BY ticker ORDER BY period_end)")

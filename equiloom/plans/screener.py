@@ -29,7 +29,7 @@ def _universe(spark, d):
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (k % n).cast("int"))
     kinds = F.array(*[F.when(cond, F.struct(F.lit(name).alias("kind"), day(n).alias("signal_date"), F.col("price").alias("value"))) for name, cond, n in (("bb", k % 3 == 0, 5), ("tq", k % 4 == 0, 7), ("ema", k % 5 == 1, 9))])
     signals = c.select("ticker", F.explode(F.array_compact(kinds)).alias("s")).select("ticker", "s.*")
-    quarter = Q.valuation(q, c.select("ticker", "price")).join(Q.yoy(q), "ticker").where(F.pmod(F.substring("ticker", 2, 9).cast("long"), F.lit(10)) != 9).select("ticker", "forward_pe", "eps_yoy", "sales_yoy")
+    quarter = Q.figures(q, c).where(F.pmod(F.substring("ticker", 2, 9).cast("long"), F.lit(10)) != 9).select("ticker", "forward_pe", "eps_yoy", "sales_yoy")
     live = c.where(k % 8 == 0).select("ticker", F.lit(7.5).alias("price"), F.col("mcap_cr"))
     return S.universe(c.withColumn("search_text", F.coalesce("about", F.lit(""))), signals, _lists(spark, d), quarter, live)
 
