@@ -110,3 +110,36 @@ def indian_grouping(x: Column) -> Column:
 def first_number(*xs: Column) -> Column:
     """The first of the texts that reads as a number."""
     return F.coalesce(*[parse_num(x) for x in xs])
+
+
+def grouped(x: Column, least: int, most: int) -> Column:
+    """A number with Indian grouping and from `least` to `most` decimals."""
+    fixed = F.format_string(f"%.{most}f", F.abs(x.cast("double")))
+    whole = indian_grouping(F.substring_index(fixed, ".", 1).cast("long"))
+    part = F.substring_index(fixed, ".", -1) if most else F.lit("")
+    kept = F.concat(F.left(part, F.lit(least)), F.regexp_replace(F.substring(part, least + 1, 20), "0+$", "")) if most else part
+    return F.concat(F.when(x < 0, "-").otherwise(""), whole, F.when(kept != "", F.concat(F.lit("."), kept)).otherwise(""))
+
+
+def _shown(x: Column, said: Column, none: str = "—") -> Column:
+    return F.when(x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")), none).otherwise(said)
+
+
+def quarter_value(x: Column, decimals: int) -> Column:
+    return _shown(x, grouped(x, 2, 2) if decimals == 2 else grouped(x, 0, 0))
+
+
+def yoy_shown(x: Column) -> Column:
+    return _shown(x, F.concat(F.when(x > 0, "+").otherwise(""), grouped(x, 0, 1), F.lit("%")), "N/M")
+
+
+def rupees(x: Column) -> Column:
+    return _shown(x, F.concat(F.lit("₹"), F.when(x < 10, grouped(x, 2, 2)).otherwise(grouped(x, 0, 2))))
+
+
+def mcap_shown(x: Column) -> Column:
+    return _shown(x, grouped(x, 0, 1))
+
+
+def pe_shown(x: Column) -> Column:
+    return _shown(x, F.when(x >= 500, "N/M").otherwise(grouped(x, 0, 1)))
