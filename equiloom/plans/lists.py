@@ -199,7 +199,7 @@ def p26_smart_evidence(spark, d):
 
 _SHORTS = {f"{s}-{i}": ("Big " + s[:3] if i == 0 else "") for s in ("AUTOMOBILE", "BUILDING", "MACHINERY") for i in range(3)}
 _SHORT = "CASE " + " ".join(f"WHEN investor = '{k}' THEN '{v or ' '.join(k.split()[:2])}'" for k, v in _SHORTS.items()) + " ELSE investor END"
-_CONS = _H + f""", z AS (SELECT upper(symbol) AS symbol, investor, {_SHORT} AS short, change_type, CASE WHEN shares::BIGINT % 3 > 0 THEN pct * 1.01 * CASE WHEN change_type = 'decreased' THEN -1 ELSE 1 END END AS change, pct, value,
+_CONS = _H + f""", z AS (SELECT upper(symbol) AS symbol, investor, {_SHORT} AS short, change_type, CASE WHEN shares::BIGINT % 3 > 0 THEN pct * 1.0101 * CASE WHEN change_type = 'decreased' THEN -1 ELSE 1 END END AS change, pct, value,
  row_number() OVER (PARTITION BY symbol ORDER BY value DESC, investor) AS place FROM hp),
 b AS (SELECT *, CASE change_type WHEN 'new' THEN ' NEW' WHEN 'increased' THEN ' ↑' || coalesce('+' || printf('%.2f', change) || '%', '') WHEN 'decreased' THEN ' ↓' || coalesce(printf('%.2f', change) || '%', '') ELSE '' END AS badge FROM z),
 cons AS (SELECT symbol, 'Name ' || first(investor ORDER BY place) AS company_name, count(DISTINCT investor) AS investor_count, count(*) FILTER (WHERE change_type = 'new') AS new_count, count(*) FILTER (WHERE change_type = 'increased') AS increased_count, max(pct) AS holding_percent,
@@ -210,7 +210,7 @@ def _consensus(spark, d):
     from pyspark.sql import Window
 
     h = _held(spark, d)
-    change = F.when(F.col("shares").cast("long") % 3 > 0, F.col("pct") * 1.01 * F.when(F.col("change_type") == "decreased", -1).otherwise(1))
+    change = F.when(F.col("shares").cast("long") % 3 > 0, F.col("pct") * 1.0101 * F.when(F.col("change_type") == "decreased", -1).otherwise(1))
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("value"), "investor"))
     rows = h.select(F.lower("symbol").alias("symbol"), "investor", "change_type", change.alias("change"), "pct", (F.col("value") / 1000).alias("value_cr"), place.alias("place"), F.concat(F.lit("Name "), "investor").alias("company_name"), F.lit("").alias("exchange"), F.lit(None).cast("string").alias("sector"), F.col("pct").alias("price"))
     return H.consensus_rows(rows, 2, _SHORTS)

@@ -118,7 +118,7 @@ def a03_facets(spark, d):
     return r.select("signals.*", *[F.col("gaps")[k].alias(f"gap_{k}") for k in S.GAP_KINDS])
 
 
-@query(_UNIVERSE + _page_sql("NOT stub AND market = 'NSE' AND has_ema AND has_tq", "coalesce(sector, ''), ticker", 1, 10) + " SELECT '{\"total\":' || any_value(total) || ',\"page\":' || any_value(page) || ',\"rows\":[' || string_agg('{\"ticker\":\"' || ticker || '\",\"name\":\"' || name || '\",\"has_hold\":' || has_hold || '}', ',' ORDER BY place) || ']}' AS json FROM shown")
+@query(_UNIVERSE + _page_sql("NOT stub AND market = 'NSE' AND has_ema AND has_tq", "coalesce(sector, ''), ticker", 1, 10) + " SELECT '{\"total\":' || coalesce(any_value(total), 0) || ',\"page\":' || coalesce(any_value(page), 1) || ',\"rows\":[' || coalesce(string_agg('{\"ticker\":\"' || ticker || '\",\"name\":\"' || name || '\",\"has_hold\":' || has_hold || '}', ',' ORDER BY place), '') || ']}' AS json FROM shown")
 def k04_page_json(spark, d):
     r = S.respond(_universe(spark, d), S.Request(market="NSE", signals=frozenset(["ema", "tq"]), every=True, size=10))
     return S.page_json(r.select("total", "page", F.transform("rows", lambda x: F.struct(x["ticker"].alias("ticker"), x["name"].alias("name"), x["has_hold"].alias("has_hold"))).alias("rows")))
