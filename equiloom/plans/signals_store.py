@@ -22,9 +22,9 @@ def s12_shareholders(spark, d):
     own = F.struct(F.col("investor").alias("holderName"), F.format_number("shares", 6).alias("shares"), F.lit("{2024}").alias("period"), F.struct(F.array(record(F.col("investor"), F.lit(1.0))).alias("again")).alias("more"))
     docs = h.groupBy("symbol").agg(F.to_json(F.struct(F.struct(F.collect_list(own).alias("rows")).alias("data"), F.array(F.lit("x")).alias("notes"))).alias("v"))
     followed = lambda n: F.when(n.rlike("-12?$"), F.array(F.when(n.startswith("AUTO"), "auto").when(n.startswith("MACH"), "mach").otherwise("other"))).otherwise(F.array().cast("array<string>"))
-    sme = h.where(F.col("symbol").endswith("3")).select(F.upper("symbol").alias("symbol"))
+    names = D.table(spark, d, "part").select(F.upper("p_brand").alias("symbol"), F.col("p_brand").alias("own")).distinct()  # all that may be held
+    sme = names.where(F.col("own").endswith("3")).select("symbol")
     out = N.shareholders(docs, "v", "symbol", followed, ("mach",), sme)
-    names = h.select(F.upper("symbol").alias("symbol"), F.col("symbol").alias("own")).distinct()
     return out.join(names, "symbol").select(F.col("own").alias("symbol"), "holder_name", F.array_join("investor_ids", ",").alias("ids"), "primary_hit", "shares", "in_sme_universe")
 
 
