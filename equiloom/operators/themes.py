@@ -21,6 +21,7 @@ GROUP_CAPS = {"Nanocap Champs": 500, "Listed Venture Capital": 6000}
 
 SHARES = 256  # of the rows of one keyword, for its first keys
 EXAMPLES, SAMPLE = 3, 8
+PRUNE = 1000  # words at most to which a search for phrases is narrowed
 
 
 def cap_passes(group: str | None, mcap: Column) -> Column:
@@ -171,12 +172,39 @@ def candidates(audited: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
     return audited.where((F.col("kind") == "candidate") & (F.col("hits") >= least)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("theme", "rank", "pattern", "hits", "examples")
 
 
+def _row_counts(df: DataFrame, key: str, phrases: Column) -> DataFrame:
+    """(phrase, hits): in how many rows each phrase occurs, rows of one key taken
+    as one. A key of one row needs no meeting of its rows: its phrases are counted
+    where they are."""
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_k"), F.lit(True).alias("_again"))
+    own = F.when(F.col("_again"), F.struct(key))
+    rows = df.join(again, F.col(key).eqNullSafe(F.col("_k")), "left").select(own.alias("_own"), F.explode(F.array_distinct(phrases)).alias("phrase"))
+    once = rows.groupBy("phrase", "_own").agg(F.count("*").alias("n"))
+    return once.groupBy("phrase").agg(F.sum(F.when(F.col("_own").isNull(), F.col("n")).otherwise(1)).alias("hits"))
+
+
+def _frequent(words: DataFrame, known: list[str], least: int, top: int) -> list[str] | None:
+    """The words of which a phrase among the `top` can be made: a phrase occurs in
+    no more rows than each of its words does, and `top` words that are no keywords
+    set how often it must. None where these are more than PRUNE."""
+    rows = words.where(F.col("hits") >= least).orderBy(F.desc("hits"), "phrase").limit(PRUNE + 1).collect()
+    new = [r.hits for r in rows if r.phrase not in known]
+    need = new[top - 1] if len(new) >= top else least
+    some = [r.phrase for r in rows if r.hits >= need]
+    return None if len(some) > PRUNE else some
+
+
 def mine(df: DataFrame, column: str, key: str, known: list[str], longest: int = 1, least: int = 3, top: int = 8) -> DataFrame:
     """Frequent runs of up to `longest` words of four letters or more that are
-    no keywords yet, each counted once a row."""
+    no keywords yet, each counted once a row. Words are counted first; runs of two
+    and more are made only of words frequent enough, where these are told."""
     words = F.regexp_extract_all(F.lower(column), F.lit("([a-z]{4,})"), F.lit(1))
-    run = lambda n: F.zip_with(run(n - 1), F.slice("w", n, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)) if n > 1 else F.col("w")
-    whole = lambda n: F.slice(run(n), F.lit(1), F.greatest(F.lit(0), F.size("w") - (n - 1)))
-    rows = df.select(key, words.alias("w")).select(key, F.explode(F.flatten(F.array(*[whole(n + 1) for n in range(longest)]))).alias("phrase"))
-    c = rows.distinct().groupBy("phrase").agg(F.count("*").alias("hits")).where((F.col("hits") >= least) & ~F.col("phrase").isin(*known))
-    return c.orderBy(F.desc("hits"), "phrase").limit(top)
+    split = df.select(key, words.alias("w"))
+    c = _row_counts(split, key, F.col("w"))
+    some = _frequent(c, known, least, top) if longest > 1 else None
+    if longest > 1:
+        if some is not None:  # other words become null, and every run with one of them
+            split = df.select(key, F.transform(words, lambda x: F.when(x.isin(*some), x) if some else F.lit(None).cast("string")).alias("w"))
+        run = lambda n: F.zip_with(run(n - 1), F.slice("w", n, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)) if n > 1 else F.col("w")
+        c = _row_counts(split, key, F.array_compact(F.flatten(F.array(*[run(n + 1) for n in range(longest)]))))
+    return c.where((F.col("hits") >= least) & ~F.col("phrase").isin(*known)).orderBy(F.desc("hits"), "phrase").limit(top)

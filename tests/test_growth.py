@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 
+from equiloom.operators import themes
 from equiloom.plans import registry
 from equiloom.sources import json_walk
 
@@ -25,3 +28,34 @@ def test_walk_tells_the_deepest(spark):
     assert found(json_walk.DEEPEST - 1) == [(json_walk.DEEPEST - 1, "a")]
     with pytest.raises(Exception, match="nest deeper"):
         found(json_walk.DEEPEST)
+
+
+def mined(rows, known, longest, least, top):
+    held: dict = {}
+    for key, said in rows:
+        w = said.split()
+        held.setdefault(key, set()).update(" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1))
+    hits = Counter(p for ps in held.values() for p in ps)
+    return sorted(((p, n) for p, n in hits.items() if n >= least and p not in known), key=lambda x: (-x[1], x[0]))[:top]
+
+
+@pytest.mark.parametrize("prune", [1000, 3])
+def test_mined_phrases(spark, monkeypatch, prune):
+    """Frequent runs by brute force: keys of several rows, ties, a null key, and
+    more frequent words than are told apart."""
+    import random
+
+    monkeypatch.setattr(themes, "PRUNE", prune, raising=False)
+    draw = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "sigma", "omega", "kappa", "theta", "iota", "zeta"]
+    rows = [(draw.choice([None, *range(25)]), " ".join(draw.choices(words, range(10, 0, -1), k=draw.randint(0, 9)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    for known, longest, least, top in ((["alpha"], 3, 3, 8), ([], 1, 2, 4), (words, 3, 2, 30), (["beta"], 2, 26, 5), (["beta"], 2, 99, 5)):
+        got = [tuple(r) for r in themes.mine(df, "t", "k", known, longest, least, top).collect()]
+        assert got == mined(rows, known, longest, least, top)
+
+
+def test_mining_counts_where_rows_are(spark):
+    """No pair of row and phrase goes through a shuffle."""
+    plan = optimized(registry.queries()["a34_mining"](spark, SF))
+    assert not [line for line in plan.splitlines() if "Aggregate [doc_id#" in line and "phrase#" in line]
