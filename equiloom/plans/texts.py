@@ -257,7 +257,8 @@ _LIT_RE = r"\b(that[\s\x{00a0}]+the|license|that|the)\b"
 def t21_segments(spark, d):
     """Texts in pieces: together they are the text again."""
     docs = D.table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("MIT") & ~F.col("text").rlike("(?i)-(license|that|the)\\b"))
-    x = docs.select("doc_id", "text", text.segments(F.col("text"), _LIT).alias("s")).where(F.exists("s", lambda p: p["hit"]))
+    once = F.stack(F.lit(1), text.segments(F.col("text"), _LIT))  # what comes after reads the pieces, it does not make them again
+    x = docs.select("doc_id", "text", once.alias("s")).where(F.exists("s", lambda p: p["hit"]))
     count = lambda ok: F.aggregate("s", F.lit(0).cast("long"), lambda a, p: a + F.when(ok(p), F.length(p["text"])).otherwise(0))
     whole = F.array_join(F.transform("s", lambda p: p["text"]), "") == F.col("text")
     return x.where(whole).select("doc_id", F.size(F.filter("s", lambda p: p["hit"])).cast("long").alias("hits"), count(lambda p: F.lit(True)).alias("n"), count(lambda p: p["hit"]).alias("lit"))

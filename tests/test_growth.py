@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from equiloom.operators import themes
+from equiloom.functions import dates
+from equiloom.operators import phrases, themes
 from equiloom.plans import registry
-from equiloom.sources import json_walk
+from equiloom.sources import json_walk, markup
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +62,8 @@ def test_mining_counts_where_rows_are(spark):
     """No pair of row and phrase goes through a shuffle."""
     plan = optimized(registry.queries()["a34_mining"](spark, SF))
     assert not [line for line in plan.splitlines() if "Aggregate [doc_id#" in line and "phrase#" in line]
+
+
+def test_pieces_are_made_once(spark):
+    """A text's pieces come from one search per expression, however many columns read them."""
+    assert optimized(registry.queries()["t21_segments"](spark, SF)).count("regexp_extract_all") == 2
