@@ -90,7 +90,10 @@ def message(df: DataFrame, column: str, second: bool, *keep: str) -> DataFrame:
         whole = F.when(F.trim(column).startswith("["), whole).otherwise(rows(inside))
     x = df.select(*keep, F.posexplode(whole).alias("line", "m"))
     names = SECOND if second else FIRST
-    get = lambda k: F.trim(F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in names[k]]))
+    # Looked up row by row here, each once; what reads them finds a column.
+    said = F.transform(F.array(*[F.array(*map(F.lit, ns)) for ns in names.values()]), lambda ns: F.trim(F.get(F.filter(F.transform(ns, lambda n: F.try_element_at("m", n)), lambda v: v.isNotNull()), F.lit(0))))
+    x = x.select(*keep, "line", said.alias("c"))
+    get = lambda k: F.get("c", F.lit(list(names).index(k)))
     symbol, security, client = (F.upper(F.coalesce(get("symbol"), F.lit(""))), F.coalesce(get("security"), F.lit("")), F.coalesce(get("client"), F.lit("")))
     if not second:
         return x.select(*_deal(get, "first", [*keep, "line"], symbol, F.when(symbol == "", F.lit("no symbol"))))

@@ -67,3 +67,13 @@ def test_mining_counts_where_rows_are(spark):
 def test_pieces_are_made_once(spark):
     """A text's pieces come from one search per expression, however many columns read them."""
     assert optimized(registry.queries()["t21_segments"](spark, SF)).count("regexp_extract_all") == 2
+
+
+def test_forms_of_dates(spark):
+    """Each form as when all are tried, and only those tried that can fit."""
+    said = ["05-Mar-2024", "5-mar-2024", "5-3-2024", "0005-1-2024", "5/3/2024", "99/99/2024", "2024-03-05", "2024-3-5", "2024-03-05 ", "31-Feb-2024", "-5-3-2024", "5-3-12024", "2024/03/05", "", "-", "x", None]
+    plain = F.coalesce(*[F.try_to_date("x", f) for f in ("d-MMM-yyyy", "d-M-yyyy", "d/M/yyyy", "yyyy-MM-dd")])
+    df = spark.createDataFrame([(x,) for x in said], "x string").select("x", plain.alias("a"), dates.parse_trade_date(F.col("x")).alias("b"))
+    assert [r.b for r in df.collect()] == [r.a for r in df.collect()]
+    assert sum(r.b is not None for r in df.collect()) >= 4
+    assert str(dates.parse_trade_date(F.col("x"))).count("CASE WHEN") >= 4
