@@ -77,3 +77,8 @@ def test_forms_of_dates(spark):
     assert [r.b for r in df.collect()] == [r.a for r in df.collect()]
     assert sum(r.b is not None for r in df.collect()) >= 4
     assert str(dates.parse_trade_date(F.col("x"))).count("CASE WHEN") >= 4
+
+
+def test_feeds_are_ranked_before_companies(spark):
+    """A feed's turns are cut to thirty before they are sorted and joined."""
+    assert "WindowGroupLimit" in optimized(registry.queries()["a37_catalysts"](spark, SF))
