@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from equiloom.functions import text
+from equiloom.functions.memory import each_text, give_back
 
 _SPACE = re.compile(r"\s+")
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 HTML_ROW = "tbl int, row int, cells array<string>, data array<string>, marked boolean, title string, anchor string"
+RECORDS = 4096  # in a batch that goes back
 FACT = "kind string, context string, tag string, value double, place int, ends string, member boolean"
 
 
@@ -137,19 +139,21 @@ def _through(df: DataFrame, column: str, keep: list[str], form: str, read: Calla
     def run(batches):
         for batch in batches:
             at, found = [], []
-            for i, x in enumerate(batch.column(n).to_pylist()):
+            for i, x in enumerate(each_text(batch.column(n))):
                 for record in read(x) if x else ():
                     at.append(i)
                     found.append(record)
-                if len(found) >= 4096:
-                    yield out(batch, at, found)
-                    at, found = [], []
+                    if len(found) >= RECORDS:
+                        yield out(batch, at, found)
+                        at, found = [], []
             if found:
                 yield out(batch, at, found)
+            del batch, at, found
+            give_back()
 
     def out(batch, at, found):
-        rows = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*rows.columns[:n], *pa.RecordBatch.from_pylist(found, schema=made).columns], names=schema.names)
+        rows = batch.select(range(n)).take(pa.array(at))  # without the texts, which would be copied for each record
+        return pa.RecordBatch.from_arrays([*rows.columns, *pa.RecordBatch.from_pylist(found, schema=made).columns], names=schema.names)
 
     return df.select(*keep, F.col(column).alias("_text")).mapInArrow(run, schema)
 

@@ -82,3 +82,42 @@ def test_forms_of_dates(spark):
 def test_feeds_are_ranked_before_companies(spark):
     """A feed's turns are cut to thirty before they are sorted and joined."""
     assert "WindowGroupLimit" in optimized(registry.queries()["a37_catalysts"](spark, SF))
+
+
+def reader(monkeypatch, df, make):
+    """The function that `make` gives to Arrow."""
+    held = []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, f, schema: held.append(f))
+        make(df)
+    return held[0]
+
+
+def test_records_do_not_copy_their_page(spark, monkeypatch):
+    df = spark.createDataFrame([], "k int, v string")
+    run = reader(monkeypatch, df, lambda x: markup.html_rows(x, "v", "k"))
+    page = "<table>" + "<tr><td>x</td></tr>" * 9000 + "</table>" + " " * 300_000
+    taken = []
+    plain = pa.RecordBatch.take
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int32()), pa.array([page])], ["k", "_text"])
+
+    class Watched:
+        """A batch whose copies are noted."""
+
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def select(self, which):
+            return Watched(self.of.select(list(which)))
+
+        def take(self, at):
+            taken.append(plain(self.of, at).nbytes if self.of.num_columns == 1 else len(page) * len(at))
+            return plain(self.of.select([0]), at)
+
+    out = list(run(iter([Watched(batch)])))
+    assert sum(b.num_rows for b in out) == 9000 and max(b.num_rows for b in out) <= 4096
+    assert set(out[0].column(0).to_pylist()) == {7}
+    assert sum(taken) < len(page)
