@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiloom.functions import text
+from equiloom.functions.memory import each_text, give_back
 
 _WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 _SPACES = "\t\n\x0b\f\r\xa0"
@@ -143,8 +144,10 @@ def scan(df: DataFrame, column: str, phrases: Phrases, *keep: str | Column) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = phrases.reader()
         for batch in batches:
-            found = list(zip(*(read(x) for x in batch.column(n).to_pylist()), strict=True)) or [[], [], []]
+            found = list(zip(*(read(x) for x in each_text(batch.column(n))), strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, pa.list_(pa.int32())) for x in found)], names=[*batch.schema.names[:n], *FOUND])
+            del batch, found
+            give_back()
 
     return df.select(*keep, F.col(column).alias(f"__{column}")).mapInArrow(run, schema)
 

@@ -121,3 +121,20 @@ def test_records_do_not_copy_their_page(spark, monkeypatch):
     assert sum(b.num_rows for b in out) == 9000 and max(b.num_rows for b in out) <= 4096
     assert set(out[0].column(0).to_pylist()) == {7}
     assert sum(taken) < len(page)
+
+
+def test_texts_are_read_one_at_a_time(spark, monkeypatch):
+    """No batch of texts stands beside itself as Python strings."""
+    df = spark.createDataFrame([], "k int, v string")
+    run = reader(monkeypatch, df, lambda x: phrases.scan(x, "v", phrases.Phrases(["solar"]), "k"))
+
+    class Column(list):
+        def to_pylist(self):
+            raise AssertionError("the whole batch")
+
+    class Batch:
+        columns, num_rows = [pa.array([1, 2], pa.int32())], 2
+        schema = pa.schema([("k", pa.int32()), ("__v", pa.string())])
+        column = staticmethod(lambda i: Column(pa.array(["a solar park", None])))
+
+    assert [b.column(1).to_pylist() for b in run(iter([Batch]))] == [[[0], []]]
