@@ -1,16 +1,19 @@
 """A context-mixing range coder for blocks of 16-bit ids.
 
-Every block starts afresh and is coded by itself, so all blocks of a container
-move in lockstep, one lane each. Three orders predict an id:
+All blocks of a container move in lockstep, one lane and one code each. Three
+orders predict an id:
 
-* order 2 and order 1: the id that last followed the same two ids, or the same
-  one, in this block. Of each the lane learns how often a prediction of such
-  confidence holds.
+* order 2: the id that last followed the same two ids in this block;
+* order 1: the id that last followed the same one in any block, as all blocks
+  teach it after each step;
 * order 0: how often each id occurs in the container, told in its header.
 
+Of orders 2 and 1 the model learns from all blocks how often a prediction of
+such confidence holds.
+
 Their mixture is p2 on the first id, (1 - p2) p1 on the second and the rest by
 order 0; where the two predict the same id it gets both shares. One interval of
-a range of 2**32 is coded an id: the predicted ids first, in units of 2**20,
+a range of 2**30 is coded an id: the predicted ids first, in units of 2**18,
 then order 0 in 2**18 parts of what is left.
 """
 
@@ -20,18 +23,20 @@ import numpy as np
 
 BLOCK = 4096
 PARTS = 1 << 18
-_U = np.uint64
 _FULL = 4096
-_TOP, _LOW = _U(40), _U((1 << 56) - 1)
-_SLOTS1, _SLOTS2 = 1024, 2048
+_RANGE = 30  # bits
+#: A code's window has 48 bits and moves on by 16 when the span is below this.
+_THIN = 1 << 32
+_PAIRS = 512  # slots of order 2 by lane; they follow the 65536 of order 1
 _CONFIDENT = 8
-_ID = np.arange(65536, dtype=np.int64)
-_HASH1 = (_ID * 40503 >> 4) & (_SLOTS1 - 1)
-_HASH2 = (_ID * 30011 >> 3) & (_SLOTS2 - 1)
-_HASH3 = (_ID * 60493 >> 5) & (_SLOTS2 - 1)
-#: Confidence after a miss and after a hit, by twice the confidence.
-_NEXT = np.array([[max(0, c // 2), min(_CONFIDENT - 1, c + 1)] for c in range(_CONFIDENT)], np.int64).ravel()
-_FIRST = np.array([60, 500, 1000, 1500, 2000, 2400, 2800, 3200], np.int64)
+#: The state of a slot is its confidence, and _CONFIDENT more in order 1. By
+#: twice the state and one for a hit: the next state, and whether the id that
+#: came takes the slot, which a guess without confidence leaves to it.
+_NEXT = np.array([[max(0, c - 1) + o, min(_CONFIDENT - 1, c + 1) + o] for o in (0, _CONFIDENT) for c in range(_CONFIDENT)], np.int64).ravel() << 16
+_TAKES = np.array([[0xFFFF * (c == 0)] * 2 for _ in range(2) for c in range(_CONFIDENT)], np.int64).ravel()
+#: Least and most that a guess is trusted, of _FULL: the second keeps a share.
+_LEAST, _MOST = 16, 3840
+_FIRST = np.array([60, 500, 1000, 1500, 2000, 2400, 2800, 3200] * 2, np.int64)
 
 
 def prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +49,17 @@ def prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
+    """Two rows of slots, states and guesses: order 2, then order 1."""
+
     def __init__(self, lanes: int, known: np.ndarray, share: np.ndarray):
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base = lane * _SLOTS1, lane * _SLOTS2, lane * _CONFIDENT
-        self.one = np.zeros(lanes * _SLOTS1, np.uint32)  # id, and confidence above it
-        self.two = np.zeros(lanes * _SLOTS2, np.uint32)
-        self.held1, self.held2 = np.tile(_FIRST, lanes), np.tile(_FIRST, lanes)
-        self.last = self.last2 = np.zeros(lanes, np.int64)
+        self.slots = np.zeros(65536 + lanes * _PAIRS, np.int32)  # id, and state above it
+        self.slots[:65536] = _CONFIDENT << 16
+        self.base = 65536 + np.arange(lanes) * _PAIRS
+        self.held = _FIRST.copy()
+        self.hits, self.seen = _FIRST >> 6, np.full(2 * _CONFIDENT, _FULL >> 6, np.int64)
+        self.at = np.empty((2, lanes), np.int64)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step = 0
         self.share = np.zeros(65536, np.int64)
         self.share[known] = share
         self.begin = np.zeros(65536, np.int64)
@@ -58,118 +67,152 @@ class _Model:
         self.of = np.repeat(known.astype(np.int64), share)  # part to id
 
     def predict(self):
-        self.at1 = self.base1 + _HASH1.take(self.last)
-        self.at2 = self.base2 + (_HASH2.take(self.last) ^ _HASH3.take(self.last2))
-        e1, e2 = self.one.take(self.at1).astype(np.int64), self.two.take(self.at2).astype(np.int64)
-        self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.c1, self.c2 = e1 >> 16, e2 >> 16
-        self.w1, self.w2 = self.base + self.c1, self.base + self.c2
-        self.q1, self.q2 = self.held1.take(self.w1), self.held2.take(self.w2)
-        p1 = (_FULL - self.q2) * self.q1 >> 12
-        both = p1 * (self.id1 == self.id2)
-        self.p2 = self.q2 + both
-        self.p1 = p1 - both
-        self.top = self.q2 + p1
-        self.rest = _FULL - self.top
-
-    def update(self, ids):
-        for table, at, guess, c, held, w, q in ((self.one, self.at1, self.id1, self.c1, self.held1, self.w1, self.q1), (self.two, self.at2, self.id2, self.c2, self.held2, self.w2, self.q2)):
-            hit = guess == ids
-            held[w] = q + (hit * 3684 + 16 - q >> 4)
-            # A guess without confidence gives way.
-            table[at] = np.where(c > 0, guess, ids) | _NEXT.take(2 * c + hit) << 16
-        self.last2, self.last = self.last, ids
-
-    def interval(self, ids):
-        """Start and width of each id, of 2**32."""
-        in2 = ids == self.id2
-        in1 = (ids == self.id1) > in2
-        start = (self.top << 20) + (self.rest * self.begin.take(ids) << 2)
-        width = self.rest * self.share.take(ids) << 2
-        np.copyto(start, self.p2 << 20, where=in1)
-        np.copyto(width, self.p1 << 20, where=in1)
-        np.copyto(start, 0, where=in2)
-        np.copyto(width, self.p2 << 20, where=in2)
-        return start.view(_U), width.view(_U)
+        pair = self.last * 40503
+        pair += self.before
+        pair &= _PAIRS - 1
+        np.add(pair, self.base, out=self.at[0])
+        self.at[1] = self.last
+        slot = self.slots.take(self.at).astype(np.int64)
+        self.state = slot >> 16
+        slot &= 0xFFFF
+        self.id = slot
+        q2, q1 = self.held.take(self.state)
+        p1 = _FULL - q2
+        p1 *= q1
+        p1 >>= 12
+        top = q2 + p1
+        self.rest = _FULL - top
+        p1 *= slot[0] == slot[1]
+        p1 += q2
+        p1 <<= _RANGE - 12
+        top <<= _RANGE - 12
+        self.p2, self.top = p1, top
+
+    def interval(self, ids, other2, other1):
+        """Start and width of each id, of 2**30; whether (1 or 0) it is another
+        than the first guess, and than the second."""
+        p2, top, rest = self.p2, self.top, self.rest
+        start = self.begin.take(ids)
+        start *= rest
+        start += top
+        start -= p2
+        start *= other1
+        start += p2
+        start *= other2
+        second = top - p2
+        width = self.share.take(ids)
+        width *= rest
+        width -= second
+        width *= other1
+        width += second
+        width -= p2
+        width *= other2
+        width += p2
+        return start, width
 
     def find(self, value):
-        """The ids whose intervals hold the values below 2**32."""
-        unit = value >> 20
-        part = np.maximum(value - (self.top << 20), 0) // (self.rest << 2)
-        ids = self.of.take(part)
-        np.copyto(ids, self.id1, where=unit < self.top)
-        np.copyto(ids, self.id2, where=unit < self.p2)
-        return ids
+        """The ids whose intervals hold the values below 2**30, and whether
+        they are other than the guesses."""
+        other2, other1 = (value >= self.p2).astype(np.int64), (value >= self.top).astype(np.int64)
+        part = value - self.top
+        part *= other1
+        ids = self.of.take((part / self.rest).astype(np.int64))
+        ids -= self.id[1]
+        ids *= other1
+        ids += self.id[1]
+        ids -= self.id[0]
+        ids *= other2
+        ids += self.id[0]
+        return ids, other2, other1
+
+    def update(self, ids):
+        """Where lanes meet in a slot, the last lane's id stays."""
+        differ = self.id ^ ids
+        self.state <<= 1
+        self.state += differ == 0
+        differ &= _TAKES.take(self.state)
+        differ ^= self.id
+        differ |= _NEXT.take(self.state)
+        self.slots[self.at.ravel()] = differ.ravel()
+        if self.step < 32 or self.step % 8 == 0:
+            missed, hit = np.bincount(self.state.ravel(), minlength=4 * _CONFIDENT).reshape(-1, 2).T
+            self.hits += hit
+            self.seen += missed + hit
+            self.held = _LEAST + self.hits * (_MOST - _LEAST) // self.seen
+            old = self.seen > 1 << 18
+            self.hits >>= old
+            self.seen >>= old
+        self.step += 1
+        self.before = ids * 30011
+        self.last = ids
 
 
 def encode(ids: np.ndarray, known: np.ndarray, share: np.ndarray) -> list[bytes]:
     """The codes of the blocks, the rows of `ids`, under the prior given."""
     lanes, steps = ids.shape
     model = _Model(lanes, known, share)
-    low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
-    out = np.zeros((lanes, 2 * steps + 8), np.int32)
-    at = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
-    ids = np.ascontiguousarray(ids.T).astype(np.int64)
-    for now in ids:
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    wide = 2 * steps + 8
+    out = np.zeros(lanes * wide, np.int32)  # words, and carries above them
+    first = np.arange(lanes) * wide
+    at = first.copy()
+    for now in np.ascontiguousarray(ids.T):
+        now = now.astype(np.int64)
         model.predict()
-        start, width = model.interval(now)
-        unit = span >> _U(32)
-        low += unit * start
-        span = unit * width
-        over = np.flatnonzero(low >> _U(56))
-        if len(over):
-            low[over] &= _LOW
-            back = at[over] - 1
-            while len(over):
-                out[over, back] += 1
-                more = out[over, back] > 0xFFFF
-                out[over[more], back[more]] = 0
-                over, back = over[more], back[more] - 1
-        while len(thin := np.flatnonzero(span < _U(1 << 40))):
-            out[thin, at[thin]] = (low[thin] >> _TOP).astype(np.int32)
-            at[thin] += 1
-            low[thin] = low[thin] << _U(16) & _LOW
-            span[thin] <<= _U(16)
+        start, width = model.interval(now, *(model.id != now).astype(np.int64))
+        span >>= _RANGE
+        start *= span
+        low += start
+        span *= width
+        thin = np.flatnonzero(span < _THIN)
+        while len(thin):
+            head, narrow, place = low[thin], span[thin] << 16, at[thin]
+            out[place] = head >> 32
+            at[thin] = place + 1
+            low[thin] = (head & _THIN - 1) << 16
+            span[thin] = narrow
+            thin = thin[narrow < _THIN]
         model.update(now)
-    for _ in range(4):
-        out[lane, at] = (low >> _TOP).astype(np.int32)
-        at += 1
-        low = low << _U(16) & _LOW
+    # A word and the zeros that are read after it lie within the last span.
+    out[at] = low + _THIN - 1 >> 32
+    size = at + 1 - first
+    out = out.reshape(lanes, wide)[:, : size.max()]
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
+        out[:, :-1] += carry[:, 1:]
     data = out.astype(np.uint16)
-    return [data[i, : at[i]].tobytes() for i in range(lanes)]
+    return [data[i, :n].tobytes() for i, n in enumerate(size.tolist())]
 
 
 def decode(codes: list[bytes], steps: int, known: np.ndarray, share: np.ndarray) -> np.ndarray:
     """The rows of ids, `steps` each, that `encode` was given."""
     lanes = len(codes)
-    words = np.zeros((lanes, max(map(len, codes), default=0) // 2 + 8), np.uint16)
-    for i, code in enumerate(codes):
-        words[i, : len(code) // 2] = np.frombuffer(code, np.uint16)
+    wide = max(map(len, codes), default=0) // 2 + 8
+    words = np.frombuffer(b"".join(code.ljust(2 * wide, b"\0") for code in codes), np.uint16)
     model = _Model(lanes, known, share)
-    value, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
-    lane = np.arange(lanes)
-    at = np.zeros(lanes, np.int64)
-    for shift in (40, 24, 8):
-        value |= words[lane, at].astype(_U) << _U(shift)
+    at = np.arange(lanes) * wide
+    value, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    for _ in range(3):
+        value = value << 16 | words[at]
         at += 1
-    # The window of 56 bits ends within a word: the half that is left comes next.
-    value |= words[lane, at].astype(_U) >> _U(8)
     out = np.zeros((steps, lanes), np.uint16)
-    limit = words.shape[1] - 1
-    for step in range(steps):
+    most = (1 << _RANGE) - 1
+    for row in out:
         model.predict()
-        unit = span >> _U(32)
-        now = model.find(np.minimum(value // unit, _U(0xFFFFFFFF)).view(np.int64))
-        start, width = model.interval(now)
-        value -= unit * start
-        span = unit * width
-        while len(thin := np.flatnonzero(span < _U(1 << 40))):
-            a = at[thin]
-            new = (words[thin, np.minimum(a, limit)].astype(_U) & _U(0xFF)) << _U(8) | words[thin, np.minimum(a + 1, limit)].astype(_U) >> _U(8)
-            value[thin] = value[thin] << _U(16) | new
-            span[thin] <<= _U(16)
-            at[thin] += 1
-        out[step] = now
+        span >>= _RANGE
+        # Both are below 2**48, and the quotient is rounded to no other integer.
+        now, other2, other1 = model.find(np.minimum((value / span).astype(np.int64), most))
+        start, width = model.interval(now, other2, other1)
+        start *= span
+        value -= start
+        span *= width
+        thin = np.flatnonzero(span < _THIN)
+        while len(thin):
+            place, narrow = at[thin], span[thin] << 16
+            value[thin] = value[thin] << 16 | words[place]
+            span[thin] = narrow
+            at[thin] = place + 1
+            thin = thin[narrow < _THIN]
+        row[:] = now
         model.update(now)
     return out.T

@@ -3,35 +3,56 @@
 A byte-level vocabulary's own pattern cuts a text into pieces that are encoded
 by themselves. A slice of texts is cut at those borders that two neighbouring
 bytes prove; each distinct unit between them is encoded once, and a worker
-process keeps up to CACHE units. Units are found by hash and compared byte by
-byte. A vocabulary with any other pattern, and a text that holds a special
-token's string, is encoded whole.
+process keeps some CACHE units. Units are found by hash and compared byte by
+byte. Units of one piece go to the library together, some thousands a call. A
+vocabulary with any other pattern, and a text that holds a special token's
+string, is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from equiloom.llm import common as C
 
-CACHE = 500_000
+CACHE = 1_500_000
+GROUP = 2048
 _WIDE_SPACE = re.compile(r"\s|[\x00-\x1f]")
-_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _OTHER = range(6)
-_CLASS = np.full(256, _OTHER, np.uint8)  # control bytes and bytes of wider characters prove no border
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _OTHER, _LINE = range(7)
+_CLASS = np.full(256, _OTHER, np.uint8)  # control bytes and bytes of wider characters prove no border, but see _kinds
 _CLASS[33:127] = _MARK
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[39] = _QUOTE
-_CLASS[[32, 9, 10, 11, 12, 13]] = _SPACE
+_CLASS[[32, 11, 12]] = _SPACE
+_CLASS[[9, 10, 13]] = _LINE
 #: Whether a border lies between bytes of two classes: before white space, where
-#: letters, digits and marks meet, and before a quote that may begin a suffix.
-_BORDER = np.zeros((6, 6), bool)
-_BORDER[:4, _SPACE] = True
+#: letters, digits and marks meet, before a quote that may begin a suffix, and
+#: after a line's end or tab, which no word takes along as it takes a space: it
+#: is a piece by itself there.
+_BORDER = np.zeros((7, 7), bool)
+_BORDER[:4, [_SPACE, _LINE]] = True
+_BORDER[_LINE, :4] = True
 _BORDER[:3, :3] = ~np.eye(3, dtype=bool)
 _BORDER[[_LETTER, _DIGIT], _QUOTE] = True
+#: First bytes of U+00C0 to U+023F and U+0400 to U+047F: letters, but for the
+#: signs of multiplication and division.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0xC3, 0xC9), 0xD0, 0xD1]] = True
+
+
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte; both of a two-byte letter are letters."""
+    kind = _CLASS[buf]
+    at = np.flatnonzero(_LETTERS[buf[:-1]])
+    at = at[(buf[at] != 0xC3) | (buf[at + 1] & 0xDF != 0x97)]
+    kind[at] = kind[at + 1] = _LETTER
+    return kind
 
 
 def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -40,10 +61,32 @@ def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
 
 
+class _Kept:
+    """An array that grows at its end."""
+
+    def __init__(self, *first: int, kind):
+        self.room, self.size = np.array(first, kind), len(first)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.room):
+            room = np.empty(size + size // 4, self.room.dtype)
+            room[: self.size] = self.all
+            self.room = room
+        self.room[self.size : size] = more
+        self.size = size
+
+
 class Encoder:
     """Ids below 65536 of the tokenizer file at `path`."""
 
     def __init__(self, path: str):
+        # Spark's tasks take the cores; the library's threads would contend for them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,66 +100,92 @@ class Encoder:
         if size > 65536:
             raise ValueError("ids must be below 65536")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)], bool)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
         self._clear()
 
     def _clear(self):
         self.hash = np.empty(0, np.uint64)
         self.at = np.empty(0, np.int32)  # the unit's number
-        self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
-        self.ids, self.ids_ends = np.empty(0, np.uint16), np.zeros(1, np.int64)
+        self.text, self.text_ends = _Kept(kind=np.uint8), _Kept(0, kind=np.int32)
+        self.ids, self.ids_ends = _Kept(kind=np.uint16), _Kept(0, kind=np.int32)
 
     def _each(self, texts: list[str]):
         """Ids of each text, in batches of texts."""
         for a in range(0, len(texts), 1024):
             yield from (np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False))
 
-    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode(self, buf, start, size, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the units, their ids and the number of ids by unit.
         Units of a space and a word go together: each opens with the only token
-        that has the space."""
-        spaced = np.array([u[:1] == b" " and len(u) > 1 and b"'" not in u and u[1] != 32 and (u.isascii() and _CLASS[u[1]] <= _MARK or not _WIDE_SPACE.search(u[1:].decode())) for u in units], bool)
-        first, rest = np.flatnonzero(spaced), np.flatnonzero(~spaced)
-        groups = [first[a : a + 2048] for a in range(0, len(first), 2048)]
-        ids, n, order = [], [], []
-        for group, got in zip(groups, self._each([b"".join([units[i] for i in g]).decode() for g in groups]), strict=True):
-            heads = np.flatnonzero(self.opens[got])
-            if len(heads) == len(group):
-                order.append(group)
-                ids.append(got)
-                n.append(np.diff(np.append(heads, len(got))))
-            else:
-                rest = np.concatenate([rest, group])
-        alone = list(self._each([units[i].decode() for i in rest]))
+        that has the space. So do words, with a line's end after each."""
+        kind = _kinds(buf)
+        turns = np.zeros(len(buf), np.int32)
+        np.cumsum(kind[1:] != kind[:-1], out=turns[1:])
+        spaced = (buf[start] == 32) & (size > 1)
+        word = start + spaced
+        plain = (kind[word] <= _MARK) & (turns[word] == turns[start + size - 1]) & ~whole
+        left = np.flatnonzero(~plain)
+        units = [buf[a : a + m].tobytes() for a, m in zip(start[left].tolist(), size[left].tolist(), strict=True)]
+        wide = np.array([u[:1] == b" " and len(u) > 1 and b"'" not in u and u[1] != 32 and (u.isascii() and _CLASS[u[1]] <= _MARK or not _WIDE_SPACE.search(u[1:].decode())) for u in units], bool)
+        ids, n, order, rest = [], [], [], [left[~wide]]
+        for units, after in ((np.concatenate([np.flatnonzero(plain & spaced), left[wide]]), 0), (np.flatnonzero(plain & ~spaced), 1)):
+            groups = [units[a : a + GROUP] for a in range(0, len(units), GROUP)]
+            for group, got in zip(groups, self._each([self._joined(buf, start[g], size[g], after) for g in groups]), strict=True):
+                if after:
+                    ends = got == self.line
+                    count = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+                    got = got[~ends]
+                else:
+                    count = np.diff(np.append(np.flatnonzero(self.opens[got]), len(got)))
+                if len(count) == len(group) and count.sum() == len(got):
+                    order.append(group)
+                    ids.append(got)
+                    n.append(count)
+                else:
+                    rest.append(group)
+        rest = np.concatenate(rest)
+        alone = list(self._each([buf[a : a + m].tobytes().decode() for a, m in zip(start[rest].tolist(), size[rest].tolist(), strict=True)]))
         none = [np.empty(0, np.int64)]
         return np.concatenate([*order, rest]).astype(np.int64), np.concatenate([*ids, *alone, np.empty(0, np.uint16)]), np.concatenate([*n, [len(x) for x in alone], *none]).astype(np.int64)
 
-    def _learn(self, buf, start, size, h) -> np.ndarray:
+    @staticmethod
+    def _joined(buf, start, size, after: int) -> str:
+        """The units in a row, with `after` line ends behind each."""
+        if not after:
+            return buf[_flat(start, size)].tobytes().decode()
+        out = np.full(int(size.sum()) + len(size), 10, np.uint8)
+        out[_flat(np.cumsum(size + 1) - size - 1, size)] = buf[_flat(start, size)]
+        return out.tobytes().decode()
+
+    def _learn(self, buf, start, size, whole) -> np.ndarray:
         """The kept units' numbers of distinct strings, new ones encoded."""
-        where = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-        known = self.hash[where] == h if len(self.hash) else np.zeros(len(h), bool)
+        h = C.word_hashes(buf, start, start + size)
+        by = np.argsort(h)
+        h, start, size = h[by], start[by], size[by]
+        if (h[1:] == h[:-1]).any():
+            raise _Collision
+        where = np.searchsorted(self.hash, h)
+        known = self.hash[np.minimum(where, len(self.hash) - 1)] == h if len(self.hash) else np.zeros(len(h), bool)
         old = self.at[where[known]]
-        length = np.diff(self.text_ends)[old]
-        same = length == size[known]
-        i = np.flatnonzero(known)[same]
-        differ = buf[_flat(start[i], size[i])] != self.text[_flat(self.text_ends[old[same]], size[i])]
-        if not same.all() or differ.any():
+        begin = self.text_ends.all[old].astype(np.int64)
+        if (self.text_ends.all[old + 1] - begin != size[known]).any() or (buf[_flat(start[known], size[known])] != self.text.all[_flat(begin, size[known])]).any():
             raise _Collision
         number = np.empty(len(h), np.int64)
         number[known] = old
         new = np.flatnonzero(~known)
         if len(new):
-            data = buf.tobytes()
-            order, ids, n = self._encode([data[a : a + m] for a, m in zip(start[new].tolist(), size[new].tolist(), strict=True)])
+            order, ids, n = self._encode(buf, start[new], size[new], whole[by][new])
+            number[new[order]] = self.text_ends.size - 1 + np.arange(len(new))
+            self.hash, self.at = np.insert(self.hash, where[new], h[new]), np.insert(self.at, where[new], number[new])
             new = new[order]
-            number[new] = len(self.text_ends) - 1 + np.arange(len(new))
-            self.text = np.concatenate([self.text, buf[_flat(start[new], size[new])]])
-            self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + np.cumsum(size[new])])
-            self.ids = np.concatenate([self.ids, ids])
-            self.ids_ends = np.concatenate([self.ids_ends, self.ids_ends[-1] + np.cumsum(n)])
-            both = np.concatenate([self.hash, h[new]])
-            order = np.argsort(both, kind="stable")
-            self.hash, self.at = both[order], np.concatenate([self.at, number[new].astype(np.int32)])[order]
-        return number
+            self.text.add(buf[_flat(start[new], size[new])])
+            self.text_ends.add(self.text_ends.all[-1] + np.cumsum(size[new]))
+            self.ids.add(ids)
+            self.ids_ends.add(self.ids_ends.all[-1] + np.cumsum(n))
+        out = np.empty(len(h), np.int64)
+        out[by] = number
+        return out
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and offsets), each with `end` after
@@ -127,8 +196,9 @@ class Encoder:
             self._clear()
         try:
             number, first = self._units(buf, offs, whole)
-            count = np.diff(self.ids_ends)[number]
-            ids = self.ids[_flat(self.ids_ends[number], count)]
+            begin = self.ids_ends.all[number].astype(np.int64)
+            count = self.ids_ends.all[number + 1] - begin
+            ids = self.ids.all[_flat(begin, count)]
         except _Collision:
             self._clear()
             each = list(self._each([data[a:z].decode() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]))
@@ -144,21 +214,24 @@ class Encoder:
         """Kept units' numbers in order, and the texts' offsets in them."""
         if not len(buf):
             return np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-        kind = _CLASS[buf]
+        kind = _kinds(buf)
         border = np.ones(len(buf), bool)
-        border[1:] = _BORDER[kind[:-1], kind[1:]]
+        border[1:] = _BORDER.ravel().take(kind[:-1] * np.uint8(7) + kind[1:])
+        line = (kind[:-1] == _LINE) & (kind[1:] <= _QUOTE)
+        line[offs[(offs > 0) & (offs < len(buf))] - 1] = False  # the next text's
+        border[:-1] |= line
         for i in whole:
             border[offs[i] : offs[i + 1]] = False
         border[offs[:-1][offs[:-1] < len(buf)]] = True
         start = np.flatnonzero(border)
-        stop = np.append(start[1:], len(buf))
-        h = C.word_hashes(buf, start, stop)
-        _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        size = stop - start
-        if (size != size[one][back]).any() or (buf[_flat(start, size)] != buf[_flat(start[one][back], size)]).any():
-            raise _Collision
-        number = self._learn(buf, start[one], size[one], h[one])[back]
-        return number, np.searchsorted(start, offs)
+        places = np.append(start, len(buf))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(buf)]).dictionary_encode()
+        back = units.indices.to_numpy()
+        first = np.searchsorted(start, offs)
+        alone = np.zeros(len(units.dictionary), bool)
+        alone[back[first[[i for i in whole if offs[i] < offs[i + 1]]]]] = True
+        data, ends = C.utf8(units.dictionary)
+        return self._learn(data, ends[:-1], np.diff(ends), alone)[back], first
 
 
 class _Collision(Exception):

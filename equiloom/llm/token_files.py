@@ -3,7 +3,7 @@
 Documents go in ascending doc_id order over range partitions. A partition's ids
 are cut into chunks of about CHUNK_IDS, whole documents each; a chunk is one
 container of blocks of up to 4096 ids that the context-mixing range coder codes
-independently, each with a checksum. A file set is a table of containers with
+side by side, each with a checksum. A file set is a table of containers with
 their place (part, chunk), written and read by Spark, so that any store works,
 parts are retried and committed as a whole, and every chunk decodes by itself.
 
@@ -31,8 +31,9 @@ from equiloom.llm import common as C
 from equiloom.llm.mixing_coder import BLOCK, decode, encode, prior
 from equiloom.llm.piece_encoder import Encoder
 
-CHUNK_IDS = 2 << 20
-MAGIC = b"CMR3"
+CHUNK_IDS = 4 << 20
+LANES = 4096
+MAGIC = b"CMR4"
 _HEAD = "<5Q7I"
 _SUM = "<I"
 FORM = "part int, chunk int, n_docs long, n_ids long, data binary"
@@ -50,7 +51,7 @@ def pack(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarray) -> b
     of the blocks' ids and codes; then the codes. Blocks are shorter where there
     are few ids, so that many move at once; the last is filled up with the
     commonest id."""
-    block = int(min(BLOCK, max(64, -(-len(ids) // 1024))))
+    block = int(min(BLOCK, max(64, -(-len(ids) // LANES))))
     n = -(-len(ids) // block)
     known, share = prior(ids) if n else (ids, ids.astype(np.uint32))
     rows = np.full(n * block, known[share.argmax()] if n else 0, np.uint16)
@@ -63,7 +64,7 @@ def pack(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarray) -> b
 
 
 def _sums(rows: np.ndarray) -> np.ndarray:
-    return np.array([zlib.crc32(np.ascontiguousarray(r).astype("<u2", copy=False)) for r in rows], np.uint32)
+    return np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows, "<u2")], np.uint32)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
                 ["part", "chunk", "n_docs", "n_ids", "data"],
             )
 
-        for piece in C.unsqueezed(batches):
+        for piece in C.slices(batches):
             ids, n = encoder(*C.utf8(piece.column("text")), end)
             held.append(ids)
             keys.append(piece.column("k").to_numpy())
@@ -131,7 +132,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2) ->
     keyed = C.keyed(docs)
     parts = max(8, C.text_bytes(keyed) // (24 << 20))
     order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
-    C.squeezed(keyed).repartitionByRange(int(parts), *order).sortWithinPartitions(*order).mapInArrow(run, FORM).write.parquet(folder)
+    # Texts go as they are: sampling for the ranges reads them all as well, and
+    # compressing them there and here took longer than it saved.
+    keyed.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).mapInArrow(run, FORM).write.parquet(folder)
 
 
 def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
